@@ -595,7 +595,7 @@ def backtest_users(spark, sf_dir):
 @query
 def arma_residuals(spark, sf_dir):
     residuals = op.arma_residuals(
-        hourly(spark, sf_dir), AR_COEFFICIENTS, MA_COEFFICIENTS, width=128
+        hourly(spark, sf_dir), AR_COEFFICIENTS, MA_COEFFICIENTS, block="5 days"
     )
     return out(residuals, "key", "ts", "i", residual=4)
 

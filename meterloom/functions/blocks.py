@@ -3,8 +3,8 @@
 A series (one meter) may hold a large share of all rows, so nothing here puts a
 whole series into one task.  Rows are tagged with a *block* (a span of time, or a
 run of positions) and every shuffle is on ``keys + block``.  What crosses a block
-edge travels either as a few copied edge rows (`with_halo`) or as one summary
-row per block (`with_position`, `running_total`, `spread_join`).
+edge travels either as a few copied edge rows (`with_halo`) or as one small row per
+block (`pack`, `running_total`, `spread_join`).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from datetime import timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,56 +84,150 @@ def with_halo(
     )
 
 
-def with_position(
+class Blocks(NamedTuple):
+    """A set of series cut into blocks, each packed into one row.
+
+    ``packed`` has one row per series and block, with the block's readings in order.
+    ``offsets`` has one small row per block: what lies before it and the totals of
+    its series.  Everything derived from a `Blocks` reads the one shuffle behind
+    ``packed``.
+    """
+
+    keys: list[str]
+    columns: list[str]
+    packed: DataFrame
+    offsets: DataFrame
+
+    def rows(
+        self,
+        shifts: Mapping[str, tuple[str, int]] | None = None,
+        extra: DataFrame | None = None,
+        how: str = "inner",
+        keep_block: bool = False,
+    ) -> DataFrame:
+        """Readings with position ``i`` (0-based), length ``n`` and the totals.
+
+        ``shifts`` maps a new column to ``(source, k)``, the source k positions
+        earlier (later if negative), null beyond the ends.  ``extra`` is a table with
+        one or more rows per series whose columns are attached; it is joined to the
+        offsets first and so reaches the readings per block.
+        """
+        shifts = dict(shifts or {})
+        back = max([0, *[k for _, k in shifts.values()]])
+        ahead = max([0, *[-k for _, k in shifts.values()]])
+        beside = self.offsets
+        if extra is not None:
+            beside = beside.join(extra, self.keys, how)
+        if back or ahead:
+            beside = beside.join(self._edges(back, ahead), [*self.keys, "_b"])
+        joined = self.packed.join(beside, [*self.keys, "_b"])
+        size = F.size("_rows")
+        zipped = [F.col("_rows").alias("r")]
+        for name, (source, k) in shifts.items():
+            padded = F.col(f"_rows.{source}")
+            if back:
+                padded = F.concat(F.col(f"_back.{source}"), padded)
+            if ahead:
+                padded = F.concat(padded, F.col(f"_ahead.{source}"))
+            zipped.append(F.slice(padded, F.lit(back - k + 1), size).alias(name))
+        hidden = {"_rows", "_before", "_back", "_ahead", "_b"}
+        outer = [c for c in joined.columns if c not in hidden] + (["_b"] if keep_block else [])
+        exploded = joined.select(
+            *outer, "_before", F.posexplode(F.arrays_zip(*zipped)).alias("_p", "_z")
+        )
+        return exploded.select(
+            *self.keys,
+            *[F.col(f"_z.r.{c}").alias(c) for c in self.columns],
+            (F.col("_before") + F.col("_p")).alias("i"),
+            *[c for c in outer if c not in self.keys],
+            *[F.col(f"_z.{name}") for name in shifts],
+        )
+
+    def _edges(self, back: int, ahead: int) -> DataFrame:
+        """Per block, the ``back`` readings before it and the ``ahead`` after it.
+
+        Padded with nulls at the ends of the series.  A block holds at least one
+        reading, so as many neighbours as readings are enough.
+        """
+        rows, size = F.col("_rows"), F.size("_rows")
+        blank = F.lit(None).cast(self.packed.schema["_rows"].dataType.elementType)
+        tails = self.packed.select(
+            *self.keys,
+            "_b",
+            F.slice(rows, F.greatest(size - back, F.lit(0)) + 1, F.lit(back)).alias("_tail"),
+            F.slice(rows, F.lit(1), F.lit(ahead)).alias("_head"),
+        )
+        series = Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy("_b")
+        edges = []
+        if back:
+            near = F.flatten(F.collect_list("_tail").over(series.rowsBetween(-back, -1)))
+            full = F.concat(F.array_repeat(blank, back), near)
+            edges.append(F.slice(full, F.lit(-back), F.lit(back)).alias("_back"))
+        if ahead:
+            near = F.flatten(F.collect_list("_head").over(series.rowsBetween(1, ahead)))
+            full = F.concat(near, F.array_repeat(blank, ahead))
+            edges.append(F.slice(full, F.lit(1), F.lit(ahead)).alias("_ahead"))
+        return tails.select(*self.keys, "_b", *edges)
+
+
+def pack(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     block: Column,
-    totals: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Add ``i`` (0-based position in the series), ``n`` (its length) and totals.
+    totals: Mapping[str, str] | None = None,
+) -> Blocks:
+    """Cut series into blocks; ``block`` must not decrease along ``order``.
 
-    ``block`` must not decrease along ``order``.  Rows are numbered inside their
-    block; the offset of a block is a prefix sum over per-block counts, a table
-    with one row per block.  ``totals`` adds sums over the whole series.
+    ``totals`` maps a name to a column summed over the whole series.  Offsets are
+    prefix sums over one row per block, so no task sees more of a series than one
+    block's readings or its block summaries.
     """
     totals = dict(totals or {})
-    tagged = df.withColumn("_b", block)
-    per_block = tagged.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_c"), *[F.sum(e).alias(name) for name, e in totals.items()]
+    keys = list(keys)
+    columns = [*order, *[c for c in df.columns if c not in (*keys, *order)]]
+    packed = df.groupBy(*keys, block.alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows")
+    )
+    plus = lambda a, x: a + F.coalesce(x, F.lit(0.0))
+    summary = packed.select(
+        *keys,
+        "_b",
+        F.size("_rows").cast("long").alias("_c"),
+        *[
+            F.aggregate(F.col(f"_rows.{c}").cast("array<double>"), F.lit(0.0), plus).alias(name)
+            for name, c in totals.items()
+        ],
     )
     series = Window.partitionBy(*(keys or [F.lit(0)]))
-    offsets = per_block.select(
+    offsets = summary.select(
         *keys,
         "_b",
         (F.sum("_c").over(series.orderBy("_b")) - F.col("_c")).alias("_before"),
         F.sum("_c").over(series).alias("n"),
         *[F.sum(name).over(series).alias(name) for name in totals],
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (
-        tagged.join(offsets, [*keys, "_b"])
-        .withColumn("i", F.col("_before") + F.row_number().over(inside) - 1)
-        .drop("_b", "_before")
-    )
+    return Blocks(keys, columns, packed, offsets)
 
 
 def running_total(
     df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int = ROW_BLOCK
 ) -> DataFrame:
     """Sum of ``value`` up to and including each row, in ``position`` order per key."""
-    tagged = df.withColumn("_b", row_block(position, width))
-    series = Window.partitionBy(*keys).orderBy("_b")
-    carried = (
-        tagged.groupBy(*keys, "_b")
-        .agg(F.sum(value).alias("_s"))
-        .select(*keys, "_b", (F.sum("_s").over(series) - F.col("_s")).alias("_carry"))
+    blocks = pack(df, keys, [position], row_block(position, width))
+    series = Window.partitionBy(*blocks.keys).orderBy("_b")
+    own = F.aggregate(F.col(f"_rows.{value}"), F.lit(0.0), lambda a, x: a + x)
+    carried = blocks.packed.select(*blocks.keys, "_b", own.alias("_s")).select(
+        *blocks.keys, "_b", (F.sum("_s").over(series) - F.col("_s")).alias("_carry")
+    )
+    rows = blocks.packed.join(carried, [*blocks.keys, "_b"]).select(
+        *blocks.keys, "_b", "_carry", F.explode("_rows").alias("_r")
     )
-    inside = Window.partitionBy(*keys, "_b").orderBy(position)
+    inside = Window.partitionBy(*blocks.keys, "_b").orderBy(position)
     return (
-        tagged.join(carried, [*keys, "_b"])
+        rows.select(*blocks.keys, "_b", "_carry", "_r.*")
         .withColumn(out, F.col("_carry") + F.sum(value).over(inside))
-        .drop("_b", "_carry")
+        .select(*df.columns, out)
     )
 
 

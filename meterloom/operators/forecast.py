@@ -21,16 +21,15 @@ from pyspark.sql import types as T
 from meterloom.functions import arma
 from meterloom.functions.arma import Order
 from meterloom.functions.blocks import (
-    ROW_BLOCK,
     TIME_BLOCK,
+    Blocks,
     duration_us,
     epoch_us,
-    row_block,
+    pack,
     time_block,
-    with_position,
 )
 from meterloom.operators import forecast_ma1
-from meterloom.operators.series import _lagged, autocovariance
+from meterloom.operators.series import autocovariance
 
 SERIES = ("key", "profile_key", "dow")
 DEFAULT_ORDER = Order()
@@ -76,7 +75,6 @@ def forecast_arima(
     period: str | timedelta = "30 minutes",
     psi_shift: int = 0,
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """Forecast every series: ``(keys, step, ts, yhat, lo, hi, rmse, status, log)``.
 
@@ -91,23 +89,29 @@ def forecast_arima(
         raise ValueError("a future forecast needs steps")
     if _is_plain_ma1(order):
         return _forecast_ma1(
-            series, order, keys, ts, value, align, steps, period, psi_shift, block, width
+            series, order, keys, ts, value, align, steps, period, psi_shift, block
         )
     return _forecast_grouped(series, order, keys, ts, value, align, steps, period, psi_shift)
 
 
+def _lengths(blocks: Blocks, *more: Column) -> DataFrame:
+    """Length of every series, and further aggregates over its block rows."""
+    size = F.sum(F.size("_rows")).alias("n")
+    return blocks.packed.groupBy(*blocks.keys).agg(size, *more)
+
+
 def _forecast_ma1(
-    series, order, keys, ts, value, align, steps, period, psi_shift, block, width
+    series, order, keys, ts, value, align, steps, period, psi_shift, block
 ) -> DataFrame:
+    blocks = forecast_ma1.cut(series, keys, ts, value, block)
+    params = forecast_ma1.estimate(blocks)
     if align == "in_place":
-        rows = forecast_ma1.fitted_rows(series, keys, ts, value, block, width)
-        rows = rows.withColumnRenamed("i", "step").withColumn("_size", F.col("n"))
+        rows = blocks.rows(extra=params, how="left").withColumnRenamed("i", "step")
+        rows = rows.withColumn("_size", F.col("n"))
     else:
-        placed = forecast_ma1.place(series, keys, ts, value, block)
-        ends = placed.groupBy(*keys).agg(F.max(ts).alias("_last"), F.count(F.lit(1)).alias("n"))
-        params = forecast_ma1.estimate(placed, keys, width).drop("n")
         rows = (
-            ends.join(params, list(keys), "left")
+            _lengths(blocks, F.max(F.element_at("_rows", -1)[ts]).alias("_last"))
+            .join(params, list(keys), "left")
             .withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
             .withColumn(ts, _future(F.col("_last"), F.col("step"), period))
             .withColumn("_size", F.lit(steps))
@@ -193,15 +197,14 @@ def forecast_models(
     value: str = "adjusted",
     psi_shift: int = 0,
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """One row per series with the fitted default model.
 
     ``n, mu, theta, error, n_test, rmse, variance`` and ``max_normalized_variance``,
     the largest squared 95 % bound over the forecast relative to the data variance.
     """
-    placed = forecast_ma1.place(series, keys, ts, value, block)
-    models = forecast_ma1.estimate(placed, keys, width)
+    blocks = forecast_ma1.cut(series, keys, ts, value, block)
+    models = _lengths(blocks).join(forecast_ma1.estimate(blocks), list(keys))
     bound = Z95 * F.col("rmse") * _ma1_spread(F.col("n") - 1, psi_shift)
     square = bound * bound
     # Fixed value: variances under this count as zero.
@@ -216,15 +219,13 @@ def backtest(
     ts: str = "ts",
     value: str = "adjusted",
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """``(keys, n, n_test, rmse, status)``: error on the last 15 % of every series."""
     keys = list(keys)
     if _is_plain_ma1(order):
-        placed = forecast_ma1.place(series, keys, ts, value, block)
-        models = forecast_ma1.estimate(placed, keys, width).select(*keys, "n_test", "rmse")
-        sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        return sizes.join(models, keys, "left").withColumn(
+        blocks = forecast_ma1.cut(series, keys, ts, value, block)
+        models = forecast_ma1.estimate(blocks).select(*keys, "n_test", "rmse")
+        return _lengths(blocks).join(models, keys, "left").withColumn(
             "status", F.when(F.col("rmse").isNull(), "too_short").otherwise("ok")
         )
 
@@ -353,7 +354,6 @@ def arma_residuals(
     ts: str = "ts",
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """Add ``i`` and ``residual``, the one-step errors of a given lag model.
 
@@ -364,19 +364,18 @@ def arma_residuals(
     ar, ma = dict(ar or {}), dict(ma or {})
     start = max([0, *ar, *ma])
     keys = list(keys)
-    placed = with_position(series, keys, [ts], time_block(ts, block)).drop("n")
-    lagged = _lagged(placed, keys, value, sorted(ar), "_x", width)
+    blocks = pack(series, keys, [ts], time_block(ts, block))
+    shifted = blocks.rows({f"_x{k}": (value, k) for k in ar}, keep_block=True)
     part = F.col(value).cast("double")
     for lag, coef in ar.items():
         part = part - F.lit(float(coef)) * F.col(f"_x{lag}")
-    rows = lagged.withColumn("_u", F.when(F.col("i") >= start, part).otherwise(0.0)).drop(
-        *[f"_x{k}" for k in ar]
+    rows = shifted.withColumn("_u", F.when(F.col("i") >= start, part).otherwise(0.0)).select(
+        *series.columns, "i", "_u", "_b"
     )
     if not ma:
-        return rows.withColumnRenamed("_u", "residual")
+        return rows.withColumnRenamed("_u", "residual").drop("_b")
     reach, lags = max(ma), np.array(sorted(ma))
     theta = np.array([ma[k] for k in lags], dtype=float)
-    rows = rows.withColumn("_b", row_block("i", max(width, reach)))
     names = rows.columns
 
     def recurse(u: np.ndarray, first: np.ndarray, position: np.ndarray) -> np.ndarray:

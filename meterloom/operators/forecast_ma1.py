@@ -1,10 +1,10 @@
-"""Forecasts of the default order, MA(1) around the mean, as plain aggregates.
+"""Forecasts of the default order, MA(1) around the mean, from sums alone.
 
 For this order every quantity of the estimation is a sum over the series: means,
 products at lags 0..3, and geometric sums ``sum (-theta)^k x_{t-k}`` that stand
-for the recursion ``e_t = x_t - theta * e_{t-1}``.  So no series is collected:
-rows are placed and lagged in blocks, reduced with map-side combining, and one row
-of parameters per series is joined back.
+for the recursion ``e_t = x_t - theta * e_{t-1}``.  So no series is collected: it
+is shuffled once into blocks, reduced twice with map-side combining (moments, then
+errors of the candidate coefficients), and one row per series goes back to it.
 
 Notation: N points are fitted, the last f of them choose among the five
 rounds, L = N - f.  ``full`` fits all n points with f = 1; ``held`` fits the
@@ -16,32 +16,46 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterloom.functions.blocks import (
-    ROW_BLOCK,
-    TIME_BLOCK,
-    row_block,
-    spread_join,
-    time_block,
-    with_position,
-)
-from meterloom.operators.series import _lagged
+from meterloom.functions.arma import HOLD_OUT, MAX_CONDITION, ROUNDS
+from meterloom.functions.blocks import TIME_BLOCK, Blocks, pack, time_block
 
-# Rounds of the estimation, held-out share, pivot limit, 95 % quantile,
-# and the shortest series that can be held out at all.
-ROUNDS = 5
-HOLD_OUT = 0.15
-MAX_CONDITION = 100.0
+# 95 % quantile, and the shortest series that can be held out at all.
 Z95 = 1.959963984540054
 MIN_POINTS = 7
 
 _FITS = ("full", "held")
+_PRODUCTS = [(a, b) for a in range(4) for b in range(max(a, 1), 4)]
+_CANDIDATES = T.StructType(
+    [
+        T.StructField("shift", T.DoubleType()),
+        T.StructField("theta", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def cut(
+    series: DataFrame, keys: Sequence[str], ts: str, value: str, block: str | timedelta = TIME_BLOCK
+) -> Blocks:
+    """The series as blocks of ``x``."""
+    narrow = series.select(*keys, ts, F.col(value).cast("double").alias("x"))
+    return pack(narrow, keys, [ts], time_block(ts, block), totals={"_sum": "x"})
+
+
+def _length(fit: str) -> tuple[Column, Column]:
+    """N and L of a fit."""
+    n = F.col("n")
+    t = F.floor(n * F.lit(HOLD_OUT)).cast("long")
+    return (n, n - 1) if fit == "full" else (n - t, n - 2 * t)
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
+def _mean() -> Column:
+    return F.col("_sum") / F.col("n")
 
 
 def _sum_if(condition: Column, value: Column) -> Column:
@@ -49,147 +63,109 @@ def _sum_if(condition: Column, value: Column) -> Column:
 
 
 def _at(position: Column | int, value: Column) -> Column:
-    return F.max(F.when(_c("i") == position, value))
-
-
-def place(
-    series: DataFrame, keys: Sequence[str], ts: str, value: str, block: str | timedelta
-) -> DataFrame:
-    """Positions, length, mean and centred value ``y``, with the two fit lengths."""
-    placed = with_position(
-        series.select(*keys, ts, F.col(value).cast("double").alias("x")),
-        keys,
-        [ts],
-        time_block(ts, block),
-        totals={"_sum": F.col("x")},
-    )
-    held = F.floor(_c("n") * F.lit(HOLD_OUT)).cast("long")
-    return (
-        placed.withColumns({"mu": _c("_sum") / _c("n"), "t": held})
-        .withColumns(
-            {
-                "y": _c("x") - _c("mu"),
-                "N_full": _c("n"),
-                "L_full": _c("n") - 1,
-                "N_held": _c("n") - _c("t"),
-                "L_held": _c("n") - 2 * _c("t"),
-            }
-        )
-        .drop("_sum")
-    )
+    return F.max(F.when(F.col("i") == position, value))
 
 
-def _moment_columns() -> list[Column]:
-    """Every sum over the lagged rows that the two estimations need."""
-    i, y = _c("i"), [_c("y"), _c("y1"), _c("y2"), _c("y3")]
-    out = [
-        F.any_value(name).alias(name)
-        for name in ("n", "mu", "t", "N_full", "L_full", "N_held", "L_held")
-    ]
-    out += [_at(k, y[0]).alias(f"y_{k}") for k in range(1, 4)]
+def _moments(blocks: Blocks) -> DataFrame:
+    """Every sum over the lagged rows that the two estimations need, per series."""
+    rows = blocks.rows({f"x{k}": ("x", k) for k in (1, 2, 3)}).where(F.col("n") >= MIN_POINTS)
+    i, n, mean = F.col("i"), F.col("n"), _mean()
+    y = [F.col(name) - mean for name in ("x", "x1", "x2", "x3")]
+    sums = [F.any_value(n).alias("n"), F.any_value(mean).alias("mu")]
     for fit in _FITS:
-        fitted, train = i < _c(f"N_{fit}"), (i >= 3) & (i < _c(f"L_{fit}"))
-        out.append(_sum_if(fitted, y[0]).alias(f"{fit}_sum"))
+        N, L = _length(fit)
+        fitted, train = i < N, (i >= 3) & (i < L)
+        cells = {"sum": _sum_if(fitted, y[0]), "last": _at(L, y[0])}
         for j in range(3):
             here = fitted & (i >= j)
-            out.append(_sum_if(here, y[0] * y[j]).alias(f"{fit}_r{j}"))
-            out.append(_sum_if(here, y[0] + y[j]).alias(f"{fit}_e{j}"))
+            cells[f"r{j}"] = _sum_if(here, y[0] * y[j])
+            cells[f"e{j}"] = _sum_if(here, y[0] + y[j])
         for a in range(4):
-            out.append(_sum_if(train, y[a]).alias(f"{fit}_s{a}"))
-            for b in range(max(a, 1), 4):
-                out.append(_sum_if(train, y[a] * y[b]).alias(f"{fit}_p{a}{b}"))
-        out.append(_at(_c(f"L_{fit}"), y[0]).alias(f"{fit}_last"))
-    after = i >= _c("N_held")
-    out += [
-        _sum_if(after, y[0]).alias("rest_sum"),
-        _sum_if(after, y[0] * y[0]).alias("rest_square"),
-        _at(_c("N_held"), y[0]).alias("rest_first"),
-    ]
-    return out
-
-
-def _guarded(pivot: Column, largest: Column | None) -> Column:
-    """Pivot of the condition-limited elimination: never under largest / 100."""
-    if largest is None:
-        return F.when(pivot == 0, 1.0).otherwise(pivot)
-    floor = largest / MAX_CONDITION
-    return (
-        F.when(pivot == 0, floor)
-        .when(F.abs(pivot) * MAX_CONDITION < largest, F.signum(pivot) * floor)
-        .otherwise(pivot)
-    )
-
-
-def _rounds(moments: DataFrame, fit: str) -> DataFrame:
-    """Add ``<fit>_shift`` and ``<fit>_theta``, the candidate of every round."""
-    N, L = _c(f"N_{fit}"), _c(f"L_{fit}")
-    col = lambda name: _c(f"{fit}_{name}")
-    # The fit's own mean differs from the series mean by `shift`; moments of y - shift
-    # follow from the moments of y.
-    df = moments.withColumn(f"{fit}_shift", col("sum") / N)
-    shift = col("shift")
-    for j in range(3):
-        moved = col(f"r{j}") - shift * col(f"e{j}") + (N - j) * shift * shift
-        df = df.withColumn(f"{fit}_c{j}", moved / N)
-    rows = L - 3
-    for a in range(4):
-        for b in range(max(a, 1), 4):
-            moved = col(f"p{a}{b}") - shift * (col(f"s{a}") + col(f"s{b}")) + rows * shift * shift
-            df = df.withColumn(f"{fit}_q{a}{b}", moved)
-    # Two autoregressive coefficients give the first errors.
-    df = df.withColumn("_d0", _guarded(col("c0"), None))
-    df = df.withColumn("_l", col("c1") / _c("_d0"))
-    df = df.withColumn(
-        "_d1", _guarded(col("c0") - _c("_d0") * _c("_l") * _c("_l"), F.abs(_c("_d0")))
-    )
-    df = df.withColumn("_phi2", (col("c2") - _c("_l") * col("c1")) / _c("_d1"))
-    df = df.withColumn("_phi1", col("c1") / _c("_d0") - _c("_l") * _c("_phi2"))
-    p1, p2 = _c("_phi1"), _c("_phi2")
-    top = col("q01") - p1 * col("q02") - p2 * col("q03")
-    bottom = (
-        col("q11")
-        + p1 * p1 * col("q22")
-        + p2 * p2 * col("q33")
-        - 2 * p1 * col("q12")
-        - 2 * p2 * col("q13")
-        + 2 * p1 * p2 * col("q23")
-    )
-    df = df.withColumn("_th1", top / _guarded(bottom, None))
-    # Later rounds: the errors restart at position 2 and equal the data from 3 on.
-    first, second, third = (_c(f"y_{k}") - shift for k in (1, 2, 3))
-    for k in range(2, ROUNDS + 1):
-        error = second - _c(f"_th{k - 1}") * first
-        top = third * error + col("q01") - third * second
-        bottom = error * error + col("q11") - second * second
-        df = df.withColumn(f"_th{k}", top / _guarded(bottom, None))
-    names = [f"_th{k}" for k in range(1, ROUNDS + 1)]
-    return df.withColumn(f"{fit}_theta", F.array(*names)).drop(
-        *names, "_d0", "_d1", "_l", "_phi1", "_phi2"
-    )
-
-
-def _error_columns() -> list[Column]:
+            cells[f"s{a}"] = _sum_if(train, y[a])
+        for a, b in _PRODUCTS:
+            cells[f"p{a}{b}"] = _sum_if(train, y[a] * y[b])
+        for k in (1, 2, 3):
+            cells[f"y{k}"] = _at(k, y[0])
+        cells["N"], cells["L"] = F.any_value(N), F.any_value(L)
+        sums.append(F.struct(*[c.alias(name) for name, c in cells.items()]).alias(fit))
+    first_out = _length("held")[0]
+    rest = {
+        "t": F.any_value(n - first_out),
+        "sum": _sum_if(i >= first_out, y[0]),
+        "square": _sum_if(i >= first_out, y[0] * y[0]),
+        "first": _at(first_out, y[0]),
+    }
+    sums.append(F.struct(*[c.alias(name) for name, c in rest.items()]).alias("rest"))
+    return rows.groupBy(*blocks.keys).agg(*sums)
+
+
+def _limited(pivot: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
+    """Pivots, none smaller than largest / 100; one where there is no scale yet."""
+    least = np.where(largest > 0, largest / MAX_CONDITION, 1.0)
+    small = np.abs(pivot) * MAX_CONDITION < largest
+    return np.where(pivot == 0, least, np.where(small, np.copysign(least, pivot), pivot))
+
+
+def _candidate_coefficients(m: pd.DataFrame) -> pd.DataFrame:
+    """Mean shift and the coefficient of every round, for many series at once."""
+    shift = (m["sum"] / m["N"]).to_numpy()
+    # The fit's own mean differs from the series mean by `shift`; products of
+    # y - shift follow from products and sums of y.
+    c = [(m[f"r{j}"] - shift * m[f"e{j}"] + (m["N"] - j) * shift**2) / m["N"] for j in range(3)]
+    count = m["L"] - 3
+    p = {
+        (a, b): m[f"p{a}{b}"] - shift * (m[f"s{a}"] + m[f"s{b}"]) + count * shift**2
+        for a, b in _PRODUCTS
+    }
+    y1, y2, y3 = (m[f"y{k}"] - shift for k in (1, 2, 3))
+    # An autoregression of order 2 gives the first errors.
+    d0 = _limited(c[0], 0.0)
+    slope = c[1] / d0
+    phi2 = (c[2] - slope * c[1]) / _limited(c[0] - slope * c[1], np.abs(d0))
+    phi1 = c[1] / d0 - slope * phi2
+    top = p[0, 1] - phi1 * p[0, 2] - phi2 * p[0, 3]
+    bottom = p[1, 1] + phi1**2 * p[2, 2] + phi2**2 * p[3, 3]
+    bottom += 2 * (phi1 * phi2 * p[2, 3] - phi1 * p[1, 2] - phi2 * p[1, 3])
+    theta = [top / _limited(bottom, 0.0)]
+    # In later rounds the errors restart at position 2 and equal the data from 3 on.
+    for _ in range(ROUNDS - 1):
+        error = y2 - theta[-1] * y1
+        top = y3 * error + p[0, 1] - y3 * y2
+        bottom = error**2 + p[1, 1] - y2**2
+        theta.append(top / _limited(bottom, 0.0))
+    return pd.DataFrame({"shift": shift, "theta": list(np.stack(theta, axis=1))})
+
+
+@F.pandas_udf(_CANDIDATES)
+def _candidates(moments: pd.DataFrame) -> pd.DataFrame:
+    return _candidate_coefficients(moments)
+
+
+def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
     """Geometric sums up to position L-1 and from L to N-1, per fit and candidate."""
-    i, out = _c("i"), []
+    rows = blocks.rows(extra=candidates)
+    i, y, sums = F.col("i"), F.col("x") - _mean(), []
     for fit in _FITS:
-        N, L = _c(f"N_{fit}"), _c(f"L_{fit}")
+        N, L = _length(fit)
         early, late = (i >= 1) & (i < L), (i >= L) & (i < N)
         power = F.when(early, L - 1 - i).otherwise(N - 1 - i).cast("double")
+        centred = y - F.col(f"c_{fit}.shift")
         for k in range(ROUNDS):
-            term = F.pow(-F.get(f"{fit}_theta", F.lit(k)), power) * (_c("y") - _c(f"{fit}_shift"))
-            out.append(_sum_if(early, term).alias(f"{fit}_early{k}"))
-            out.append(_sum_if(late, term).alias(f"{fit}_late{k}"))
-    return out
+            term = F.pow(-F.get(f"c_{fit}.theta", F.lit(k)), power) * centred
+            sums.append(_sum_if(early, term).alias(f"{fit}_early{k}"))
+            sums.append(_sum_if(late, term).alias(f"{fit}_late{k}"))
+    return rows.groupBy(*blocks.keys).agg(*sums)
 
 
 def _best(fit: str) -> Column:
     """Candidate with the lowest held-back error, the first of equals."""
-    target = _c(f"{fit}_last") - _c(f"{fit}_shift")
-    length = (_c(f"N_{fit}") - _c(f"L_{fit}")).cast("double")
+    cell = lambda name: F.col(f"{fit}.{name}")
+    target = cell("last") - F.col(f"c_{fit}.shift")
+    length = (cell("N") - cell("L")).cast("double")
     choices = []
     for k in range(ROUNDS):
-        theta, early = F.get(f"{fit}_theta", F.lit(k)), _c(f"{fit}_early{k}")
-        error = F.pow(-theta, length) * early + _c(f"{fit}_late{k}")
+        theta, early = F.get(f"c_{fit}.theta", F.lit(k)), F.col(f"{fit}_early{k}")
+        error = F.pow(-theta, length) * early + F.col(f"{fit}_late{k}")
         score = F.abs(target - theta * early)
         choices.append(
             F.struct(
@@ -199,53 +175,29 @@ def _best(fit: str) -> Column:
     return F.array_min(F.array(*choices))
 
 
-def estimate(placed: DataFrame, keys: Sequence[str], width: int = ROW_BLOCK) -> DataFrame:
+def estimate(blocks: Blocks) -> DataFrame:
     """One row per series of at least 7 points.
 
-    ``n, mu, theta, error`` (the last one-step error), ``n_test`` and ``rmse`` of
-    the held-out back-test, ``variance`` of the centred series.
+    ``mu, theta, error`` (the last one-step error), ``n_test`` and ``rmse`` of the
+    held-out back-test, ``variance`` of the centred series.
     """
-    enough = placed.where(_c("n") >= MIN_POINTS)
-    lagged = _lagged(enough, keys, "y", [1, 2, 3], "y", width)
-    moments = lagged.groupBy(*keys).agg(*_moment_columns())
-    for fit in _FITS:
-        moments = _rounds(moments, fit)
-    needed = [f"{fit}_{part}" for fit in _FITS for part in ("theta", "shift")]
-    rows = enough.select(*keys, "i", "y", *[f"{a}_{fit}" for fit in _FITS for a in "NL"])
-    joined = spread_join(rows, moments.select(*keys, *needed), keys, row_block("i", width))
-    errors = joined.groupBy(*keys).agg(*_error_columns())
-    both = moments.join(errors, list(keys))
-    for fit in _FITS:
-        both = both.withColumn(f"{fit}_best", _best(fit))
-    shift, t = _c("held_shift"), _c("t")
+    moments = _moments(blocks).withColumns({f"c_{fit}": _candidates(fit) for fit in _FITS})
+    errors = _errors(blocks, moments.select(*blocks.keys, *[f"c_{fit}" for fit in _FITS]))
+    both = moments.join(errors, blocks.keys).withColumns(
+        {f"best_{fit}": _best(fit) for fit in _FITS}
+    )
+    shift, t = F.col("c_held.shift"), F.col("rest.t")
     # Squared error of the mean over the held-out rows, then the first step corrected.
-    spread = _c("rest_square") - 2 * shift * _c("rest_sum") + t * shift * shift
-    off = _c("rest_first") - shift
-    step = off - _c("held_best.theta") * _c("held_best.error")
+    spread = F.col("rest.square") - 2 * shift * F.col("rest.sum") + t * shift * shift
+    off = F.col("rest.first") - shift
+    step = off - F.col("best_held.theta") * F.col("best_held.error")
     squares = F.greatest(spread - off * off, F.lit(0.0)) + step * step
     return both.select(
-        *keys,
-        "n",
+        *blocks.keys,
         "mu",
-        _c("full_best.theta").alias("theta"),
-        _c("full_best.error").alias("error"),
+        F.col("best_full.theta").alias("theta"),
+        F.col("best_full.error").alias("error"),
         t.alias("n_test"),
         F.sqrt(squares / t).alias("rmse"),
-        (_c("full_r0") / (_c("n") - 1)).alias("variance"),
+        (F.col("full.r0") / (F.col("n") - 1)).alias("variance"),
     )
-
-
-def fitted_rows(
-    series: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    value: str,
-    block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
-) -> DataFrame:
-    """Placed rows of every series, with its parameters (null when too short)."""
-    placed = place(series, keys, ts, value, block)
-    base = placed.select(*keys, ts, "i", "n", "x")
-    params = estimate(placed, keys, width).drop("n")
-    every = base.select(*keys).distinct().join(params, list(keys), "left")
-    return spread_join(base, every, keys, row_block("i", width))

@@ -1,7 +1,7 @@
 """Algebra on whole series: sums, differences, centring, covariances.
 
-Positions are counted across time blocks (`with_position`) and lags read over a
-few copied edge rows, so a series may be longer than one task can hold.
+Series are cut into time blocks (`pack`); positions and lags reach across block
+edges, so a series may be longer than one task can hold.
 """
 
 from __future__ import annotations
@@ -11,17 +11,16 @@ from datetime import timedelta
 from itertools import combinations_with_replacement
 from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions.blocks import (
     ROW_BLOCK,
     TIME_BLOCK,
     duration_us,
+    pack,
     running_total,
     time_block,
-    with_halo,
-    with_position,
 )
 
 
@@ -54,20 +53,6 @@ def hourly_sum(
     )
 
 
-def _lagged(
-    placed: DataFrame, keys: Sequence[str], source: Column | str, lags: Sequence[int], prefix: str, width: int
-) -> DataFrame:
-    """Columns ``<prefix><lag>``: the source that many positions earlier, else null."""
-    reach = max(lags, default=0)
-    haloed = with_halo(placed, "i", max(width, reach), before=reach)
-    rows = Window.partitionBy(*keys, "_blk").orderBy("i")
-    return (
-        haloed.withColumns({f"{prefix}{k}": F.lag(source, k).over(rows) for k in lags})
-        .where("_own")
-        .drop("_blk", "_own")
-    )
-
-
 def difference(
     series: DataFrame,
     lag: int = 1,
@@ -76,21 +61,22 @@ def difference(
     ts: str = "ts",
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """Add ``i`` and ``diff``, the difference at ``lag`` taken ``times`` times.
 
     The first ``lag * times`` rows keep their value and have a null ``diff``: they
     are the initial values that `integrate` starts from.
     """
-    placed = with_position(series, keys, [ts], time_block(ts, block)).drop("n")
-    steps = [j * lag for j in range(1, times + 1)]
-    lagged = _lagged(placed, keys, value, steps, "_x", width)
+    blocks = pack(series, keys, [ts], time_block(ts, block))
+    shifts = {f"_x{j}": (value, j * lag) for j in range(1, times + 1)}
     diff = F.col(value)
-    for j, step in enumerate(steps, start=1):
-        diff = diff + F.lit(float((-1) ** j * comb(times, j))) * F.col(f"_x{step}")
-    diff = F.when(F.col("i") >= lag * times, diff)
-    return lagged.withColumn("diff", diff).drop(*[f"_x{s}" for s in steps])
+    for j in range(1, times + 1):
+        diff = diff + F.lit(float((-1) ** j * comb(times, j))) * F.col(f"_x{j}")
+    return (
+        blocks.rows(shifts)
+        .withColumn("diff", F.when(F.col("i") >= lag * times, diff))
+        .select(*series.columns, "i", "diff")
+    )
 
 
 def integrate(
@@ -113,7 +99,7 @@ def integrate(
             "_step": F.when(F.col("i") < lag, F.col(initial)).otherwise(F.col(diff)),
         }
     )
-    summed = running_total(steps, [*keys, "_chain"], "i", "_step", out, max(width, lag))
+    summed = running_total(steps, [*keys, "_chain"], "i", "_step", out, width * lag)
     return summed.drop("_chain", "_step")
 
 
@@ -124,21 +110,13 @@ def center(
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
 ) -> DataFrame:
-    """Add ``mean`` of the series and ``centered = value - mean``.
-
-    Sums per block are combined per series and joined back per block.
-    """
-    tagged = series.withColumn("_b", time_block(ts, block))
-    whole = Window.partitionBy(*keys)
-    means = (
-        tagged.groupBy(*keys, "_b")
-        .agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-        .select(*keys, "_b", (F.sum("_s").over(whole) / F.sum("_c").over(whole)).alias("mean"))
-    )
+    """Add ``mean`` of the series and ``centered = value - mean``."""
+    blocks = pack(series, keys, [ts], time_block(ts, block), totals={"_sum": value})
     return (
-        tagged.join(means, [*keys, "_b"])
+        blocks.rows()
+        .withColumn("mean", F.col("_sum") / F.col("n"))
         .withColumn("centered", F.col(value) - F.col("mean"))
-        .drop("_b")
+        .select(*series.columns, "mean", "centered")
     )
 
 
@@ -149,21 +127,22 @@ def autocovariance(
     ts: str = "ts",
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """``(keys, n, acov)`` with the biased autocovariances of lag 0..max_lag.
 
     ``r_j = sum(x_i * x_{i+j}) / n`` on the centred series.
     """
-    placed = with_position(
-        series, keys, [ts], time_block(ts, block), totals={"_sum": F.col(value)}
-    ).withColumn("_x", F.col(value) - F.col("_sum") / F.col("n"))
     lags = range(1, max_lag + 1)
-    lagged = _lagged(placed, keys, "_x", lags, "_x", width)
-    sums = [F.sum(F.col("_x") * F.col("_x"))]
-    sums += [F.coalesce(F.sum(F.col("_x") * F.col(f"_x{j}")), F.lit(0.0)) for j in lags]
+    blocks = pack(
+        series.select(*keys, ts, value), keys, [ts], time_block(ts, block), totals={"_sum": value}
+    )
+    rows = blocks.rows({f"_x{j}": (value, j) for j in lags})
+    mean = F.col("_sum") / F.col("n")
+    x = F.col(value) - mean
+    sums = [F.sum(x * x)]
+    sums += [F.coalesce(F.sum(x * (F.col(f"_x{j}") - mean)), F.lit(0.0)) for j in lags]
     count = F.count(F.lit(1))
-    return lagged.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         count.alias("n"), F.array(*[s / count for s in sums]).alias("acov")
     )
 
@@ -200,21 +179,6 @@ def rmse(
     )
 
 
-def lag_columns(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    block: Column,
-    source: str,
-    lags: Sequence[int],
-    prefix: str,
-    width: int = ROW_BLOCK,
-) -> DataFrame:
-    """Row lags of ``source`` within each key; earlier rows that do not exist give null."""
-    placed = with_position(df, keys, order, block)
-    return _lagged(placed, keys, source, lags, prefix, width)
-
-
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Sums of all products of two columns per key, as ``g_<a>_<b>``.
 

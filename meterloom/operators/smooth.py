@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.blocks import (
-    ROW_BLOCK,
     TIME_BLOCK,
     duration_us,
     epoch_us,
+    pack,
     time_block,
     with_halo,
-    with_position,
 )
 from meterloom.functions.calendar import slot_number
 
@@ -76,29 +75,23 @@ def centered_ma(
     ts: str = "ts",
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
-    width: int = ROW_BLOCK,
 ) -> DataFrame:
     """Centred moving average over ``2 * half`` readings.
 
     The mean of two means, one over positions ``-half .. half-1`` and one over
-    ``-half+1 .. half``.  The first ``half`` and last ``half`` readings keep their value.
+    ``-half+1 .. half``, so both outermost readings count half.  The first ``half`` and last ``half`` readings keep their value.
     """
-    placed = with_position(readings, keys, [ts], time_block(ts, block))
-    haloed = with_halo(placed, "i", max(width, half), before=half, after=half)
-    rows = Window.partitionBy(*keys, "_blk").orderBy("i")
-    left = F.sum(value).over(rows.rowsBetween(-half, half - 1))
-    right = F.sum(value).over(rows.rowsBetween(-half + 1, half))
+    blocks = pack(readings, keys, [ts], time_block(ts, block))
+    shifts = {f"_s{k}": (value, k) for k in range(-half, half + 1) if k}
+    around = F.col(value)
+    for k in range(1, half + 1):
+        both = F.col(f"_s{k}") + F.col(f"_s{-k}")
+        around = around + (both if k < half else both * 0.5)
     inner = (F.col("i") >= half) & (F.col("i") < F.col("n") - half)
     return (
-        haloed.withColumns({"_left": left, "_right": right})
-        .where("_own")
-        .withColumn(
-            "cma",
-            F.when(inner, (F.col("_left") + F.col("_right")) * 0.5 / (2 * half)).otherwise(
-                F.col(value)
-            ),
-        )
-        .drop("_blk", "_own", "_left", "_right", "i", "n")
+        blocks.rows(shifts)
+        .withColumn("cma", F.when(inner, around / (2 * half)).otherwise(F.col(value)))
+        .select(*readings.columns, "cma")
     )
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.blocks import spread_join
-from meterloom.operators.series import gram, lag_columns
+from meterloom.functions.blocks import pack, spread_join
+from meterloom.operators.series import gram
 
 # Hinge temperatures of the regression.
 HOT, COOL, COLD = 20.0, 16.0, 5.0
@@ -55,10 +55,9 @@ def lag_features(weather: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     Predecessors are the previous rows of the (meter, hour) by date, whether or not
     days are missing; the first three rows of a group make no regression row.
     """
-    lagged = lag_columns(
-        weather, group, ["date", "reading"], date_block(), "reading", [1, 2, 3], "lag"
-    )
-    return lagged.where(F.col("lag3").isNotNull()).withColumns(hinges()).drop("i", "n")
+    blocks = pack(weather, group, ["date", "reading"], date_block())
+    lagged = blocks.rows({f"lag{k}": ("reading", k) for k in (1, 2, 3)})
+    return lagged.where(F.col("i") >= 3).withColumns(hinges()).drop("i", "n")
 
 
 def _solve_normal_equations(products: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
