@@ -17,7 +17,7 @@ from meterloom import operators as op
 from meterloom import plans, schemas, sinks, sources, streaming
 from meterloom.functions.blocks import epoch_us
 from meterloom.operators import thermal
-from meterloom.session import configure, shared_dir, stage
+from meterloom.session import configure, shared_dir, stage, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +97,11 @@ def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def staged_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted series as a written table: the forecast passes over them several times."""
+    return stage(adjusted(spark, sf_dir), "adjusted")
+
+
 def temperature(ts: str = "ts") -> Column:
     return ((F.dayofmonth(ts) * 7 + F.hour(ts) * 5) % 31 - 3).cast("double")
 
@@ -547,7 +552,7 @@ def train_activity(spark, sf_dir):
 
 @query
 def forecast_arima(spark, sf_dir):
-    forecast = op.forecast_arima(adjusted(spark, sf_dir))
+    forecast = op.forecast_arima(staged_adjusted(spark, sf_dir))
     return out(
         forecast, "key", "profile_key", "dow", "step", "ts", "status",
         yhat=3, lo=3, hi=3, rmse=3,
@@ -565,13 +570,13 @@ def forecast_future(spark, sf_dir):
 @query
 def forecast_log(spark, sf_dir):
     """The fit record of every series as JSON text."""
-    forecast = op.forecast_arima(adjusted(spark, sf_dir))
+    forecast = op.forecast_arima(staged_adjusted(spark, sf_dir))
     return forecast.select("key", "profile_key", "dow", "log").distinct()
 
 
 @query
 def forecast_models(spark, sf_dir):
-    models = op.forecast_models(adjusted(spark, sf_dir))
+    models = op.forecast_models(staged_adjusted(spark, sf_dir))
     return out(
         models, "key", "profile_key", "dow", "n", "n_test",
         mu=3, theta=4, error=3, rmse=3, variance=2, max_normalized_variance=3,
@@ -580,14 +585,14 @@ def forecast_models(spark, sf_dir):
 
 @query
 def backtest(spark, sf_dir):
-    scores = op.backtest(adjusted(spark, sf_dir))
+    scores = op.backtest(staged_adjusted(spark, sf_dir))
     return out(scores, "key", "profile_key", "dow", "n", "n_test", "status", rmse=3)
 
 
 @query
 def backtest_users(spark, sf_dir):
     """One series per user: many short groups at once."""
-    filled = readings(spark, sf_dir, "user_id")
+    filled = stage(readings(spark, sf_dir, "user_id"), "readings")
     scores = op.backtest(filled, keys=["key"], value="value")
     return out(scores, "key", "n", "n_test", "status", rmse=3)
 
@@ -653,16 +658,18 @@ def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def add_peaks(spark, sf_dir):
-    filled, cells = readings(spark, sf_dir), profile(spark, sf_dir)
-    forecast = op.forecast_arima(op.adjusted_series(filled, cells))
+    filled = stage(readings(spark, sf_dir), "readings")
+    cells = stage(op.periodic_index(op.raw_index(filled)), "profile")
+    forecast = op.forecast_arima(stage(op.adjusted_series(filled, cells), "adjusted"))
     both = op.add_peaks(forecast, op.peaks(filled, cells))
     return out(both, "key", "profile_key", "ts", "dow", value=3)
 
 
 @query
 def add_peaks_combos(spark, sf_dir):
-    filled, cells = readings(spark, sf_dir), profile(spark, sf_dir)
-    forecast = op.forecast_arima(op.adjusted_series(filled, cells))
+    filled = stage(readings(spark, sf_dir), "readings")
+    cells = stage(op.periodic_index(op.raw_index(filled)), "profile")
+    forecast = op.forecast_arima(stage(op.adjusted_series(filled, cells), "adjusted"))
     tops = op.peaks(filled, cells, cross_pairs(spark, sf_dir))
     both = op.add_peaks(forecast, tops, combos(spark, sf_dir))
     return out(
@@ -824,9 +831,10 @@ def write_synthetic(spark, sf_dir):
 
 def staged_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Readings as a batch table and as a stream over the same files."""
-    batch = stage(readings(spark, sf_dir), "stream-input")
-    path = batch.inputFiles()[0].rsplit("/", 1)[0]
-    return batch, streaming.stream_readings(spark, path, batch.schema)
+    filled = readings(spark, sf_dir)
+    path = write_table(filled, "stream-input")
+    batch = spark.read.schema(filled.schema).parquet(path)
+    return batch, streaming.stream_readings(spark, path, filled.schema)
 
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -859,9 +867,10 @@ def stream_count_trigger(spark, sf_dir):
 
 @query
 def stream_periodic_index(spark, sf_dir):
-    indices = stage(index(spark, sf_dir), "stream-index")
-    path = indices.inputFiles()[0].rsplit("/", 1)[0]
-    stream = streaming.stream_readings(spark, path, indices.schema)
+    indices = index(spark, sf_dir)
+    stream = streaming.stream_readings(
+        spark, write_table(indices, "stream-index"), indices.schema
+    )
     target = fresh(spark, "stream-profile")
     streaming.write_stream_batches(
         streaming.stream_periodic_index(stream), target, f"{target}-checkpoint", "complete"
@@ -890,7 +899,8 @@ def stream_adjusted(spark, sf_dir):
 @query
 def stream_wordcount(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    lines = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parquet")
+    reader = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
+    lines = reader.parquet(sf_dir)
     target = fresh(spark, "stream-words")
     streaming.write_stream_batches(
         streaming.stream_wordcount(lines), target, f"{target}-checkpoint"

@@ -47,17 +47,20 @@ def epoch_us(ts: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def whole_div(value: Column, width: int) -> Column:
+    """Integer quotient rounded down, also for negative values."""
+    value = value.cast("long")
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
+
+
 def time_block(ts: str = "ts", width: str | timedelta = TIME_BLOCK) -> Column:
     """Number of the time block a row falls into."""
-    us = duration_us(width)
-    t = epoch_us(ts)
-    return ((t - F.pmod(t, F.lit(us))) / F.lit(us)).cast("long")
+    return whole_div(epoch_us(ts), duration_us(width))
 
 
 def row_block(position: str = "i", width: int = ROW_BLOCK) -> Column:
     """Number of the block of ``width`` consecutive positions a row falls into."""
-    i = F.col(position)
-    return ((i - F.pmod(i, F.lit(width))) / F.lit(width)).cast("long")
+    return whole_div(F.col(position), width)
 
 
 def with_halo(
@@ -73,7 +76,7 @@ def with_halo(
         raise ValueError("the halo must not be wider than a block")
     pos = F.col(position)
     offset = F.pmod(pos, F.lit(width))
-    own = ((pos - offset) / F.lit(width)).cast("long")
+    own = whole_div(pos, width)
     homes = [own]
     if before:
         homes.append(F.when(offset >= width - before, own + 1))
@@ -186,7 +189,10 @@ def pack(
     totals = dict(totals or {})
     keys = list(keys)
     columns = [*order, *[c for c in df.columns if c not in (*keys, *order)]]
-    packed = df.groupBy(*keys, block.alias("_b")).agg(
+    # A block number that cannot be null adds no filter of its own to the joins below,
+    # so their plans stay equal and share the shuffle.
+    number = F.coalesce(block, F.lit(0).cast("long")).alias("_b")
+    packed = df.groupBy(*keys, number).agg(
         F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows")
     )
     plus = lambda a, x: a + F.coalesce(x, F.lit(0.0))

@@ -10,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from meterloom.functions.blocks import duration_us, epoch_us
+from meterloom.functions.blocks import duration_us, epoch_us, whole_div
 
 # Fixed value: day codes count from the first day of this year.
 DAYSLOT_ORIGIN = "2009-01-01"
@@ -34,9 +34,7 @@ def slot_start(ts: str | Column, period: str | timedelta) -> Column:
 
 def slot_number(ts: str, period: str | timedelta) -> Column:
     """Index of that slot since the epoch."""
-    us = F.lit(duration_us(period))
-    t = epoch_us(ts)
-    return ((t - F.pmod(t, us)) / us).cast("long")
+    return whole_div(epoch_us(ts), duration_us(period))
 
 
 def day_number(ts: str = "ts", origin: str = DAYSLOT_ORIGIN, day_base: int = 1) -> Column:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterloom.functions.blocks import pack, spread_join
+from meterloom.functions.blocks import pack, spread_join, whole_div
 from meterloom.operators.thermal import date_block
 
 # Slopes of the three sections, load limits, noise of the temperature
@@ -52,8 +52,7 @@ def synth_ids(spark: SparkSession, n: int, partitions: int | None = None) -> Dat
 
 def number_profiles(activity: DataFrame, meter: str = "meter_id") -> DataFrame:
     """Add ``number`` 0..n-1 in meter order and the count ``n``, without one global sort."""
-    id = F.col(meter).cast("long")
-    bucket = ((id - F.pmod(id, F.lit(_METERS_PER_BLOCK))) / F.lit(_METERS_PER_BLOCK)).cast("long")
+    bucket = whole_div(F.col(meter), _METERS_PER_BLOCK)
     return pack(activity, [], [meter], bucket).rows().withColumnRenamed("i", "number")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.functions.blocks import pack, spread_join
+from meterloom.functions.blocks import pack, spread_join, whole_div
 from meterloom.operators.series import gram
 
 # Hinge temperatures of the regression.
@@ -45,8 +45,7 @@ def hinges(temperature: str = "temperature") -> dict[str, Column]:
 
 
 def date_block(date: str = "date", days: int = _DAYS_PER_BLOCK) -> Column:
-    day = F.unix_date(date).cast("long")
-    return ((day - F.pmod(day, F.lit(days))) / F.lit(days)).cast("long")
+    return whole_div(F.unix_date(date), days)
 
 
 def lag_features(weather: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:

@@ -59,13 +59,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as parquet to a new folder under the shared one; returns its path."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/meterloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage at a point several later jobs start from, and survives the
     loss of executors because the files do not live on them.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/meterloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write_table(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
