@@ -185,7 +185,8 @@ ORACLE["normalize_index"] = f"{HALF_HOURLY} SELECT {CELL}, {r(SCALED, 6, 'pi')}
 ORACLE["normalize_index_as_written"] = f"""{HALF_HOURLY}
 SELECT {CELL}, {r(f"{SCALED} / (hour + 1)", 6, "pi")} FROM pi"""
 ORACLE["pack_profile"] = f"""{HALF_HOURLY}
-SELECT key AS profile_key, CAST((dow - 1) * 24 + hour AS INTEGER) AS cell, {r("pi", 6, "pi")} FROM pi"""
+SELECT key AS profile_key, CAST(dow AS INTEGER) AS dow, CAST(hour AS INTEGER) AS hour,
+       {r("pi", 6, "pi")} FROM pi"""
 COLS = "key, profile_key, ts, CAST(dow AS INTEGER) AS dow"
 ORACLE["peaks"] = f"""{HALF_HOURLY}
 SELECT r.key, p.key AS profile_key, r.ts, CAST(p.dow AS INTEGER) AS dow,

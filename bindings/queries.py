@@ -370,8 +370,8 @@ def normalize_index_as_written(spark, sf_dir):
 @query
 def pack_profile(spark, sf_dir):
     packed = op.pack_profile(profile(spark, sf_dir))
-    cells = packed.select("profile_key", F.posexplode("pis").alias("cell", "pi"))
-    return out(cells.where("pi IS NOT NULL"), "profile_key", "cell", pi=6)
+    cells = packed.select("profile_key", "dow", F.posexplode("pis").alias("hour", "pi"))
+    return out(cells.where("pi IS NOT NULL"), "profile_key", "dow", "hour", pi=6)
 
 
 @query
@@ -388,8 +388,8 @@ def peaks_paired(spark, sf_dir):
 
 @query
 def peaks_users(spark, sf_dir):
-    filled = readings(spark, sf_dir, "user_id")
-    tops = op.peaks(filled, profile(spark, sf_dir, "user_id"))
+    filled = stage(readings(spark, sf_dir, "user_id"), "readings")
+    tops = op.peaks(filled, op.periodic_index(op.raw_index(filled)))
     return out(tops, "key", "profile_key", "ts", "dow", peak=4)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from datetime import timedelta
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 TIME_BLOCK = "28 days"
@@ -103,47 +103,64 @@ class Blocks(NamedTuple):
 
     def rows(
         self,
-        shifts: Mapping[str, tuple[str, int]] | None = None,
+        back: int = 0,
+        ahead: int = 0,
         extra: DataFrame | None = None,
         how: str = "inner",
-        keep_block: bool = False,
     ) -> DataFrame:
-        """Readings with position ``i`` (0-based), length ``n`` and the totals.
+        """Readings with position ``i`` (0-based), length ``n``, the totals and ``_b``.
 
-        ``shifts`` maps a new column to ``(source, k)``, the source k positions
-        earlier (later if negative), null beyond the ends.  ``extra`` is a table with
-        one or more rows per series whose columns are attached; it is joined to the
-        offsets first and so reaches the readings per block.
+        With ``back`` or ``ahead`` each block also holds copies of that many readings
+        before and after it; windows over `window` then see across its edges, and
+        rows that are not ``_own`` must be filtered out afterwards.  ``extra`` is a
+        table per series whose columns are attached; it is joined to the offsets
+        first and so reaches the readings per block.
         """
-        shifts = dict(shifts or {})
-        back = max([0, *[k for _, k in shifts.values()]])
-        ahead = max([0, *[-k for _, k in shifts.values()]])
         beside = self.offsets
         if extra is not None:
             beside = beside.join(extra, self.keys, how)
         if back or ahead:
             beside = beside.join(self._edges(back, ahead), [*self.keys, "_b"])
         joined = self.packed.join(beside, [*self.keys, "_b"])
-        size = F.size("_rows")
-        zipped = [F.col("_rows").alias("r")]
-        for name, (source, k) in shifts.items():
-            padded = F.col(f"_rows.{source}")
-            if back:
-                padded = F.concat(F.col(f"_back.{source}"), padded)
-            if ahead:
-                padded = F.concat(padded, F.col(f"_ahead.{source}"))
-            zipped.append(F.slice(padded, F.lit(back - k + 1), size).alias(name))
-        hidden = {"_rows", "_before", "_back", "_ahead", "_b"}
-        outer = [c for c in joined.columns if c not in hidden] + (["_b"] if keep_block else [])
+        parts = [F.col("_back")] if back else []
+        parts += [F.col("_rows")]
+        parts += [F.col("_ahead")] if ahead else []
+        outer = [c for c in beside.columns if c not in ("_before", "_back", "_ahead")]
         exploded = joined.select(
-            *outer, "_before", F.posexplode(F.arrays_zip(*zipped)).alias("_p", "_z")
+            *outer,
+            F.col("_before"),
+            F.size("_rows").alias("_size"),
+            F.posexplode(F.concat(*parts) if len(parts) > 1 else F.col("_rows")).alias("_p", "_r"),
         )
+        inside = F.col("_p") - back
+        own = (inside >= 0) & (inside < F.col("_size"))
+        if back or ahead:
+            exploded = exploded.where(F.col("_r").isNotNull())
         return exploded.select(
             *self.keys,
-            *[F.col(f"_z.r.{c}").alias(c) for c in self.columns],
-            (F.col("_before") + F.col("_p")).alias("i"),
+            *[F.col(f"_r.{c}").alias(c) for c in self.columns],
+            (F.col("_before") + inside).alias("i"),
             *[c for c in outer if c not in self.keys],
-            *[F.col(f"_z.{name}") for name in shifts],
+            *([own.alias("_own")] if back or ahead else []),
+        )
+
+    def window(self) -> WindowSpec:
+        """Rows of a block, copies included, in order; needs no further shuffle."""
+        return Window.partitionBy(*self.keys, "_b").orderBy("i")
+
+    def shifted(self, shifts: Mapping[str, tuple[str, int]]) -> DataFrame:
+        """`rows` with new columns ``(source, k)``: the source k positions earlier.
+
+        Negative k looks ahead; beyond the ends of the series it is null.
+        """
+        reach = [k for _, k in shifts.values()]
+        back, ahead = max([0, *reach]), max([0, *[-k for k in reach]])
+        window = self.window()
+        return (
+            self.rows(back, ahead)
+            .withColumns({name: F.lag(c, k).over(window) for name, (c, k) in shifts.items()})
+            .where("_own")
+            .drop("_own")
         )
 
     def _edges(self, back: int, ahead: int) -> DataFrame:
@@ -237,13 +254,19 @@ def running_total(
     )
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+def spread_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    block: Column,
+    also: Sequence[str] = (),
+) -> DataFrame:
     """Inner join of readings with a per-series table, safe for a dominant series.
 
     ``small`` is first spread over the blocks that occur in ``big``, so the join
-    is on ``keys + block`` and no task receives more than a block per series.
+    is on ``keys + also + block`` and no task receives more than a block per series.
     Spark still broadcasts the spread table where its measured size allows it.
     """
     tagged = big.withColumn("_b", block)
     spread = tagged.select(*keys, "_b").distinct().join(small, list(keys))
-    return tagged.join(spread, [*keys, "_b"]).drop("_b")
+    return tagged.join(spread, [*keys, *also, "_b"]).drop("_b")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def words(text: str | Column) -> Column:
-    """Lower-cased runs of word characters, empty tokens removed."""
+    """Lower-cased runs of word characters."""
     col = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(col), r"\W+"), lambda w: F.length(w) > 0)
+    return F.regexp_extract_all(F.lower(col), F.lit(r"\w+"), F.lit(0))
 
 
 def _escaped(tag: Column) -> Column:

@@ -365,7 +365,7 @@ def arma_residuals(
     start = max([0, *ar, *ma])
     keys = list(keys)
     blocks = pack(series, keys, [ts], time_block(ts, block))
-    shifted = blocks.rows({f"_x{k}": (value, k) for k in ar}, keep_block=True)
+    shifted = blocks.shifted({f"_x{k}": (value, k) for k in ar})
     part = F.col(value).cast("double")
     for lag, coef in ar.items():
         part = part - F.lit(float(coef)) * F.col(f"_x{lag}")

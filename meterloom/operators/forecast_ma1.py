@@ -67,26 +67,30 @@ def _at(position: Column | int, value: Column) -> Column:
 
 
 def _moments(blocks: Blocks) -> DataFrame:
-    """Every sum over the lagged rows that the two estimations need, per series."""
-    rows = blocks.rows({f"x{k}": ("x", k) for k in (1, 2, 3)}).where(F.col("n") >= MIN_POINTS)
+    """Every sum over the lagged rows that the two estimations need, per series.
+
+    ``y`` is centred on the whole series, so only the ``held`` fit, whose mean is that of
+    fewer points, needs sums of y next to the sums of products.
+    """
+    rows = blocks.shifted({f"x{k}": ("x", k) for k in (1, 2, 3)}).where(F.col("n") >= MIN_POINTS)
     i, n, mean = F.col("i"), F.col("n"), _mean()
     y = [F.col(name) - mean for name in ("x", "x1", "x2", "x3")]
     sums = [F.any_value(n).alias("n"), F.any_value(mean).alias("mu")]
+    sums.append(F.array(*[_at(k, y[0]) for k in range(4)]).alias("start"))
     for fit in _FITS:
         N, L = _length(fit)
         fitted, train = i < N, (i >= 3) & (i < L)
-        cells = {"sum": _sum_if(fitted, y[0]), "last": _at(L, y[0])}
+        cells = {"N": F.any_value(N), "L": F.any_value(L), "last": _at(L, y[0])}
         for j in range(3):
-            here = fitted & (i >= j)
-            cells[f"r{j}"] = _sum_if(here, y[0] * y[j])
-            cells[f"e{j}"] = _sum_if(here, y[0] + y[j])
-        for a in range(4):
-            cells[f"s{a}"] = _sum_if(train, y[a])
+            cells[f"r{j}"] = _sum_if(fitted & (i >= j), y[0] * y[j])
         for a, b in _PRODUCTS:
             cells[f"p{a}{b}"] = _sum_if(train, y[a] * y[b])
-        for k in (1, 2, 3):
-            cells[f"y{k}"] = _at(k, y[0])
-        cells["N"], cells["L"] = F.any_value(N), F.any_value(L)
+        if fit == "held":
+            cells["sum"] = _sum_if(fitted, y[0])
+            for j in range(3):
+                cells[f"e{j}"] = _sum_if(fitted & (i >= j), y[0] + y[j])
+            for a in range(4):
+                cells[f"s{a}"] = _sum_if(train, y[a])
         sums.append(F.struct(*[c.alias(name) for name, c in cells.items()]).alias(fit))
     first_out = _length("held")[0]
     rest = {
@@ -106,18 +110,20 @@ def _limited(pivot: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
     return np.where(pivot == 0, least, np.where(small, np.copysign(least, pivot), pivot))
 
 
-def _candidate_coefficients(m: pd.DataFrame) -> pd.DataFrame:
+def _candidate_coefficients(m: pd.DataFrame, start: pd.Series) -> pd.DataFrame:
     """Mean shift and the coefficient of every round, for many series at once."""
-    shift = (m["sum"] / m["N"]).to_numpy()
+    none = np.zeros(len(m))
+    total = lambda name: m[name].to_numpy() if name in m else none
+    shift = total("sum") / m["N"].to_numpy()
     # The fit's own mean differs from the series mean by `shift`; products of
     # y - shift follow from products and sums of y.
-    c = [(m[f"r{j}"] - shift * m[f"e{j}"] + (m["N"] - j) * shift**2) / m["N"] for j in range(3)]
+    c = [(m[f"r{j}"] - shift * total(f"e{j}") + (m["N"] - j) * shift**2) / m["N"] for j in range(3)]
     count = m["L"] - 3
     p = {
-        (a, b): m[f"p{a}{b}"] - shift * (m[f"s{a}"] + m[f"s{b}"]) + count * shift**2
+        (a, b): m[f"p{a}{b}"] - shift * (total(f"s{a}") + total(f"s{b}")) + count * shift**2
         for a, b in _PRODUCTS
     }
-    y1, y2, y3 = (m[f"y{k}"] - shift for k in (1, 2, 3))
+    _, y1, y2, y3 = np.array(start.tolist(), dtype=float).T - shift
     # An autoregression of order 2 gives the first errors.
     d0 = _limited(c[0], 0.0)
     slope = c[1] / d0
@@ -137,12 +143,12 @@ def _candidate_coefficients(m: pd.DataFrame) -> pd.DataFrame:
 
 
 @F.pandas_udf(_CANDIDATES)
-def _candidates(moments: pd.DataFrame) -> pd.DataFrame:
-    return _candidate_coefficients(moments)
+def _candidates(moments: pd.DataFrame, start: pd.Series) -> pd.DataFrame:
+    return _candidate_coefficients(moments, start)
 
 
 def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
-    """Geometric sums up to position L-1 and from L to N-1, per fit and candidate."""
+    """Geometric sums up to position L-1 per candidate, and for ``held`` from L to N-1."""
     rows = blocks.rows(extra=candidates)
     i, y, sums = F.col("i"), F.col("x") - _mean(), []
     for fit in _FITS:
@@ -153,7 +159,8 @@ def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
         for k in range(ROUNDS):
             term = F.pow(-F.get(f"c_{fit}.theta", F.lit(k)), power) * centred
             sums.append(_sum_if(early, term).alias(f"{fit}_early{k}"))
-            sums.append(_sum_if(late, term).alias(f"{fit}_late{k}"))
+            if fit == "held":
+                sums.append(_sum_if(late, term).alias(f"{fit}_late{k}"))
     return rows.groupBy(*blocks.keys).agg(*sums)
 
 
@@ -165,7 +172,9 @@ def _best(fit: str) -> Column:
     choices = []
     for k in range(ROUNDS):
         theta, early = F.get(f"c_{fit}.theta", F.lit(k)), F.col(f"{fit}_early{k}")
-        error = F.pow(-theta, length) * early + F.col(f"{fit}_late{k}")
+        # The full fit has one row from L on, the target itself.
+        late = target if fit == "full" else F.col(f"{fit}_late{k}")
+        error = F.pow(-theta, length) * early + late
         score = F.abs(target - theta * early)
         choices.append(
             F.struct(
@@ -181,7 +190,7 @@ def estimate(blocks: Blocks) -> DataFrame:
     ``mu, theta, error`` (the last one-step error), ``n_test`` and ``rmse`` of the
     held-out back-test, ``variance`` of the centred series.
     """
-    moments = _moments(blocks).withColumns({f"c_{fit}": _candidates(fit) for fit in _FITS})
+    moments = _moments(blocks).withColumns({f"c_{fit}": _candidates(fit, "start") for fit in _FITS})
     errors = _errors(blocks, moments.select(*blocks.keys, *[f"c_{fit}" for fit in _FITS]))
     both = moments.join(errors, blocks.keys).withColumns(
         {f"best_{fit}": _best(fit) for fit in _FITS}

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.blocks import TIME_BLOCK, spread_join, time_block
-from meterloom.functions.calendar import hour_of_week
-
-HOURS_PER_WEEK = 168
 
 
 def periodic_index(
@@ -45,15 +42,10 @@ def normalize_index(profile: DataFrame, as_written: bool = False) -> DataFrame:
 
 
 def pack_profile(profile: DataFrame) -> DataFrame:
-    """``(profile_key, pis)`` with 168 entries per profile, null where it has none."""
-    cell = (F.col("dow") - 1) * 24 + F.col("hour")
-    cells = F.map_from_entries(F.collect_list(F.struct(cell.alias("c"), "pi")))
-    return profile.groupBy(F.col("key").alias("profile_key")).agg(cells.alias("_cells")).select(
-        "profile_key",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(HOURS_PER_WEEK - 1)),
-            lambda c: F.try_element_at("_cells", c),
-        ).alias("pis"),
+    """``(profile_key, dow, pis)``: 24 entries per weekday, null where there is none."""
+    hours = [F.max(F.when(F.col("hour") == h, F.col("pi"))) for h in range(24)]
+    return profile.groupBy(F.col("key").alias("profile_key"), "dow").agg(
+        F.array(*hours).alias("pis")
     )
 
 
@@ -64,19 +56,25 @@ def with_profile(
     ts: str = "ts",
     block: str | timedelta = TIME_BLOCK,
 ) -> DataFrame:
-    """Readings with ``profile_key`` and ``pi``, the profile entry of their hour.
+    """Readings with ``profile_key``, ``dow`` and ``pi``, the profile entry of their hour.
 
     Without ``pairs`` each key meets its own profile.  ``pairs(key, profile_key)``
-    lists which profiles a key is set against.  A profile travels as one row per
-    key, and is spread over the key's time blocks before the join.
+    lists which profiles a key is set against.  A profile travels as seven rows,
+    and is spread over the key's time blocks before the join.
     """
     packed = pack_profile(profile)
     if pairs is None:
         packed = packed.withColumn("key", F.col("profile_key"))
     else:
         packed = pairs.select("key", "profile_key").distinct().join(packed, "profile_key")
-    joined = spread_join(readings, packed, ["key"], time_block(ts, block))
-    return joined.withColumn("pi", F.get("pis", hour_of_week(ts))).drop("pis")
+    joined = spread_join(
+        readings.withColumn("dow", F.dayofweek(ts)),
+        packed,
+        ["key"],
+        time_block(ts, block),
+        also=["dow"],
+    )
+    return joined.withColumn("pi", F.get("pis", F.hour(ts))).drop("pis")
 
 
 def _against_profile(
@@ -92,7 +90,7 @@ def _against_profile(
     return (
         with_profile(readings, profile, pairs, ts, block)
         .where(keep)
-        .select("key", "profile_key", ts, F.dayofweek(ts).alias("dow"), formula.alias(name))
+        .select("key", "profile_key", ts, "dow", formula.alias(name))
     )
 
 

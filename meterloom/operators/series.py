@@ -73,7 +73,7 @@ def difference(
     for j in range(1, times + 1):
         diff = diff + F.lit(float((-1) ** j * comb(times, j))) * F.col(f"_x{j}")
     return (
-        blocks.rows(shifts)
+        blocks.shifted(shifts)
         .withColumn("diff", F.when(F.col("i") >= lag * times, diff))
         .select(*series.columns, "i", "diff")
     )
@@ -136,7 +136,7 @@ def autocovariance(
     blocks = pack(
         series.select(*keys, ts, value), keys, [ts], time_block(ts, block), totals={"_sum": value}
     )
-    rows = blocks.rows({f"_x{j}": (value, j) for j in lags})
+    rows = blocks.shifted({f"_x{j}": (value, j) for j in lags})
     mean = F.col("_sum") / F.col("n")
     x = F.col(value) - mean
     sums = [F.sum(x * x)]

@@ -82,15 +82,20 @@ def centered_ma(
     ``-half+1 .. half``, so both outermost readings count half.  The first ``half`` and last ``half`` readings keep their value.
     """
     blocks = pack(readings, keys, [ts], time_block(ts, block))
-    shifts = {f"_s{k}": (value, k) for k in range(-half, half + 1) if k}
-    around = F.col(value)
-    for k in range(1, half + 1):
-        both = F.col(f"_s{k}") + F.col(f"_s{-k}")
-        around = around + (both if k < half else both * 0.5)
+    rows = blocks.window()
+    between = F.sum(value).over(rows.rowsBetween(-half + 1, half - 1))
+    ends = F.lag(value, half).over(rows) + F.lead(value, half).over(rows)
     inner = (F.col("i") >= half) & (F.col("i") < F.col("n") - half)
     return (
-        blocks.rows(shifts)
-        .withColumn("cma", F.when(inner, around / (2 * half)).otherwise(F.col(value)))
+        blocks.rows(half, half)
+        .withColumns({"_between": between, "_ends": ends})
+        .where("_own")
+        .withColumn(
+            "cma",
+            F.when(inner, (F.col("_between") + F.col("_ends") * 0.5) / (2 * half)).otherwise(
+                F.col(value)
+            ),
+        )
         .select(*readings.columns, "cma")
     )
 

@@ -53,7 +53,7 @@ def synth_ids(spark: SparkSession, n: int, partitions: int | None = None) -> Dat
 def number_profiles(activity: DataFrame, meter: str = "meter_id") -> DataFrame:
     """Add ``number`` 0..n-1 in meter order and the count ``n``, without one global sort."""
     bucket = whole_div(F.col(meter), _METERS_PER_BLOCK)
-    return pack(activity, [], [meter], bucket).rows().withColumnRenamed("i", "number")
+    return pack(activity, [], [meter], bucket).rows().withColumnRenamed("i", "number").drop("_b")
 
 
 def synth_assign(

@@ -55,8 +55,8 @@ def lag_features(weather: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
     days are missing; the first three rows of a group make no regression row.
     """
     blocks = pack(weather, group, ["date", "reading"], date_block())
-    lagged = blocks.rows({f"lag{k}": ("reading", k) for k in (1, 2, 3)})
-    return lagged.where(F.col("i") >= 3).withColumns(hinges()).drop("i", "n")
+    lagged = blocks.shifted({f"lag{k}": ("reading", k) for k in (1, 2, 3)})
+    return lagged.where(F.col("i") >= 3).withColumns(hinges()).drop("i", "n", "_b")
 
 
 def _solve_normal_equations(products: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
