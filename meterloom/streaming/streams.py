@@ -104,12 +104,24 @@ def stream_raw_index(
 ) -> DataFrame:
     """`raw_index` of a stream: readings joined with closed windows on key and start.
 
-    The equality on event time bounds the join state by the watermark.
+    A window closes only when the watermark has passed its end, so readings must
+    stay in the join state for as long as a window lasts: the time range in the condition
+    says so, and also lets older ones go.
     """
     averages = _windowed(readings, ts, value, window, slide, points).select(
-        F.col("key").alias("_key"), F.col("window.start").alias("_start"), "ma"
+        F.col("key").alias("_key"),
+        F.unix_micros("window.start").alias("_start"),
+        F.window_time("window").alias("_closed"),
+        "ma",
+    )
+    length = F.expr(f"INTERVAL {duration_us(window) // 1_000_000} SECONDS")
+    joined = readings.join(
+        averages,
+        (F.col("key") == F.col("_key"))
+        & (epoch_us(ts) == F.col("_start"))
+        & (F.col(ts) >= F.col("_closed") - length)
+        & (F.col(ts) <= F.col("_closed")),
     )
-    joined = readings.join(averages, (F.col("key") == F.col("_key")) & (F.col(ts) == F.col("_start")))
     index = F.when(F.col("ma") != 0, F.col(value) / F.col("ma")).otherwise(F.col(value))
     return joined.select("key", F.col(ts).alias("ts"), index.alias("ri"))
 
