@@ -94,25 +94,20 @@ def forecast_arima(
     return _forecast_grouped(series, order, keys, ts, value, align, steps, period, psi_shift)
 
 
-def _lengths(blocks: Blocks, *more: Column) -> DataFrame:
-    """Length of every series, and further aggregates over its block rows."""
-    size = F.sum(F.size("_rows")).alias("n")
-    return blocks.packed.groupBy(*blocks.keys).agg(size, *more)
-
-
 def _forecast_ma1(
     series, order, keys, ts, value, align, steps, period, psi_shift, block
 ) -> DataFrame:
     blocks = forecast_ma1.cut(series, keys, ts, value, block)
     params = forecast_ma1.estimate(blocks)
     if align == "in_place":
-        rows = blocks.rows(extra=params, how="left").withColumnRenamed("i", "step")
+        rows = blocks.rows(extra=params.drop("n")).withColumnRenamed("i", "step")
         rows = rows.withColumn("_size", F.col("n"))
     else:
+        ends = blocks.packed.groupBy(*keys).agg(F.max(F.element_at("_rows", -1)[ts]).alias("_last"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))
         rows = (
-            _lengths(blocks, F.max(F.element_at("_rows", -1)[ts]).alias("_last"))
-            .join(params, list(keys), "left")
-            .withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+            ends.join(params, list(keys))
+            .withColumn("step", F.explode(numbers))
             .withColumn(ts, _future(F.col("_last"), F.col("step"), period))
             .withColumn("_size", F.lit(steps))
         )
@@ -127,7 +122,7 @@ def _forecast_ma1(
         (yhat - bound).alias("lo"),
         (yhat + bound).alias("hi"),
         "rmse",
-        F.when(F.col("mu").isNull(), "too_short").otherwise("ok").alias("status"),
+        "status",
         _log(order, F.col("_size"), F.col("n")).alias("log"),
     )
 
@@ -204,7 +199,7 @@ def forecast_models(
     the largest squared 95 % bound over the forecast relative to the data variance.
     """
     blocks = forecast_ma1.cut(series, keys, ts, value, block)
-    models = _lengths(blocks).join(forecast_ma1.estimate(blocks), list(keys))
+    models = forecast_ma1.estimate(blocks).where("status = 'ok'").drop("status")
     bound = Z95 * F.col("rmse") * _ma1_spread(F.col("n") - 1, psi_shift)
     square = bound * bound
     # Fixed value: variances under this count as zero.
@@ -224,10 +219,7 @@ def backtest(
     keys = list(keys)
     if _is_plain_ma1(order):
         blocks = forecast_ma1.cut(series, keys, ts, value, block)
-        models = forecast_ma1.estimate(blocks).select(*keys, "n_test", "rmse")
-        return _lengths(blocks).join(models, keys, "left").withColumn(
-            "status", F.when(F.col("rmse").isNull(), "too_short").otherwise("ok")
-        )
+        return forecast_ma1.estimate(blocks).select(*keys, "n", "n_test", "rmse", "status")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("us")["x"].to_numpy()

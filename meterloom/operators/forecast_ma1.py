@@ -72,7 +72,7 @@ def _moments(blocks: Blocks) -> DataFrame:
     ``y`` is centred on the whole series, so only the ``held`` fit, whose mean is that of
     fewer points, needs sums of y next to the sums of products.
     """
-    rows = blocks.shifted({f"x{k}": ("x", k) for k in (1, 2, 3)}).where(F.col("n") >= MIN_POINTS)
+    rows = blocks.shifted({f"x{k}": ("x", k) for k in (1, 2, 3)})
     i, n, mean = F.col("i"), F.col("n"), _mean()
     y = [F.col(name) - mean for name in ("x", "x1", "x2", "x3")]
     sums = [F.any_value(n).alias("n"), F.any_value(mean).alias("mu")]
@@ -111,7 +111,10 @@ def _limited(pivot: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
 
 
 def _candidate_coefficients(m: pd.DataFrame, start: pd.Series) -> pd.DataFrame:
-    """Mean shift and the coefficient of every round, for many series at once."""
+    """Mean shift and the coefficient of every round, for many series at once.
+
+    Series that are too short give meaningless numbers here and are masked later.
+    """
     none = np.zeros(len(m))
     total = lambda name: m[name].to_numpy() if name in m else none
     shift = total("sum") / m["N"].to_numpy()
@@ -144,13 +147,18 @@ def _candidate_coefficients(m: pd.DataFrame, start: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(_CANDIDATES)
 def _candidates(moments: pd.DataFrame, start: pd.Series) -> pd.DataFrame:
-    return _candidate_coefficients(moments, start)
+    with np.errstate(all="ignore"):
+        return _candidate_coefficients(moments, start)
 
 
 def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
-    """Geometric sums up to position L-1 per candidate, and for ``held`` from L to N-1."""
+    """Geometric sums up to position L-1 per candidate, and for ``held`` from L to N-1.
+
+    The columns of ``candidates`` are constant per series and kept.
+    """
     rows = blocks.rows(extra=candidates)
-    i, y, sums = F.col("i"), F.col("x") - _mean(), []
+    i, y = F.col("i"), F.col("x") - _mean()
+    sums = [F.any_value(c).alias(c) for c in ("n", *candidates.columns) if c not in blocks.keys]
     for fit in _FITS:
         N, L = _length(fit)
         early, late = (i >= 1) & (i < L), (i >= L) & (i < N)
@@ -166,15 +174,14 @@ def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
 
 def _best(fit: str) -> Column:
     """Candidate with the lowest held-back error, the first of equals."""
-    cell = lambda name: F.col(f"{fit}.{name}")
-    target = cell("last") - F.col(f"c_{fit}.shift")
-    length = (cell("N") - cell("L")).cast("double")
+    target = F.col(f"kept.{fit}_last") - F.col(f"c_{fit}.shift")
+    N, L = _length(fit)
     choices = []
     for k in range(ROUNDS):
         theta, early = F.get(f"c_{fit}.theta", F.lit(k)), F.col(f"{fit}_early{k}")
         # The full fit has one row from L on, the target itself.
         late = target if fit == "full" else F.col(f"{fit}_late{k}")
-        error = F.pow(-theta, length) * early + late
+        error = F.pow(-theta, (N - L).cast("double")) * early + late
         score = F.abs(target - theta * early)
         choices.append(
             F.struct(
@@ -185,28 +192,46 @@ def _best(fit: str) -> Column:
 
 
 def estimate(blocks: Blocks) -> DataFrame:
-    """One row per series of at least 7 points.
+    """One row per series: ``n, mu, theta, error, n_test, rmse, variance, status``.
 
-    ``mu, theta, error`` (the last one-step error), ``n_test`` and ``rmse`` of the
-    held-out back-test, ``variance`` of the centred series.
+    ``error`` is the last one-step error, ``rmse`` that of the held-out back-test and
+    ``variance`` that of the centred series.  Series of fewer than 7 points cannot be
+    held out; they have ``status`` too_short and nulls.
     """
-    moments = _moments(blocks).withColumns({f"c_{fit}": _candidates(fit, "start") for fit in _FITS})
-    errors = _errors(blocks, moments.select(*blocks.keys, *[f"c_{fit}" for fit in _FITS]))
-    both = moments.join(errors, blocks.keys).withColumns(
-        {f"best_{fit}": _best(fit) for fit in _FITS}
+    kept = {
+        "mu": F.col("mu"),
+        "full_last": F.col("full.last"),
+        "held_last": F.col("held.last"),
+        "square": F.col("full.r0"),
+        "rest_sum": F.col("rest.sum"),
+        "rest_square": F.col("rest.square"),
+        "rest_first": F.col("rest.first"),
+    }
+    candidates = _moments(blocks).select(
+        *blocks.keys,
+        *[_candidates(fit, "start").alias(f"c_{fit}") for fit in _FITS],
+        F.struct(*[c.alias(name) for name, c in kept.items()]).alias("kept"),
     )
-    shift, t = F.col("c_held.shift"), F.col("rest.t")
+    both = _errors(blocks, candidates).withColumns({f"best_{fit}": _best(fit) for fit in _FITS})
+    n, (first_out, _), shift = F.col("n"), _length("held"), F.col("c_held.shift")
+    t = n - first_out
     # Squared error of the mean over the held-out rows, then the first step corrected.
-    spread = F.col("rest.square") - 2 * shift * F.col("rest.sum") + t * shift * shift
-    off = F.col("rest.first") - shift
+    spread = F.col("kept.rest_square") - 2 * shift * F.col("kept.rest_sum") + t * shift * shift
+    off = F.col("kept.rest_first") - shift
     step = off - F.col("best_held.theta") * F.col("best_held.error")
     squares = F.greatest(spread - off * off, F.lit(0.0)) + step * step
+    enough = n >= MIN_POINTS
+    result = {
+        "mu": F.col("kept.mu"),
+        "theta": F.col("best_full.theta"),
+        "error": F.col("best_full.error"),
+        "n_test": t,
+        "rmse": F.sqrt(F.try_divide(squares, t)),
+        "variance": F.try_divide(F.col("kept.square"), n - 1),
+    }
     return both.select(
         *blocks.keys,
-        "mu",
-        F.col("best_full.theta").alias("theta"),
-        F.col("best_full.error").alias("error"),
-        t.alias("n_test"),
-        F.sqrt(squares / t).alias("rmse"),
-        (F.col("full.r0") / (F.col("n") - 1)).alias("variance"),
+        "n",
+        *[F.when(enough, c).alias(name) for name, c in result.items()],
+        F.when(enough, "ok").otherwise("too_short").alias("status"),
     )
