@@ -85,6 +85,11 @@ def profile(spark: SparkSession, sf_dir: str, key: str = "event_type") -> DataFr
     return op.periodic_index(index(spark, sf_dir, key))
 
 
+def with_cells(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings and their own profile."""
+    return filled, op.periodic_index(op.raw_index(filled))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key with itself and with its neighbour in the ring."""
     own = points(spark, sf_dir).select("key", F.col("key").alias("profile_key")).distinct()
@@ -92,9 +97,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.adjusted_series(
-        readings(spark, sf_dir), profile(spark, sf_dir), pairs(spark, sf_dir)
-    )
+    return op.adjusted_series(*with_cells(readings(spark, sf_dir)), pairs(spark, sf_dir))
 
 
 def staged_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,26 +379,25 @@ def pack_profile(spark, sf_dir):
 
 @query
 def peaks(spark, sf_dir):
-    tops = op.peaks(readings(spark, sf_dir), profile(spark, sf_dir))
+    tops = op.peaks(*with_cells(readings(spark, sf_dir)))
     return out(tops, "key", "profile_key", "ts", "dow", peak=4)
 
 
 @query
 def peaks_paired(spark, sf_dir):
-    tops = op.peaks(readings(spark, sf_dir), profile(spark, sf_dir), pairs(spark, sf_dir))
+    tops = op.peaks(*with_cells(readings(spark, sf_dir)), pairs(spark, sf_dir))
     return out(tops, "key", "profile_key", "ts", "dow", peak=4)
 
 
 @query
 def peaks_users(spark, sf_dir):
-    filled = stage(readings(spark, sf_dir, "user_id"), "readings")
-    tops = op.peaks(filled, op.periodic_index(op.raw_index(filled)))
+    tops = op.peaks(*with_cells(stage(readings(spark, sf_dir, "user_id"), "readings")))
     return out(tops, "key", "profile_key", "ts", "dow", peak=4)
 
 
 @query
 def adjusted_series(spark, sf_dir):
-    own = op.adjusted_series(readings(spark, sf_dir), profile(spark, sf_dir))
+    own = op.adjusted_series(*with_cells(readings(spark, sf_dir)))
     return out(own, "key", "profile_key", "ts", "dow", adjusted=4)
 
 

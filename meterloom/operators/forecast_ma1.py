@@ -47,23 +47,32 @@ def cut(
     return pack(narrow, keys, [ts], time_block(ts, block), totals={"_sum": "x"})
 
 
-def _length(fit: str) -> tuple[Column, Column]:
-    """N and L of a fit."""
-    n = F.col("n")
-    t = F.floor(n * F.lit(HOLD_OUT)).cast("long")
-    return (n, n - 1) if fit == "full" else (n - t, n - 2 * t)
+def _sized(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows with ``mu``, the centred value ``y0`` and the N and L of both fits."""
+    held = f"CAST(floor(n * {HOLD_OUT}D) AS BIGINT)"
+    keep = [c for c in rows.columns if c not in ("x", "_sum")]
+    return rows.selectExpr(
+        *keep,
+        "_sum / n AS mu",
+        "x - _sum / n AS y0",
+        *more,
+        "n AS N_full",
+        "n - 1 AS L_full",
+        f"n - {held} AS N_held",
+        f"n - 2 * {held} AS L_held",
+    )
 
 
-def _mean() -> Column:
-    return F.col("_sum") / F.col("n")
+def _sum_if(condition: str, value: str) -> str:
+    return f"coalesce(sum({value}) FILTER (WHERE {condition}), 0D)"
 
 
-def _sum_if(condition: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
+def _at(position: str, value: str = "y0") -> str:
+    return f"max({value}) FILTER (WHERE i = {position})"
 
 
-def _at(position: Column | int, value: Column) -> Column:
-    return F.max(F.when(F.col("i") == position, value))
+def _struct(cells: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in cells.items()) + ")"
 
 
 def _moments(blocks: Blocks) -> DataFrame:
@@ -72,35 +81,32 @@ def _moments(blocks: Blocks) -> DataFrame:
     ``y`` is centred on the whole series, so only the ``held`` fit, whose mean is that of
     fewer points, needs sums of y next to the sums of products.
     """
-    rows = blocks.shifted({f"x{k}": ("x", k) for k in (1, 2, 3)})
-    i, n, mean = F.col("i"), F.col("n"), _mean()
-    y = [F.col(name) - mean for name in ("x", "x1", "x2", "x3")]
-    sums = [F.any_value(n).alias("n"), F.any_value(mean).alias("mu")]
-    sums.append(F.array(*[_at(k, y[0]) for k in range(4)]).alias("start"))
+    lagged = blocks.shifted({f"y{k}": ("x", k) for k in (1, 2, 3)})
+    for_lags = {f"y{k}": F.expr(f"y{k} - _sum / n") for k in (1, 2, 3)}
+    rows = _sized(lagged.withColumns(for_lags))
+    start = ", ".join(_at(str(k)) for k in range(4))
+    sums = ["any_value(mu) AS mu", f"array({start}) AS start"]
     for fit in _FITS:
-        N, L = _length(fit)
-        fitted, train = i < N, (i >= 3) & (i < L)
-        cells = {"N": F.any_value(N), "L": F.any_value(L), "last": _at(L, y[0])}
+        fitted, train = f"i < N_{fit}", f"i >= 3 AND i < L_{fit}"
+        cells = {"N": f"any_value(N_{fit})", "L": f"any_value(L_{fit})", "last": _at(f"L_{fit}")}
         for j in range(3):
-            cells[f"r{j}"] = _sum_if(fitted & (i >= j), y[0] * y[j])
+            cells[f"r{j}"] = _sum_if(f"{fitted} AND i >= {j}", f"y0 * y{j}")
         for a, b in _PRODUCTS:
-            cells[f"p{a}{b}"] = _sum_if(train, y[a] * y[b])
+            cells[f"p{a}{b}"] = _sum_if(train, f"y{a} * y{b}")
         if fit == "held":
-            cells["sum"] = _sum_if(fitted, y[0])
+            cells["sum"] = _sum_if(fitted, "y0")
             for j in range(3):
-                cells[f"e{j}"] = _sum_if(fitted & (i >= j), y[0] + y[j])
+                cells[f"e{j}"] = _sum_if(f"{fitted} AND i >= {j}", f"y0 + y{j}")
             for a in range(4):
-                cells[f"s{a}"] = _sum_if(train, y[a])
-        sums.append(F.struct(*[c.alias(name) for name, c in cells.items()]).alias(fit))
-    first_out = _length("held")[0]
+                cells[f"s{a}"] = _sum_if(train, f"y{a}")
+        sums.append(f"{_struct(cells)} AS {fit}")
     rest = {
-        "t": F.any_value(n - first_out),
-        "sum": _sum_if(i >= first_out, y[0]),
-        "square": _sum_if(i >= first_out, y[0] * y[0]),
-        "first": _at(first_out, y[0]),
+        "sum": _sum_if("i >= N_held", "y0"),
+        "square": _sum_if("i >= N_held", "y0 * y0"),
+        "first": _at("N_held"),
     }
-    sums.append(F.struct(*[c.alias(name) for name, c in rest.items()]).alias("rest"))
-    return rows.groupBy(*blocks.keys).agg(*sums)
+    sums.append(f"{_struct(rest)} AS rest")
+    return rows.groupBy(*blocks.keys).agg(*[F.expr(sql) for sql in sums])
 
 
 def _limited(pivot: np.ndarray, largest: np.ndarray | float) -> np.ndarray:
@@ -156,39 +162,42 @@ def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
 
     The columns of ``candidates`` are constant per series and kept.
     """
-    rows = blocks.rows(extra=candidates)
-    i, y = F.col("i"), F.col("x") - _mean()
-    sums = [F.any_value(c).alias(c) for c in ("n", *candidates.columns) if c not in blocks.keys]
+    rows = _sized(
+        blocks.rows(extra=candidates),
+        *[f"CAST(c_{fit}.shift AS DOUBLE) AS shift_{fit}" for fit in _FITS],
+    )
+    kept = ["n", "N_full", "L_full", "N_held", "L_held"]
+    kept += [c for c in candidates.columns if c not in blocks.keys]
+    sums = [f"any_value({c}) AS {c}" for c in kept]
     for fit in _FITS:
-        N, L = _length(fit)
-        early, late = (i >= 1) & (i < L), (i >= L) & (i < N)
-        power = F.when(early, L - 1 - i).otherwise(N - 1 - i).cast("double")
-        centred = y - F.col(f"c_{fit}.shift")
+        N, L = f"N_{fit}", f"L_{fit}"
+        early, late = f"i >= 1 AND i < {L}", f"i >= {L} AND i < {N}"
         for k in range(ROUNDS):
-            term = F.pow(-F.get(f"c_{fit}.theta", F.lit(k)), power) * centred
-            sums.append(_sum_if(early, term).alias(f"{fit}_early{k}"))
+            base, value = f"-get(c_{fit}.theta, {k})", f"(y0 - shift_{fit})"
+            sums.append(
+                f"{_sum_if(early, f'pow({base}, {L} - 1 - i) * {value}')} AS {fit}_early{k}"
+            )
             if fit == "held":
-                sums.append(_sum_if(late, term).alias(f"{fit}_late{k}"))
-    return rows.groupBy(*blocks.keys).agg(*sums)
+                sums.append(f"{_sum_if(late, f'pow({base}, {N} - 1 - i) * {value}')} AS {fit}_late{k}")
+    return rows.groupBy(*blocks.keys).agg(*[F.expr(sql) for sql in sums])
 
 
 def _best(fit: str) -> Column:
     """Candidate with the lowest held-back error, the first of equals."""
-    target = F.col(f"kept.{fit}_last") - F.col(f"c_{fit}.shift")
-    N, L = _length(fit)
+    target = f"(kept.{fit}_last - c_{fit}.shift)"
     choices = []
     for k in range(ROUNDS):
-        theta, early = F.get(f"c_{fit}.theta", F.lit(k)), F.col(f"{fit}_early{k}")
+        theta, early = f"get(c_{fit}.theta, {k})", f"{fit}_early{k}"
         # The full fit has one row from L on, the target itself.
-        late = target if fit == "full" else F.col(f"{fit}_late{k}")
-        error = F.pow(-theta, (N - L).cast("double")) * early + late
-        score = F.abs(target - theta * early)
-        choices.append(
-            F.struct(
-                score.alias("score"), F.lit(k).alias("k"), theta.alias("theta"), error.alias("error")
-            )
-        )
-    return F.array_min(F.array(*choices))
+        late = target if fit == "full" else f"{fit}_late{k}"
+        cells = {
+            "score": f"abs({target} - {theta} * {early})",
+            "k": str(k),
+            "theta": theta,
+            "error": f"pow(-{theta}, N_{fit} - L_{fit}) * {early} + {late}",
+        }
+        choices.append(_struct(cells))
+    return F.expr(f"array_min(array({', '.join(choices)}))")
 
 
 def estimate(blocks: Blocks) -> DataFrame:
@@ -213,8 +222,8 @@ def estimate(blocks: Blocks) -> DataFrame:
         F.struct(*[c.alias(name) for name, c in kept.items()]).alias("kept"),
     )
     both = _errors(blocks, candidates).withColumns({f"best_{fit}": _best(fit) for fit in _FITS})
-    n, (first_out, _), shift = F.col("n"), _length("held"), F.col("c_held.shift")
-    t = n - first_out
+    n, shift = F.col("n"), F.col("c_held.shift")
+    t = n - F.col("N_held")
     # Squared error of the mean over the held-out rows, then the first step corrected.
     spread = F.col("kept.rest_square") - 2 * shift * F.col("kept.rest_sum") + t * shift * shift
     off = F.col("kept.rest_first") - shift

@@ -43,9 +43,9 @@ def normalize_index(profile: DataFrame, as_written: bool = False) -> DataFrame:
 
 def pack_profile(profile: DataFrame) -> DataFrame:
     """``(profile_key, dow, pis)``: 24 entries per weekday, null where there is none."""
-    hours = [F.max(F.when(F.col("hour") == h, F.col("pi"))) for h in range(24)]
+    hours = ", ".join(f"max(pi) FILTER (WHERE hour = {h})" for h in range(24))
     return profile.groupBy(F.col("key").alias("profile_key"), "dow").agg(
-        F.array(*hours).alias("pis")
+        F.expr(f"array({hours})").alias("pis")
     )
 
 
