@@ -258,7 +258,7 @@ SELECT meter_id, CAST(hour AS INTEGER) AS hour, date,
 GRAM = [(a, b) for k, a in enumerate(["reading", "lag1", "over"]) for b in ["reading", "lag1", "over"][k:]]
 ORACLE["gram"] = f"""{FEATURES}
 SELECT meter_id, CAST(hour AS INTEGER) AS hour,
-       {", ".join(r(f'sum("{a}" * "{b}")', 3, f"g_{a}_{b}") for a, b in GRAM)}
+       {", ".join(r(f'sum("{a}" * "{b}")', 5, f"g_{a}_{b}") for a, b in GRAM)}
 FROM features GROUP BY 1, 2"""
 
 # Models -------------------------------------------------------------------------------

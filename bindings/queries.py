@@ -489,7 +489,7 @@ def gram(spark, sf_dir):
     features = op.lag_features(weather(spark, sf_dir))
     products = op.gram(features, ["meter_id", "hour"], ["reading", "lag1", "over"])
     names = [c for c in products.columns if c.startswith("g_")]
-    return out(products, "meter_id", "hour", **dict.fromkeys(names, 3))
+    return out(products, "meter_id", "hour", **dict.fromkeys(names, 5))
 
 
 # Models -------------------------------------------------------------------------------
@@ -682,7 +682,7 @@ def add_peaks_combos(spark, sf_dir):
 @query
 def decompose(spark, sf_dir):
     """The whole job with its stages written to the shared folder."""
-    result = plans.decompose(points(spark, sf_dir), staged=True)
+    result = plans.decompose(points(spark, sf_dir))
     return out(result.combined, "key", "profile_key", "ts", "dow", value=3)
 
 

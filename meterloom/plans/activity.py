@@ -14,12 +14,22 @@ from meterloom.operators.thermal import (
     fit_thermal_ar,
     lag_features,
 )
+from meterloom.session import stage
 
 
 def train_activity(
-    weather: DataFrame, as_arrays: bool = True, group: Sequence[str] = GROUP
+    weather: DataFrame,
+    as_arrays: bool = True,
+    group: Sequence[str] = GROUP,
+    staged: bool = True,
 ) -> DataFrame:
-    """Regression per meter and hour, temperature effect removed, profile of the rest."""
+    """Regression per meter and hour, temperature effect removed, profile of the rest.
+
+    The readings are passed over three times, so they are written to the shared folder
+    first; ``staged=False`` leaves that out, for readings that are a table already.
+    """
+    if staged:
+        weather = stage(weather, "weather")
     models = fit_thermal_ar(lag_features(weather, group), group)
     return activity_profile(activity_residual(weather, models, group), as_arrays, group)
 

@@ -1,4 +1,4 @@
-"""Readings to de-seasonalised forecasts with their peaks, as one lazy plan."""
+"""Readings to de-seasonalised forecasts with their peaks."""
 
 from __future__ import annotations
 
@@ -34,12 +34,13 @@ def decompose(
     combos: DataFrame | None = None,
     order: Order = DEFAULT_ORDER,
     period: str | timedelta = "30 minutes",
-    staged: bool = False,
+    staged: bool = True,
 ) -> Decomposition:
     """Profile, peaks, adjusted series, forecasts per weekday, and their sum.
 
-    ``staged`` writes the gap-filled readings, the profile and the adjusted series to
-    the shared folder once, since several later stages start from each of them.
+    The gap-filled readings, the profile and the adjusted series are written to the
+    shared folder once, since several later stages start from each of them.  With
+    ``staged=False`` everything stays one lazy plan that repeats their work.
     """
     keep = stage if staged else (lambda df, name: df)
     filled = keep(gap_fill(readings, period), "readings")

@@ -78,9 +78,12 @@ def gap_fill(
     )
     spans = slots.groupBy(*keys).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     if scope == "global":
-        whole = slots.agg(F.struct(F.min("ts").alias("lo"), F.max("ts").alias("hi")).alias("b"))
-        spans = slots.select(*keys).distinct().withColumn("_b", whole.scalar())
-        spans = spans.select(*keys, F.col("_b.lo").alias("lo"), F.col("_b.hi").alias("hi"))
+        # The bounds over all keys come from the spans per key, whose scan and shuffle
+        # both uses share.
+        whole = spans.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("b"))
+        spans = spans.withColumn("_b", whole.scalar()).select(
+            *keys, F.least("lo", "_b.lo").alias("lo"), F.greatest("hi", "_b.hi").alias("hi")
+        )
     elif scope != "series":
         raise ValueError("scope is 'global' or 'series'")
     grid = time_grid(spans, period).withColumn("value", F.lit(None).cast("double"))
