@@ -254,6 +254,16 @@ def running_total(
     )
 
 
+def fan_out(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Spread rows that are about to be multiplied over all tasks.
+
+    The number is explicit: few small rows would otherwise be merged into one
+    partition by their present size, and one task would then expand them all.
+    """
+    number = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(number, *columns)
+
+
 def spread_join(
     big: DataFrame,
     small: DataFrame,

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterloom.functions.blocks import pack, spread_join, whole_div
+from meterloom.functions.blocks import fan_out, pack, spread_join, whole_div
 from meterloom.operators.thermal import date_block
 
 # Slopes of the three sections, load limits, noise of the temperature
@@ -78,10 +78,16 @@ def synth_assign(
     )
 
 
-def synth_grid(ids: DataFrame, start_date: str, days: int) -> DataFrame:
-    """Every id with every hour: adds ``day`` (0-based), ``date``, ``hour`` and ``i``."""
+def synth_grid(
+    ids: DataFrame, start_date: str, days: int, partitions: int | None = None
+) -> DataFrame:
+    """Every id with every hour: adds ``day`` (0-based), ``date``, ``hour`` and ``i``.
+
+    Ids are spread over ``partitions`` tasks (default: the shuffle partitions) first.
+    """
     return (
-        ids.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+        fan_out(ids, "id", partitions=partitions)
+        .withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
         .withColumn("date", F.date_add(F.lit(start_date).cast("date"), F.col("day")))
         .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
         .withColumn("i", F.col("day") * 24 + F.col("hour"))
@@ -198,6 +204,7 @@ def synth_readings(
     x2: int | None = None,
     y0: float | None = None,
     meter: str = "meter_id",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Synthetic series: ``(id, date, hour, load, temp)``, one row per id and hour.
 
@@ -238,7 +245,7 @@ def synth_readings(
         ),
     )
     wide = (
-        synth_assign(ids, activity, seed, assign, meter)
+        fan_out(synth_assign(ids, activity, seed, assign, meter), "id", partitions=partitions)
         .withColumn("_seed", line)
         .withColumn("_temps", F.transform(hours, temperature))
         .withColumns(

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.functions.blocks import TIME_BLOCK, duration_us, epoch_us
+from meterloom.functions.blocks import TIME_BLOCK, duration_us, epoch_us, fan_out
 from meterloom.functions.calendar import slot_start
 
 
@@ -43,11 +43,12 @@ def time_grid(
     span = max(duration_us(block) // step, 1) * step
     others = [c for c in bounds.columns if c not in (lo, hi)]
     first, last = F.col("_lo"), F.col("_hi")
-    blocks = (
+    blocks = fan_out(
         bounds.select(*others, epoch_us(lo).alias("_lo"), epoch_us(hi).alias("_hi"))
         .where(first <= last)
-        .withColumn("_from", F.explode(F.sequence(first, last, F.lit(span))))
-        .repartition(*others, "_from")
+        .withColumn("_from", F.explode(F.sequence(first, last, F.lit(span)))),
+        *others,
+        "_from",
     )
     until = F.least(last, F.col("_from") + span - step)
     return blocks.withColumn(
