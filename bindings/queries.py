@@ -133,6 +133,11 @@ def user_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.activity_profile(residual, as_arrays=True)
 
 
+def seed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a written table: assigning profiles reads them several times."""
+    return stage(user_activity(spark, sf_dir), "activity")
+
+
 def temperature_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly temperatures of the events' time span, numbered from 0."""
     bounds = points(spark, sf_dir).agg(
@@ -692,7 +697,7 @@ def decompose(spark, sf_dir):
 @query
 def synth_assign(spark, sf_dir):
     assigned = op.synth_assign(
-        customer_ids(spark, sf_dir), user_activity(spark, sf_dir), mode="cyclic"
+        customer_ids(spark, sf_dir), seed_profiles(spark, sf_dir), mode="cyclic"
     )
     return assigned.select("id", "meter_id")
 
@@ -735,7 +740,7 @@ def thermal_load_weather(spark, sf_dir):
 @query
 def synth_activity(spark, sf_dir):
     assigned = op.synth_assign(
-        customer_ids(spark, sf_dir), user_activity(spark, sf_dir), mode="cyclic"
+        customer_ids(spark, sf_dir), seed_profiles(spark, sf_dir), mode="cyclic"
     )
     grid = op.synth_grid(assigned, SYNTH_START, SYNTH_DAYS)
     return out(op.synth_activity(grid, sigma=0), "id", "date", "hour", activity=4)
@@ -751,7 +756,7 @@ def peak_amplify(spark, sf_dir):
 def deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.synth_readings(
         customer_ids(spark, sf_dir),
-        user_activity(spark, sf_dir),
+        seed_profiles(spark, sf_dir),
         temperature_seed(spark, sf_dir),
         SYNTH_START,
         SYNTH_DAYS,

@@ -43,7 +43,11 @@ def generate(
     peaky_ratio: float,
     **options,
 ) -> DataFrame:
-    """Synthetic series for ``ids`` from the profiles of ``weather``."""
+    """Synthetic series for ``ids`` from the profiles of ``weather``.
+
+    The profiles are written to the shared folder between training and generation.
+    """
+    activity = stage(train_activity(weather), "activity")
     return synth_readings(
-        ids, train_activity(weather), seed_temperature, start_date, days, peaky_ratio, **options
+        ids, activity, seed_temperature, start_date, days, peaky_ratio, **options
     )
