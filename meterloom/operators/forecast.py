@@ -22,7 +22,6 @@ from meterloom.functions import arma
 from meterloom.functions.arma import Order
 from meterloom.functions.blocks import (
     TIME_BLOCK,
-    Blocks,
     duration_us,
     epoch_us,
     pack,
