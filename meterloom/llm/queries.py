@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import attribution, fingerprints, packing, pii, secrets, warc
+from meterloom.llm import attribution, fingerprints, neardup, packing, pii, secrets, warc
 from meterloom.llm.common import prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+@query
+def op5_near_duplicates(spark, sf_dir):
+    return neardup.classes(_documents(spark, sf_dir), width=2, percent=80)
+
+
 @query
 def op6_pii(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
