@@ -8,10 +8,10 @@ TABLES x TABLES tables of 2 x ROWS hashes from only 2 x TABLES x ROWS minhashes
 
 A key pair is formed only where each half already met another document, so a document
 without near duplicates costs its 40 halves and nothing more.  Documents with equal sets
-count as one throughout.  In a bucket each member is first held against the bucket's
-smallest member, one link per document is confirmed, and components are formed; then
+count as one throughout.  In a bucket each member is first held against its most
+connected member, one link per document is confirmed, and components are formed; then
 only pairs of different components that still share a bucket are compared: by
-join in small buckets, tile by tile on signatures in large ones.  So a group of copies
+join in small buckets, tile by tile in large ones.  So a group of copies
 costs links in proportion to its size, and no link between components is left untested.
 """
 
@@ -33,10 +33,10 @@ from meterloom.session import stage
 WIDTH, PERCENT = 5, 80  # words of a shingle; least similarity in hundredths
 ROWS, TABLES = 5, 20
 SMALL = 64  # members up to which a bucket's open pairs are joined row by row
-TILE = 1024  # members of a tile in a larger bucket
+TILE = 512  # members of a tile of larger buckets
 _HASHES = 2 * ROWS * TABLES
-# Estimates from 200 hashes deviate by 0.028 at 0.8; this margin is over four times that.
-_MARGIN = 0.13
+# Estimates from 200 hashes deviate by 0.028 at 0.8; this margin is three and a half times that.
+_MARGIN = 0.1
 
 _seeds = mix(np.arange(1, 2 * _HASHES + 1, dtype=np.uint64))
 _A = (_seeds[:_HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -154,7 +154,7 @@ def _similar(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``key, node, n`` rows of every table in which a node may meet another one."""
+    """``key, node, n, size`` rows of every bucket in which a node meets another one."""
     half = nodes.select("node", F.posexplode("halves").alias("at", "half"))
     met = half.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     live = (
@@ -171,75 +171,101 @@ def buckets(nodes: DataFrame) -> DataFrame:
         .select("node", "n", "seconds", F.explode("firsts").alias("first"))
         .select("node", "n", F.explode(F.transform("seconds", lambda s: F.xxhash64("first", s))).alias("key"))
     )
-    shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
-    return keyed.join(shared.select("key", "head"), "key")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return keyed.join(sizes, "key")
 
 
 def first_pairs(shared: DataFrame) -> DataFrame:
-    """One pair ``u, v`` a node: the head of the most buckets it is in."""
+    """One pair ``u, v`` a node: the head of the most buckets it is in.
+
+    A bucket's head is the member that meets most others over all its buckets: among the
+    copies of a text that is the text itself, which is nearer to all than they are to
+    each other.
+    """
+    weight = shared.groupBy(F.col("node").alias("of")).agg(F.sum("size").alias("weight"))
+    weighed = shared.join(weight, F.col("node") == F.col("of"))
+    heads = weighed.groupBy(F.col("key").alias("in_key")).agg(F.max(F.struct("weight", "node")).alias("head"))
     return (
-        shared.where("node <> head")
-        .groupBy("node", "head")
+        shared.join(heads, F.col("key") == F.col("in_key"))
+        .where("node <> head.node")
+        .groupBy("node", F.col("head.node").alias("v"))
         .agg(F.count("*").alias("tables"))
         .groupBy("node")
-        .agg(F.max_by("head", F.struct("tables", "head")).alias("v"))
+        .agg(F.max_by("v", F.struct("tables", "v")).alias("v"))
         .select(F.col("node").alias("u"), "v")
     )
 
 
-def _open_tiles(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in large buckets, by signature, tile against tile.
+def _family_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between components among the members of large buckets.
 
-    A bucket of b members is cut into t = b / TILE tiles; each row goes to the t tile
-    pairs it takes part in.  Only pairs whose estimated similarity lies within the margin
-    leave a task.
+    Large buckets that share members make a family.  Its largest component needs no
+    comparison within itself; all other members are held against the whole family once,
+    tile against tile: estimates first, then whole sets within the margin.  Only confirmed
+    links leave a task.
     """
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("node"), tiles.cast("long")).cast("int")
-    rows = members.withColumn("tiles", tiles).withColumn("tile", tile)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "key",
-        F.least("tile", "other").alias("low"),
-        F.greatest("tile", "other").alias("high"),
-        "tile",
-        "node",
-        "n",
-        "component",
-        "sig",
+    heads = members.groupBy(F.col("key").alias("in_key")).agg(F.min("node").alias("low"))
+    joined = members.join(heads, F.col("key") == F.col("in_key")).select(F.col("node").alias("u"), F.col("low").alias("v"))
+    families = components(joined).withColumnRenamed("component", "family")
+    rows = members.select("node", "n", "component").distinct().join(families, "node")
+    parts_ = rows.groupBy("family", "component").agg(F.count("*").alias("many"))
+    sizes = parts_.groupBy(F.col("family").alias("of")).agg(
+        F.max_by("component", F.struct("many", "component")).alias("biggest"),
+        F.max("many").alias("big"),
+        F.sum("many").alias("all"),
+    )
+    minor_tiles = F.ceil((F.col("all") - F.col("big")) / TILE).cast("int")
+    rows = rows.join(sizes.withColumn("minors", minor_tiles).withColumn("bigs", F.ceil(F.col("big") / TILE).cast("int")), F.col("family") == F.col("of"))
+    minor = F.col("component") != F.col("biggest")
+    hash_ = F.xxhash64("node")
+    tile = F.when(minor, F.pmod(hash_, F.col("minors"))).otherwise(F.col("minors") + F.pmod(hash_, F.col("bigs"))).cast("int")
+    last = F.when(minor, F.col("minors") + F.col("bigs")).otherwise(F.col("minors")) - 1
+    rows = (
+        rows.withColumn("tile", tile)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        .select(
+            "family", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "n", "component"
+        )
+        .join(signatures, "node")
+        .join(sets, "node")
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf["low"].iat[0], pdf["high"].iat[0]
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), _HASHES)
-        node, n, comp, tile = (pdf[c].to_numpy() for c in ("node", "n", "component", "tile"))
+        node, n, comp, tile, whole = (pdf[c].to_numpy() for c in ("node", "n", "component", "tile", "shingles"))
         right = np.flatnonzero(tile == high)
         out = []
         for a in np.flatnonzero(tile == low):
             open_ = right[(comp[right] != comp[a]) & ((node[right] > node[a]) if low == high else True)]
             open_ = open_[100 * np.minimum(n[open_], n[a]) >= percent * np.maximum(n[open_], n[a])]
-            if len(open_):
-                near = (sig[open_] == sig[a]).mean(axis=1) >= percent / 100 - _MARGIN
-                out += [(min(node[a], b), max(node[a], b)) for b in node[open_[near]]]
+            if not len(open_):
+                continue
+            near = open_[(sig[open_] == sig[a]).sum(axis=1) >= _least_same(percent)]
+            for b in near:
+                both = len(np.intersect1d(whole[a], whole[b], assume_unique=True))
+                if 100 * both >= percent * (n[a] + n[b] - both):
+                    out.append((node[a], node[b]))
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "u long, v long")
+    return rows.groupBy("family", "low", "high").applyInPandas(compare, "u long, v long")
 
 
-def _open_pairs(shared: DataFrame, groups: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` of different components that share a bucket and are similar by estimate."""
+def _open_links(shared: DataFrame, groups: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between different components that share a bucket."""
     named = stage(
         shared.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("component")
+            "key", "node", "n", "size", F.coalesce("component", "node").alias("component")
         ),
         "bucket-components",
     )
     mixed = (
         named.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("key", "size")
+        .select("key")
     )
-    members = named.join(mixed, "key")
+    members = stage(named.join(mixed, "key"), "open-buckets")
     few = members.where(F.col("size") <= SMALL)
     side = lambda a: few.select("key", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("component").alias(f"c{a}"))
     small = (
@@ -253,8 +279,9 @@ def _open_pairs(shared: DataFrame, groups: DataFrame, signatures: DataFrame, per
         .select("u", "v")
         .distinct()
     )
-    large = members.where(F.col("size") > SMALL).join(signatures, "node")
-    return _similar(small, signatures, percent).unionByName(_open_tiles(large, percent)).distinct()
+    links = confirmed(_similar(small, signatures, percent), sets, percent)
+    many = members.where(F.col("size") > SMALL)
+    return links if many.isEmpty() else links.unionByName(_family_links(many, signatures, sets, percent))
 
 
 def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -267,8 +294,7 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
     sets = stage(shingle_sets(texts.join(some, "node", "left_semi"), width), "sets")
     first = stage(confirmed(first_pairs(shared), sets, percent), "links")
     groups = stage(components(first), "components")
-    pairs = stage(_open_pairs(shared, groups, nodes.select("node", "sig"), percent), "open-pairs")
-    more = stage(confirmed(pairs, sets, percent), "links")
+    more = stage(_open_links(shared, groups, nodes.select("node", "sig"), sets, percent), "links")
     if more.isEmpty():
         return groups
     return stage(components(first.unionByName(more)), "components")
