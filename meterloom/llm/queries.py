@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import attribution, fingerprints, neardup, packing, pii, secrets, warc
-from meterloom.llm.common import prepare, read
+from meterloom.llm import attribution, fingerprints, neardup, packing, pii, secrets, toxicity, warc
+from meterloom.llm.common import held_out, prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +50,18 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out("doc_id", toxicity.MODULUS, toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op5_near_duplicates(spark, sf_dir):
     return neardup.classes(_documents(spark, sf_dir), width=2, percent=80)
