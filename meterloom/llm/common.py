@@ -16,6 +16,9 @@ BATCH_ROWS = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separates at everything but ASCII letters, digits and non-ASCII characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -90,15 +93,18 @@ def _long_hash(data: bytes) -> int:
     return value
 
 
-def words(raw: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    raw: bytes, lower: bool = True, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends (byte offsets) and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``.
 
-    ``lower`` folds A-Z first.  A word's hash depends on its bytes alone.
+    ``lower`` folds A-Z first; ``between`` tells the bytes that separate words.  A word's
+    hash depends on its bytes alone.
     """
     data = np.frombuffer(raw, np.uint8)
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = between[data]
     edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
@@ -147,3 +153,8 @@ def code_point_starts(raw: bytes) -> np.ndarray:
 
 def batches(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in iterator if b.num_rows)
+
+
+def folded(raw: bytes) -> np.ndarray:
+    """Bytes of a text with A-Z in lower case."""
+    return _LOWER[np.frombuffer(raw, np.uint8)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import attribution, fingerprints, neardup, packing, pii, secrets, toxicity, warc
+from meterloom.llm import attribution, decontaminate, fingerprints, neardup, packing, pii, ppm, secrets, toxicity, warc
 from meterloom.llm.common import held_out, prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op2_secrets(spark, sf_dir):
     )
 
 
+@query
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.leaks(_documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     docs = _documents(spark, sf_dir)
@@ -89,6 +94,20 @@ def op8_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
+@query
+def op9_ppm(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return ppm.score(docs, ppm.training(docs)).select(
+        "doc_id",
+        held_out("doc_id", ppm.MODULUS, ppm.HELD_OUT).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op10_token_attribution(spark, sf_dir):
     return attribution.by_section(_documents(spark, sf_dir))
