@@ -342,18 +342,17 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Of rows that share an id, the one with the smallest text (null first) stays.  Rows
     without an id stay where their component has none.
     """
-    rows = stage(classes(docs, width, percent), "classes")
-    gone = rows.where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("gone"))
-    left = docs.join(gone.distinct(), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    twice = rows.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("twice")).count().where("count > 1")
+    rows = stage(classes(docs, width, percent), "classes").where("doc_id IS NOT NULL")
+    gone = rows.where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
+    own = F.col("doc_id").cast("long") == F.col("_gone_id")
+    left = docs.join(gone, own, "left_anti")
+    twice = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"))
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id").cast("long") == F.col("twice"), "left_anti")
-    names = docs.columns
     again = (
-        left.join(twice, F.col("doc_id").cast("long") == F.col("twice"), "left_semi")
-        .groupBy(F.col("doc_id").alias("same"))
-        .agg(F.min(F.struct(F.col("text").alias("first"), F.struct(*names).alias("row"))).alias("least"))
-        .select("least.row.*")
+        left.join(twice, own, "left_semi")
+        .groupBy(F.col("doc_id").alias("_same_id"))
+        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text"))).alias("_row"))
+        .select("_row.*")
     )
-    return once.unionByName(again)
+    return left.join(twice, own, "left_anti").unionByName(again)

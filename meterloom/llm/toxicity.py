@@ -242,13 +242,25 @@ def fit(
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of every row and ``score`` (0 to 1); null and empty texts score the bias."""
+    """``doc_id, score`` (0 to 1) of every row; null and empty texts score the bias."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches(iterator):
             scores = [model.score(raw, table) for raw in raw_texts(batch.column("text"))]
-            yield batch.append_column("score", pa.array(scores, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with their columns, that score below ``threshold``."""
+
+    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches(iterator):
+            keep = [model.score(raw, table) < threshold for raw in raw_texts(batch.column("text"))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
