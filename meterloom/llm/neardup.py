@@ -32,7 +32,7 @@ from meterloom.session import stage
 
 WIDTH, PERCENT = 5, 80  # words of a shingle; least similarity in hundredths
 ROWS, TABLES = 5, 20
-SMALL = 64  # members up to which a bucket's open pairs are joined row by row
+SMALL = 8  # members up to which a bucket's open pairs are joined row by row
 TILE = 512  # members of a tile of larger buckets
 _HASHES = 2 * ROWS * TABLES
 # Estimates from 200 hashes deviate by 0.028 at 0.8; this margin is three and a half times that.
