@@ -31,8 +31,8 @@ from meterloom.llm.common import batches, folded, held_out, raw_texts, words
 from meterloom.session import stage
 
 ORDER = 5
-MOST_GRAMS = 4_000_000
-MOST_WORDS = 2_000_000
+MOST_GRAMS = 3_000_000
+MOST_WORDS = 1_000_000
 MODULUS, HELD_OUT = 7, 2
 _END = 1  # stands for the end token among the word hashes
 _EDGE = 0xFF
@@ -224,11 +224,20 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
-def _array(df: DataFrame) -> list[np.ndarray]:
-    """Columns of a block as arrays, sorted by the first."""
-    table = df.orderBy(df.columns[0]).toPandas()
-    first, *rest = (table[c].to_numpy(np.int64) for c in table.columns)
-    return [first.view(np.uint64), *rest]
+def _arrays(df: DataFrame, **kinds: str) -> tuple[np.ndarray, ...]:
+    """Columns of a block as arrays of the given kinds, sorted by the first.
+
+    Tasks sort and pack them, so the driver gets bytes of their final size.
+    """
+    first, *_ = kinds
+
+    def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(iterator):
+            packed = [batch.column(c).to_numpy(zero_copy_only=False).astype(kind).tobytes() for c, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=list(kinds))
+
+    packed = df.select(*kinds).orderBy(first).mapInArrow(run, ", ".join(f"{c} binary" for c in kinds)).collect()
+    return tuple(np.frombuffer(b"".join(r[c] for r in packed), kind) for c, kind in kinds.items())
 
 
 def tries(grams: DataFrame, most: int = MOST_GRAMS) -> Iterator[Trie]:
@@ -242,12 +251,17 @@ def tries(grams: DataFrame, most: int = MOST_GRAMS) -> Iterator[Trie]:
             ends = F.col(column) if context else F.shiftright(column, 8)
             return df if size < 2 or blocks == 1 else df.where(_suffix(ends, 2) % blocks == block)
 
-        contexts = [tuple(_array(own(c, "context", size, True))) for size, (_, c) in enumerate(every)]
-        shorter = [tuple(_array(own(g, "gram", size, False))) for size, (g, _) in enumerate(every[:-1])]
-        gram, n = _array(own(every[-1][0], "gram", ORDER, False))
-        at = np.searchsorted(contexts[-1][0], gram >> np.uint64(8))
-        log = np.log10((n - 0.5) / contexts[-1][1][at]).astype(np.float32)
-        yield Trie(gram, log, shorter, contexts, block, blocks)
+        contexts = [
+            _arrays(own(c, "context", size, True), context="i8", total="i8", distinct="i4", seen="i8")
+            for size, (_, c) in enumerate(every)
+        ]
+        contexts = [(c.view(np.uint64), *rest) for c, *rest in contexts]
+        shorter = [_arrays(own(g, "gram", size, False), gram="i8", n="i8") for size, (g, _) in enumerate(every[:-1])]
+        shorter = [(g.view(np.uint64), n) for g, n in shorter]
+        top = every[-1][1].select(F.col("context").alias("of"), "total")
+        seen = own(every[-1][0], "gram", ORDER, False).join(top, F.shiftright("gram", 8) == F.col("of"))
+        gram, log = _arrays(seen.select("gram", F.log10((F.col("n") - 0.5) / F.col("total")).alias("log")), gram="i8", log="f4")
+        yield Trie(gram.view(np.uint64), log, shorter, contexts, block, blocks)
 
 
 # ---- scores --------------------------------------------------------------------------
@@ -258,10 +272,16 @@ def _identity(raw: bytes) -> int:
 
 
 def ppm_scores(docs: DataFrame, trie: Trie) -> DataFrame:
-    """``doc_id, text_hash, score``: log10 probability of the block's bytes in every text."""
+    """``doc_id, text_hash, score``: log10 probability of the block's bytes in every text.
+
+    Written at once, so that the tasks' copy of the block can go.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    del trie
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
         table = _Table(trie.longest, trie.log)
         for batch in batches(iterator):
             raws = raw_texts(batch.column("text"))
@@ -284,7 +304,10 @@ def ppm_scores(docs: DataFrame, trie: Trie) -> DataFrame:
                 names=["doc_id", "text_hash", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, score double")
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, score double")
+    written = stage(rows, "block-scores")
+    shared.destroy()
+    return written
 
 
 def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -297,8 +320,9 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int
         least, total = row["n"], total + row["many"]
     if least is None:
         return np.empty(0, np.uint64), np.empty(0, np.int64), 2**62
-    keys, n = _array(counts.where(F.col("n") >= least).select("key", "n"))
-    order = np.argsort(keys)
+    keys, n = _arrays(counts.where(F.col("n") >= least), key="i8", n="i8")
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)  # by unsigned value
     return keys[order], n[order], least
 
 
@@ -310,12 +334,14 @@ def word_scores(docs: DataFrame, counts: DataFrame, most: int = MOST_WORDS) -> D
     counts = counts.select("key", "n")
     n_all, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     keys, numbers, least = _frequent(counts, most)
-    whole = len(keys) == n_distinct
+    whole, none = len(keys) == n_distinct, not len(keys)
     base = np.log10(n_all + n_distinct + 1)
-    logs = np.log10(numbers + 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, np.log10(numbers + 1.0)))
+    del keys, numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs = shared.value
         for batch in batches(iterator):
             raws = raw_texts(batch.column("text"))
             tokens = [np.append(words(raw)[2], np.uint64(_END)) for raw in raws]
@@ -323,7 +349,7 @@ def word_scores(docs: DataFrame, counts: DataFrame, most: int = MOST_WORDS) -> D
             owner = np.repeat(np.arange(len(raws)), sizes)
             distinct, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
             at, there = _lookup(keys, distinct)
-            value = np.where(there, logs[at] if len(logs) else 0.0, 0.0)
+            value = np.where(there, 0.0 if none else logs[at], 0.0)
             known = np.bincount(owner, there[inverse], len(raws)).astype(np.int64)
             score = np.bincount(owner, value[inverse], len(raws)) - base * sizes
             rare = [[] for _ in raws]
@@ -349,10 +375,10 @@ def word_scores(docs: DataFrame, counts: DataFrame, most: int = MOST_WORDS) -> D
         f"doc_id {kind}, text_hash long, n_tokens long, n_known long, base_score double,"
         " rare array<struct<word:bigint,times:bigint>>",
     )
-    plain = rows.withColumn("train_tokens", F.lit(int(n_all)))
+    plain = stage(rows.withColumn("train_tokens", F.lit(int(n_all))), "word-scores")
+    shared.destroy()
     if whole:
         return plain.drop("rare")
-    plain = stage(plain, "word-scores")
     wanted = (
         plain.where(F.size("rare") > 0)
         .dropDuplicates(["doc_id", "text_hash"])
