@@ -154,7 +154,10 @@ def _similar(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """``key, node, n, size`` rows of every bucket in which a node meets another one."""
+    """``key, first, node, n, size`` rows of every bucket in which a node meets another one.
+
+    ``first`` is the key's half from the first collection.
+    """
     half = nodes.select("node", F.posexplode("halves").alias("at", "half"))
     met = half.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     live = (
@@ -169,7 +172,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     keyed = (
         live.join(nodes.select("node", "n"), "node")
         .select("node", "n", "seconds", F.explode("firsts").alias("first"))
-        .select("node", "n", F.explode(F.transform("seconds", lambda s: F.xxhash64("first", s))).alias("key"))
+        .select("node", "n", "first", F.explode(F.transform("seconds", lambda s: F.xxhash64("first", s))).alias("key"))
     )
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return keyed.join(sizes, "key")
@@ -196,17 +199,18 @@ def first_pairs(shared: DataFrame) -> DataFrame:
     )
 
 
-def _family_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``u, v`` between components among the members of large buckets.
+def _family_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between components among ``first, node, n, component`` rows.
 
-    Large buckets that share members make a family.  Its largest component needs no
+    Rows that share ``first`` make a family, and so do those that others connect: members
+    of one bucket are always in one.  Its largest component needs no
     comparison within itself; all other members are held against the whole family once,
     tile against tile: estimates first, then whole sets within the margin.  Only confirmed
     links leave a task.
     """
-    heads = members.groupBy(F.col("key").alias("in_key")).agg(F.min("node").alias("low"))
-    joined = members.join(heads, F.col("key") == F.col("in_key")).select(F.col("node").alias("u"), F.col("low").alias("v"))
-    families = components(joined).withColumnRenamed("component", "family")
+    lowest = members.groupBy("first").agg(F.min("node").alias("v"))
+    edges = members.join(lowest, "first").select(F.col("node").alias("u"), "v")
+    families = components(edges).withColumnRenamed("component", "family")
     rows = members.select("node", "n", "component").distinct().join(families, "node")
     parts_ = rows.groupBy("family", "component").agg(F.count("*").alias("many"))
     sizes = parts_.groupBy(F.col("family").alias("of")).agg(
@@ -226,7 +230,7 @@ def _family_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, pe
         .select(
             "family", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "n", "component"
         )
-        .join(signatures, "node")
+        .join(nodes.select("node", "sig"), "node")
         .join(sets, "node")
     )
 
@@ -251,22 +255,23 @@ def _family_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, pe
     return rows.groupBy("family", "low", "high").applyInPandas(compare, "u long, v long")
 
 
-def _open_links(shared: DataFrame, groups: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_links(shared: DataFrame, groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links ``u, v`` between different components that share a bucket."""
     named = stage(
         shared.join(groups.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(
-            "key", "node", "n", "size", F.coalesce("component", "node").alias("component")
+            "key", "first", "node", "n", "size", F.coalesce("component", "node").alias("component")
         ),
         "bucket-components",
     )
     mixed = (
-        named.groupBy("key")
+        named.groupBy("key", "first", "size")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .where("low < high")
-        .select("key")
     )
-    members = stage(named.join(mixed, "key"), "open-buckets")
-    few = members.where(F.col("size") <= SMALL)
+    few = named.where(F.col("size") <= SMALL).join(mixed.select("key"), "key")
+    crowded = mixed.where(F.col("size") > SMALL).select("first").distinct()
+    many = named.select("first", "node", "n", "component").distinct().join(crowded, "first", "left_semi")
+    many = stage(many, "open-members")
     side = lambda a: few.select("key", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("component").alias(f"c{a}"))
     small = (
         side("u")
@@ -279,9 +284,8 @@ def _open_links(shared: DataFrame, groups: DataFrame, signatures: DataFrame, set
         .select("u", "v")
         .distinct()
     )
-    links = confirmed(_similar(small, signatures, percent), sets, percent)
-    many = members.where(F.col("size") > SMALL)
-    return links if many.isEmpty() else links.unionByName(_family_links(many, signatures, sets, percent))
+    links = confirmed(_similar(small, nodes.select("node", "sig"), percent), sets, percent)
+    return links if many.isEmpty() else links.unionByName(_family_links(many, nodes, sets, percent))
 
 
 def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -294,7 +298,7 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
     sets = stage(shingle_sets(texts.join(some, "node", "left_semi"), width), "sets")
     first = stage(confirmed(first_pairs(shared), sets, percent), "links")
     groups = stage(components(first), "components")
-    more = stage(_open_links(shared, groups, nodes.select("node", "sig"), sets, percent), "links")
+    more = stage(_open_links(shared, groups, nodes, sets, percent), "links")
     if more.isEmpty():
         return groups
     return stage(components(first.unionByName(more)), "components")
