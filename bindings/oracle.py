@@ -56,10 +56,17 @@ cma AS (SELECT key, ts, value,
         FROM framed),
 cri AS (SELECT key, ts, CASE WHEN cma <> 0 THEN value / cma END AS ri FROM cma)"""
 
+
+def ring(names: str) -> str:
+    """Every event type with the next one in alphabetical order, the last with the first."""
+    return f"""(SELECT * FROM (SELECT t, coalesce(lead(t) OVER (ORDER BY t), min(t) OVER ())
+                FROM (SELECT DISTINCT event_type AS t FROM events)) AS ring_of({names}))"""
+
+
 DOW = "dayofweek(r.ts) + 1 AS dow"
 MATCH = "dayofweek(r.ts) + 1 = p.dow AND hour(r.ts) = p.hour"
 PAIRS = f"""pairs AS (SELECT DISTINCT key, key AS profile_key FROM readings
-          UNION ALL SELECT * FROM {values(q.RING, "key, profile_key")})"""
+          UNION ALL SELECT * FROM {ring("key, profile_key")})"""
 ADJUSTED = f"""{HALF_HOURLY}, {PAIRS},
 adjusted AS (SELECT r.key, pairs.profile_key, r.ts, {DOW}, r.value / p.pi AS adjusted
              FROM readings r JOIN pairs USING (key)
@@ -433,7 +440,7 @@ ORACLE["add_peaks"] = ORACLE["decompose"] = f"""{OWN}
 SELECT r.key, p.key AS profile_key, r.ts, CAST(p.dow AS INTEGER) AS dow,
        {r("f.yhat + r.value - p.pi", 3, "value")}
 FROM forecast f JOIN readings r ON r.key = f.key AND r.ts = f.ts JOIN pi p ON p.key = r.key AND {MATCH}"""
-ORACLE["add_peaks_combos"] = f"""{OWN}, ring AS {values(q.RING, "a, b")},
+ORACLE["add_peaks_combos"] = f"""{OWN}, ring AS {ring("a, b")},
 combos AS (SELECT 'addpeaks1' AS measurement, a AS f_key, a AS p_key, a AS p_profile FROM ring
            UNION ALL SELECT 'addpeaks2', a, a, b FROM ring
            UNION ALL SELECT 'addpeaks3', a, b, b FROM ring

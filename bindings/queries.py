@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom import operators as op
@@ -22,14 +22,6 @@ from meterloom.session import configure, shared_dir, stage, write_table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Cross pairs beside each key's own profile: the next type in alphabetical order.
-RING = [
-    ("click", "error"),
-    ("error", "purchase"),
-    ("purchase", "signup"),
-    ("signup", "view"),
-    ("view", "click"),
-]
 # Constant coefficients where a query needs models that SQL can repeat exactly.
 BETA = (1.0, 0.1, 0.2, 0.3, 0.5, 0.25, -0.125)
 SYNTH_START, SYNTH_DAYS, PEAKY = "2013-01-01", 3, 1.5
@@ -93,7 +85,18 @@ def with_cells(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key with itself and with its neighbour in the ring."""
     own = points(spark, sf_dir).select("key", F.col("key").alias("profile_key")).distinct()
-    return own.unionByName(spark.createDataFrame(RING, schemas.PAIRS))
+    return own.unionByName(ring(spark, sf_dir))
+
+
+def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key with the next one in alphabetical order, the last with the first.
+
+    The keys are event types, one row each, so their order is one small window.
+    """
+    keys = points(spark, sf_dir).select("key").distinct()
+    ordered = Window.partitionBy(F.lit(0)).orderBy("key")
+    following = F.coalesce(F.lead("key").over(ordered), F.first("key").over(ordered))
+    return keys.select("key", following.alias("profile_key"))
 
 
 def adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -641,7 +644,7 @@ def auto_arima(spark, sf_dir):
 
 def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four peak sets per forecast: own, by the neighbour, the neighbour's, and its by own."""
-    ring = spark.createDataFrame(RING, "a string, b string")
+    neighbours = ring(spark, sf_dir).toDF("a", "b")
     a, b = F.col("a"), F.col("b")
     kinds = [(a, a), (a, b), (b, b), (b, a)]
     options = F.array(
@@ -652,14 +655,14 @@ def combos(spark: SparkSession, sf_dir: str) -> DataFrame:
             for name, (p, q) in zip(op.MEASUREMENTS, kinds)
         ]
     )
-    return ring.select(
+    return neighbours.select(
         a.alias("f_key"), a.alias("f_profile"), F.explode(options).alias("o")
     ).select("f_key", "f_profile", "o.*")
 
 
 def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own profile, the neighbour's, and of each neighbour the reverse."""
-    back = spark.createDataFrame([(b, a) for a, b in RING], schemas.PAIRS)
+    back = ring(spark, sf_dir).toDF("profile_key", "key").select("key", "profile_key")
     return pairs(spark, sf_dir).unionByName(back)
 
 

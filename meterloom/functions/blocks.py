@@ -199,7 +199,8 @@ def pack(
 ) -> Blocks:
     """Cut series into blocks; ``block`` must not decrease along ``order``.
 
-    ``totals`` maps a name to a column summed over the whole series.  Offsets are
+    ``totals`` maps a name to a column summed over the whole series; ``<name>_n`` counts
+    its values, nulls left out.  Offsets are
     prefix sums over one row per block, so no task sees more of a series than one
     block's readings or its block summaries.
     """
@@ -221,6 +222,10 @@ def pack(
             F.aggregate(F.col(f"_rows.{c}").cast("array<double>"), F.lit(0.0), plus).alias(name)
             for name, c in totals.items()
         ],
+        *[
+            F.size(F.filter(F.col(f"_rows.{c}"), lambda x: x.isNotNull())).cast("long").alias(f"{name}_n")
+            for name, c in totals.items()
+        ],
     )
     series = Window.partitionBy(*(keys or [F.lit(0)]))
     offsets = summary.select(
@@ -228,7 +233,7 @@ def pack(
         "_b",
         (F.sum("_c").over(series.orderBy("_b")) - F.col("_c")).alias("_before"),
         F.sum("_c").over(series).alias("n"),
-        *[F.sum(name).over(series).alias(name) for name in totals],
+        *[F.sum(name).over(series).alias(name) for t in totals for name in (t, f"{t}_n")],
     )
     return Blocks(keys, columns, packed, offsets)
 

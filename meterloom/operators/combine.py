@@ -25,12 +25,13 @@ def add_peaks(
 
     ``combos(f_key, f_profile, p_key, p_profile)`` lists which forecast meets which
     peak set, with any further columns (such as a measurement name) kept.
-    Without it every forecast meets its own peaks.  The join is on series and
+    Without it every forecast meets its own peaks.  A series without a forecast (too
+    short) keeps its rows, with a null ``value``.  The join is on series and
     time, so it spreads evenly however long one series is.
     """
     f = forecast.select(
         F.col("key").alias("f_key"), F.col("profile_key").alias("f_profile"), ts, "yhat"
-    ).where(F.col("yhat").isNotNull())
+    )
     p = peaks.select(
         F.col("key").alias("p_key"), F.col("profile_key").alias("p_profile"), ts, "dow", "peak"
     )
@@ -42,7 +43,8 @@ def add_peaks(
             c for c in combos.columns if c not in ("f_key", "f_profile", "p_key", "p_profile")
         ]
         paired = spread_join(f, combos, ["f_key", "f_profile"], time_block(ts, block))
-    return paired.join(p, ["p_key", "p_profile", ts]).select(
+    met = paired.join(p.withColumn("_met", F.lit(True)), ["p_key", "p_profile", ts], "left")
+    return met.where(F.col("_met") | F.col("yhat").isNull()).select(
         *extra,
         "f_key",
         "f_profile",

@@ -192,13 +192,13 @@ def forecast_models(
     psi_shift: int = 0,
     block: str | timedelta = TIME_BLOCK,
 ) -> DataFrame:
-    """One row per series with the fitted default model.
+    """One row per series with the fitted default model; null where ``status`` is not ``ok``.
 
     ``n, mu, theta, error, n_test, rmse, variance`` and ``max_normalized_variance``,
     the largest squared 95 % bound over the forecast relative to the data variance.
     """
     blocks = forecast_ma1.cut(series, keys, ts, value, block)
-    models = forecast_ma1.estimate(blocks).where("status = 'ok'").drop("status")
+    models = forecast_ma1.estimate(blocks)
     bound = Z95 * F.col("rmse") * _ma1_spread(F.col("n") - 1, psi_shift)
     square = bound * bound
     # Fixed value: variances under this count as zero.

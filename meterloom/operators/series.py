@@ -110,11 +110,11 @@ def center(
     value: str = "value",
     block: str | timedelta = TIME_BLOCK,
 ) -> DataFrame:
-    """Add ``mean`` of the series and ``centered = value - mean``."""
+    """Add ``mean`` of the series' values, nulls left out, and ``centered = value - mean``."""
     blocks = pack(series, keys, [ts], time_block(ts, block), totals={"_sum": value})
     return (
         blocks.rows()
-        .withColumn("mean", F.col("_sum") / F.col("n"))
+        .withColumn("mean", F.when(F.col("_sum_n") > 0, F.col("_sum") / F.col("_sum_n")))
         .withColumn("centered", F.col(value) - F.col("mean"))
         .select(*series.columns, "mean", "centered")
     )
@@ -130,20 +130,21 @@ def autocovariance(
 ) -> DataFrame:
     """``(keys, n, acov)`` with the biased autocovariances of lag 0..max_lag.
 
-    ``r_j = sum(x_i * x_{i+j}) / n`` on the centred series.
+    ``r_j = sum(x_i * x_{i+j}) / n`` on the centred series; ``n`` counts the values, and
+    products with a null are left out.
     """
     lags = range(1, max_lag + 1)
     blocks = pack(
         series.select(*keys, ts, value), keys, [ts], time_block(ts, block), totals={"_sum": value}
     )
     rows = blocks.shifted({f"_x{j}": (value, j) for j in lags})
-    mean = F.col("_sum") / F.col("n")
+    mean = F.when(F.col("_sum_n") > 0, F.col("_sum") / F.col("_sum_n"))
     x = F.col(value) - mean
     sums = [F.sum(x * x)]
     sums += [F.coalesce(F.sum(x * (F.col(f"_x{j}") - mean)), F.lit(0.0)) for j in lags]
-    count = F.count(F.lit(1))
+    count = F.count(F.col(value))
     return rows.groupBy(*keys).agg(
-        count.alias("n"), F.array(*[s / count for s in sums]).alias("acov")
+        count.alias("n"), F.array(*[F.when(count > 0, s / count) for s in sums]).alias("acov")
     )
 
 

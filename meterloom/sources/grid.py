@@ -92,4 +92,5 @@ def gap_fill(
         slots.unionByName(grid)
         .groupBy(*keys, "ts")
         .agg(F.coalesce(F.sum("value"), F.lit(float(fill))).alias("value"))
+        .withColumnsRenamed({"ts": ts, "value": value})
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,7 @@ def stream_count_trigger(
 ) -> DataFrame:
     """Moving average with early results: a window emits at every ``points``-th reading.
 
-    The mean is over all its readings so far, stamped with the first of them.
+    The mean is over all its readings so far, stamped with the earliest of them.
     State per window is a count, a sum and a time; it ends with the window.
     """
     span, step = duration_us(window), duration_us(slide)
@@ -155,16 +156,16 @@ def stream_count_trigger(
             return
         key, start = group
         rows = pd.concat(list(batches)).sort_values("_us")
-        count, total, first = state.get if state.exists else (0, 0.0, int(rows["_us"].iloc[0]))
-        out = []
-        for x in rows["_x"]:
-            count, total = count + 1, total + x
-            if count % points == 0:
-                out.append((key, first, total / count))
-        state.update((int(count), float(total), int(first)))
+        earliest = int(rows["_us"].iloc[0])
+        count, total, first = state.get if state.exists else (0, 0.0, earliest)
+        first = min(int(first), earliest)
+        counts = count + np.arange(1, len(rows) + 1)
+        totals = total + rows["_x"].to_numpy().cumsum()
+        full = counts % points == 0
+        state.update((int(counts[-1]), float(totals[-1]), first))
         end = int(start + span) // 1000
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "us", "ma"])
+        yield pd.DataFrame({"key": key, "us": first, "ma": totals[full] / counts[full]})
 
     emitted = exploded.groupBy("key", "_start").applyInPandasWithState(
         emit,
