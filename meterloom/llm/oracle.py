@@ -14,4 +14,29 @@ ORACLE: dict[str, str] = {
                CASE WHEN first_id <> page_id THEN first_id END AS refers_to
         FROM p LEFT JOIN f ON p.digest = f.digest AND p.bytes >= 100
     """,
+    "op5_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS t
+            FROM documents
+        ), s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) < 2 THEN t
+                ELSE list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) END) AS g
+            FROM w
+        ), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS MATERIALIZED (
+            SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+            WHERE 100 * c >= 80 * (a.n + b.n - c)
+        ), both_ways AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(x, m) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT b.y, r.m FROM r JOIN both_ways b ON b.x = r.x
+        ), c AS (SELECT x, min(m) AS component_id FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
 }
