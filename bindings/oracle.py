@@ -525,9 +525,11 @@ SELECT concat('m_', key) AS measurement, key, epoch_ms(ts) AS ts_ms, {r("value",
 ORACLE["stream_points"] = f"""{HALF_HOURLY}
 SELECT 'energy' AS measurement, key, epoch_ms(ts) AS ts_ms, {r("value", 4, "value")} FROM readings"""
 
-# Streams: windows closed by a watermark one day behind the last reading ----------------
+# Streams: windows closed by a watermark one part and a day behind the last reading ------
 
-CLOSED = "ts + INTERVAL 120 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM readings)"
+CLOSED = f"""ts + INTERVAL 120 MINUTE <= (
+    SELECT max(ts) - to_days(CAST(1 + greatest(1, ceil(date_diff('second', min(ts), max(ts))
+                                  / 86400.0 / {q.STREAM_PARTS})) AS INTEGER)) FROM readings)"""
 ORACLE["stream_moving_average"] = f"""{HALF_HOURLY}
 SELECT key, ts, {r("ma", 6, "ma")} FROM ma WHERE {CLOSED}"""
 ORACLE["stream_raw_index"] = f"""{HALF_HOURLY}
@@ -540,3 +542,33 @@ FROM readings r JOIN pi p ON r.key = p.key AND {MATCH}"""
 ORACLE["stream_adjusted"] = f"""{ADJUSTED}
 SELECT key, ts, CAST(dow AS INTEGER) AS dow, {r("adjusted", 4, "adjusted")}
 FROM adjusted WHERE key = profile_key"""
+ALIGNED = "hour(ts) % 2 = 0 AND minute(ts) = 0"
+ORACLE["stream_raw_index_aligned"] = f"""{HALF_HOURLY}
+SELECT key, ts, {r("ri", 6, "ri")} FROM ri WHERE {CLOSED} AND {ALIGNED}"""
+ORACLE["stream_peaks_paired"] = ORACLE["peaks_paired"]
+ORACLE["stream_adjusted_paired"] = ORACLE["adjusted_series_paired"]
+ORACLE["stream_add_peaks"] = ORACLE["add_peaks"]
+ORACLE["stream_lines"] = COUNTS
+ORACLE["stream_dayslot"] = f"""
+SELECT event_type AS key, CASE WHEN event_id % 3 <> 0 THEN
+       TIMESTAMP '2009-01-01' + to_days(CAST(dayofyear(ts) - 1 AS INTEGER))
+       + to_minutes(30 * ((hour(ts) * 60 + minute(ts)) // 30 + 1)) END AS ts,
+       CASE WHEN event_id % 3 = 0 THEN 'rejected' END AS code, {r("value", 2, "value")}
+FROM events"""
+NAMED = "CASE WHEN r.key = p.key THEN r.key ELSE concat(r.key, '/', p.key) END"
+ORACLE["stream_decompose"] = f"""{OWN}, ring AS {ring("a, b")},
+crossed AS (SELECT DISTINCT * FROM (SELECT * FROM pairs UNION ALL SELECT b, a FROM ring)),
+combos AS (SELECT 'addpeaks1' AS measurement, a AS f_key, a AS p_key, a AS p_profile FROM ring
+           UNION ALL SELECT 'addpeaks2', a, a, b FROM ring
+           UNION ALL SELECT 'addpeaks3', a, b, b FROM ring
+           UNION ALL SELECT 'addpeaks4', a, b, a FROM ring),
+tops AS (SELECT {NAMED} AS name, r.key, p.key AS profile_key, r.ts, r.value, p.pi
+         FROM readings r JOIN crossed c USING (key) JOIN pi p ON p.key = c.profile_key AND {MATCH}),
+points AS (SELECT 'average' AS measurement, key, ts, ma AS x FROM ma WHERE {CLOSED}
+  UNION ALL SELECT 'index', key, ts, ri FROM ri WHERE {CLOSED} AND {ALIGNED}
+  UNION ALL SELECT 'peaks', name, ts, value - pi FROM tops
+  UNION ALL SELECT 'adjusted', name, ts, value / pi FROM tops WHERE pi <> 0
+  UNION ALL SELECT c.measurement, t.name, t.ts, f.yhat + t.value - t.pi
+  FROM forecast f JOIN combos c ON c.f_key = f.key
+  JOIN tops t ON t.key = c.p_key AND t.profile_key = c.p_profile AND t.ts = f.ts)
+SELECT measurement, key, epoch_ms(ts) AS ts_ms, {r("x", 5, "value")} FROM points"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -839,12 +841,39 @@ def write_synthetic(spark, sf_dir):
 # Streams ------------------------------------------------------------------------------
 
 
-def staged_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Readings as a batch table and as a stream over the same files."""
-    filled = readings(spark, sf_dir)
-    path = write_table(filled, "stream-input")
-    batch = spark.read.schema(filled.schema).parquet(path)
-    return batch, streaming.stream_readings(spark, path, filled.schema)
+STREAM_PARTS = 4
+
+
+def in_parts(spark: SparkSession, batch: DataFrame, name: str) -> tuple[str, str, str]:
+    """Write a table in time order, as files of ``STREAM_PARTS`` equal spans of whole days.
+
+    Returns the folder, how many files make one micro-batch, and a delay of one span and
+    a day, as files of one span may be read in any order.
+    """
+    path = fresh(spark, name)
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    span = timedelta(days=1 if first is None else max(1, ceil((last - first) / timedelta(days=STREAM_PARTS))))
+    for k in range(STREAM_PARTS):
+        part = batch
+        if first is not None and k:
+            part = part.where(F.col("ts") >= F.lit(first + k * span))
+        if first is not None and k < STREAM_PARTS - 1:
+            part = part.where(F.col("ts") < F.lit(first + (k + 1) * span))
+        part.write.mode("append").parquet(path)
+    files = len(spark.read.schema(batch.schema).parquet(path).inputFiles())
+    return path, str(max(1, files // STREAM_PARTS)), f"{span.days + 1} days"
+
+
+def staged_stream(
+    spark: SparkSession, sf_dir: str, batch: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Readings as a batch table, and as a stream of several micro-batches."""
+    batch = batch or stage(readings(spark, sf_dir), "readings")
+    path, files, delay = in_parts(spark, batch, "stream-input")
+    stream = streaming.stream_readings(
+        spark, path, batch.schema, delay=delay, maxFilesPerTrigger=files
+    )
+    return batch, stream
 
 
 def finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -878,9 +907,7 @@ def stream_count_trigger(spark, sf_dir):
 @query
 def stream_periodic_index(spark, sf_dir):
     indices = index(spark, sf_dir)
-    stream = streaming.stream_readings(
-        spark, write_table(indices, "stream-index"), indices.schema
-    )
+    _, stream = staged_stream(spark, sf_dir, stage(indices, "index"))
     target = fresh(spark, "stream-profile")
     streaming.write_stream_batches(
         streaming.stream_periodic_index(stream), target, f"{target}-checkpoint", "complete"
@@ -906,6 +933,103 @@ def stream_adjusted(spark, sf_dir):
     return out(done, "key", "ts", "dow", adjusted=4)
 
 
+def stored_forecast(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profile and forecast of readings, as written tables."""
+    cells = stage(op.periodic_index(op.raw_index(filled)), "profile")
+    own = stage(op.adjusted_series(filled, cells), "adjusted")
+    return cells, stage(op.forecast_arima(own), "forecast")
+
+
+@query
+def stream_raw_index_aligned(spark, sf_dir):
+    _, stream = staged_stream(spark, sf_dir)
+    done = finished(spark, streaming.stream_raw_index(stream, align_minutes=120), "stream-ri")
+    return out(done, "key", "ts", ri=6)
+
+
+@query
+def stream_peaks_paired(spark, sf_dir):
+    batch, stream = staged_stream(spark, sf_dir)
+    cells = op.periodic_index(op.raw_index(batch))
+    tops = streaming.stream_peaks(stream, cells, pairs(spark, sf_dir))
+    return out(finished(spark, tops, "stream-peaks"), "key", "profile_key", "ts", "dow", peak=4)
+
+
+@query
+def stream_adjusted_paired(spark, sf_dir):
+    batch, stream = staged_stream(spark, sf_dir)
+    cells = op.periodic_index(op.raw_index(batch))
+    own = streaming.stream_adjusted(stream, cells, pairs(spark, sf_dir))
+    return out(finished(spark, own, "stream-adjusted"), "key", "profile_key", "ts", "dow", adjusted=4)
+
+
+@query
+def stream_add_peaks(spark, sf_dir):
+    batch, stream = staged_stream(spark, sf_dir)
+    cells, forecast = stored_forecast(batch)
+    tops = streaming.stream_peaks(stream, cells)
+    done = finished(spark, streaming.stream_add_peaks(tops, forecast), "stream-add")
+    return out(done, "key", "profile_key", "ts", "dow", value=3)
+
+
+@query
+def stream_decompose(spark, sf_dir):
+    """The whole streaming job, its points read back from the folders of all stages."""
+    batch, stream = staged_stream(spark, sf_dir)
+    cells, forecast = stored_forecast(batch)
+    target = fresh(spark, "stream-decompose")
+    started = plans.stream_decompose(
+        stream, cells, forecast, target, f"{target}-checkpoint",
+        cross_pairs(spark, sf_dir), combos(spark, sf_dir), align_minutes=120,
+    )
+    for running in started:
+        running.awaitTermination()
+    folders = ("average", "index", "peaks", "adjusted", "combined")
+    got = [spark.read.schema(schemas.POINTS).parquet(f"{target}/{name}") for name in folders]
+    return out(op.union_series(*got), "measurement", "key", "ts_ms", value=5)
+
+
+def mixed_dayslot(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of day-slot files: every third event's code is spoilt, which ones the id says."""
+    minutes = F.hour("ts") * 60 + F.minute("ts")
+    code = F.format_string("%03d%02d", F.dayofyear("ts"), F.floor(minutes / 30) + 1)
+    path = fresh(spark, "dayslot-mixed")
+    table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("meter"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), code)).otherwise(code).alias("code"),
+        F.format_string("%.2f", "value").alias("value"),
+    ).write.csv(path)
+    return path
+
+
+@query
+def stream_dayslot(spark, sf_dir):
+    """Readings and rejects of one folder, each through a sink of its own."""
+    good, bad = streaming.stream_dayslot(
+        spark, mixed_dayslot(spark, sf_dir), rejects=True, maxFilesPerTrigger="4"
+    )
+    kept = finished(spark, good, "stream-dayslot").select("key", "ts", "value")
+    spoilt = finished(spark, bad, "stream-rejects").select(
+        F.col("meter").alias("key"),
+        F.lit(None).cast("timestamp").alias("ts"),
+        F.col("value").cast("double").alias("value"),
+    )
+    both = kept.withColumn("code", F.lit(None).cast("string")).unionByName(
+        spoilt.withColumn("code", F.lit("rejected"))
+    )
+    return out(both, "key", "ts", "code", value=2)
+
+
+@query
+def stream_lines(spark, sf_dir):
+    path = fresh(spark, "stream-text")
+    table(spark, sf_dir, "documents").select(
+        F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
+    ).write.text(path)
+    lines = streaming.stream_lines(spark, path, maxFilesPerTrigger="4")
+    return op.wordcount(finished(spark, lines, "stream-lines"))
+
+
 @query
 def stream_wordcount(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

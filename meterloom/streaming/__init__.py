@@ -1,6 +1,7 @@
 """The same operators over unbounded input."""
 
 from meterloom.streaming.streams import (
+    stream_add_peaks,
     stream_adjusted,
     stream_count_trigger,
     stream_dayslot,
@@ -16,6 +17,7 @@ from meterloom.streaming.streams import (
 from meterloom.streaming.writers import write_stream, write_stream_batches, write_stream_points
 
 __all__ = [
+    "stream_add_peaks",
     "stream_adjusted",
     "stream_count_trigger",
     "stream_dayslot",

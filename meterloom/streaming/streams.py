@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from meterloom import schemas
 from meterloom.functions.blocks import duration_us, epoch_us
+from meterloom.operators.combine import paired_forecast
 from meterloom.operators.profile import periodic_index
 from meterloom.operators.wordcount import wordcount
 from meterloom.sources.readers import parse_dayslot
@@ -48,16 +49,25 @@ def stream_dayslot(
     day_base: int = 1,
     slot_label: str = "end",
     delay: str = DELAY,
-) -> DataFrame:
-    """Half-hourly day-slot CSV files as they arrive; unparsable lines are left out."""
+    rejects: bool = False,
+    **options: str,
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Half-hourly day-slot CSV files as they arrive.
+
+    With ``rejects`` the lines that cannot be parsed come as a second stream, with their
+    own columns; give it a sink of its own.
+    """
     schema = schemas.DAYSLOT_SPLIT_TEXT if split else schemas.DAYSLOT_TEXT
-    raw = spark.readStream.schema(schema).csv(path, header=header, enforceSchema=True)
-    return parse_dayslot(raw, split, day_base, slot_label)[0].withWatermark("ts", delay)
+    reader = spark.readStream.schema(schema).options(**options)
+    raw = reader.csv(path, header=header, enforceSchema=True)
+    readings, bad = parse_dayslot(raw, split, day_base, slot_label)
+    readings = readings.withWatermark("ts", delay)
+    return (readings, bad) if rejects else readings
 
 
-def stream_lines(spark: SparkSession, path: str) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """Text lines from files as they arrive, in column ``text``."""
-    return spark.readStream.text(path).withColumnRenamed("value", "text")
+    return spark.readStream.options(**options).text(path).withColumnRenamed("value", "text")
 
 
 def stream_time_grid(
@@ -102,9 +112,13 @@ def stream_raw_index(
     window: str = "120 minutes",
     slide: str = "30 minutes",
     points: int | None = None,
+    align_minutes: int | None = None,
 ) -> DataFrame:
     """`raw_index` of a stream: readings joined with closed windows on key and start.
 
+    ``align_minutes=120`` keeps only readings on 2-hour boundaries; the others enter the
+    averages but not the state of the join.
+
     A window closes only when the watermark has passed its end, so readings must
     stay in the join state for as long as a window lasts: the time range in the condition
     says so, and also lets older ones go.
@@ -116,6 +130,8 @@ def stream_raw_index(
         "ma",
     )
     length = F.expr(f"INTERVAL {duration_us(window) // 1_000_000} SECONDS")
+    if align_minutes is not None:
+        readings = readings.where(F.pmod(epoch_us(ts), F.lit(align_minutes * 60_000_000)) == 0)
     joined = readings.join(
         averages,
         (F.col("key") == F.col("_key"))
@@ -182,35 +198,83 @@ def stream_periodic_index(index: DataFrame, ts: str = "ts", value: str = "ri") -
     return periodic_index(index, "mean", ts, value)
 
 
-def _with_static_profile(readings: DataFrame, profile: DataFrame, ts: str) -> DataFrame:
+def _with_static_profile(
+    readings: DataFrame, profile: DataFrame, pairs: DataFrame | None, ts: str
+) -> tuple[DataFrame, list[str]]:
+    """Readings with ``pi`` of their hour, and the columns that name the series."""
     cells = profile.select("key", F.col("dow").alias("_dow"), F.col("hour").alias("_hour"), "pi")
+    names = ["key"]
+    if pairs is not None:
+        cells = pairs.select("key", "profile_key").distinct().join(
+            cells.withColumnRenamed("key", "profile_key"), "profile_key"
+        )
+        names = ["key", "profile_key"]
     tagged = readings.withColumns({"_dow": F.dayofweek(ts), "_hour": F.hour(ts)})
-    return tagged.join(cells, ["key", "_dow", "_hour"]).drop("_dow", "_hour")
+    return tagged.join(cells, ["key", "_dow", "_hour"]), names
 
 
 def stream_peaks(
-    readings: DataFrame, profile: DataFrame, ts: str = "ts", value: str = "value"
+    readings: DataFrame,
+    profile: DataFrame,
+    pairs: DataFrame | None = None,
+    ts: str = "ts",
+    value: str = "value",
 ) -> DataFrame:
-    """`peaks` of a stream against a trained profile."""
-    joined = _with_static_profile(readings, profile, ts)
+    """`peaks` of a stream against a trained profile.
+
+    ``pairs(key, profile_key)`` lists which profiles a key is set against; with it the
+    result has ``profile_key``.
+    """
+    cells = profile.where(F.col("pi").isNotNull())
+    joined, names = _with_static_profile(readings, cells, pairs, ts)
     return joined.select(
-        "key", F.col(ts).alias("ts"), F.dayofweek(ts).alias("dow"), (F.col(value) - F.col("pi")).alias("peak")
+        *names, F.col(ts).alias("ts"), F.dayofweek(ts).alias("dow"), (F.col(value) - F.col("pi")).alias("peak")
     )
 
 
 def stream_adjusted(
-    readings: DataFrame, profile: DataFrame, ts: str = "ts", value: str = "value"
+    readings: DataFrame,
+    profile: DataFrame,
+    pairs: DataFrame | None = None,
+    ts: str = "ts",
+    value: str = "value",
 ) -> DataFrame:
-    """`adjusted_series` of a stream against a trained profile."""
-    joined = _with_static_profile(readings, profile.where(F.col("pi") != 0), ts)
+    """`adjusted_series` of a stream against a trained profile; ``pairs`` as in `stream_peaks`."""
+    joined, names = _with_static_profile(readings, profile.where(F.col("pi") != 0), pairs, ts)
     return joined.select(
-        "key",
+        *names,
         F.col(ts).alias("ts"),
         F.dayofweek(ts).alias("dow"),
         (F.col(value) / F.col("pi")).alias("adjusted"),
     )
 
 
+def stream_add_peaks(
+    peaks: DataFrame, forecast: DataFrame, combos: DataFrame | None = None, ts: str = "ts"
+) -> DataFrame:
+    """`add_peaks` of a stream of peaks against a stored forecast, at equal times.
+
+    Peaks without ``profile_key`` are those by the series' own profile.  A peak that meets
+    a null forecast (series too short) gives a null ``value``; forecast steps whose peak has
+    not arrived give no row, since it may still come.
+    """
+    paired, extra = paired_forecast(forecast, combos, ts)
+    own = F.col("profile_key") if "profile_key" in peaks.columns else F.col("key")
+    arriving = peaks.select(
+        F.col("key").alias("p_key"), own.alias("p_profile"), ts, "dow", "peak"
+    )
+    return arriving.join(paired, ["p_key", "p_profile", ts]).select(
+        *extra,
+        "f_key",
+        "f_profile",
+        F.col("p_key").alias("key"),
+        F.col("p_profile").alias("profile_key"),
+        ts,
+        "dow",
+        (F.col("yhat") + F.col("peak")).alias("value"),
+    )
+
+
 def stream_wordcount(lines: DataFrame, text: str = "text") -> DataFrame:
     """Running word counts (update or complete mode)."""
     return wordcount(lines, text)

@@ -164,3 +164,49 @@ def test_endless_grid(spark, tmp_path):
         query.stop()
     got = sorted(r.ts for r in spark.table("grid").collect())[:4]
     assert got == [START + timedelta(minutes=30 * k) for k in range(4)]
+
+
+def test_index_aligned_to_two_hours(series, feed, run):
+    parts = [days(series, d, 1) for d in range(4)]
+    got = run(streaming.stream_raw_index(feed(*parts), align_minutes=120))
+    newest = START + timedelta(days=4, minutes=-30)
+    same(got, closed(op.raw_index(op.union_series(*parts), align_minutes=120), newest))
+
+
+def test_pairs_of_profiles(spark, series, feed, run):
+    parts = [op.union_series(days(series, d, 4, "a"), days(series, d, 4, "b")) for d in (0, 4)]
+    whole = op.union_series(*parts)
+    profile = op.periodic_index(op.raw_index(whole)).cache()
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b")], "key string, profile_key string")
+    got = run(streaming.stream_peaks(feed(*parts), profile, pairs))
+    same(got, op.peaks(whole, profile, pairs))
+
+
+def test_peaks_set_on_a_stored_forecast(spark, series, feed, run):
+    readings = days(series, 0, 8)
+    profile = op.periodic_index(op.raw_index(readings)).cache()
+    forecast = op.forecast_arima(op.adjusted_series(readings, profile)).cache()
+    peaks = streaming.stream_peaks(feed(readings), profile)
+    got = run(streaming.stream_add_peaks(peaks, forecast))
+    same(got, op.add_peaks(forecast, op.peaks(readings, profile)))
+
+
+def test_peaks_on_a_null_forecast_stay(spark, series, feed, run):
+    readings = days(series, 0, 1)
+    forecast = readings.select("key", F.col("key").alias("profile_key"), "ts", F.lit(None).cast("double").alias("yhat"))
+    peaks = streaming.stream_peaks(feed(readings), op.periodic_index(op.raw_index(readings)).cache())
+    got = run(streaming.stream_add_peaks(peaks, forecast)).collect()
+    assert got and all(r.value is None for r in got)
+
+
+def test_dayslot_rejects_have_their_own_stream(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("7252,19544,0.052\n7252,x,0.1\n")
+    (folder / "b.csv").write_text("7252,19543,\n7252,19501,0.033\n")
+    good, bad = streaming.stream_dayslot(spark, str(folder), rejects=True, maxFilesPerTrigger="1")
+    for name, part in (("good", good), ("bad", bad)):
+        streaming.write_stream(part, str(tmp_path / name), str(tmp_path / f"{name}-c")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 2
+    rows = spark.read.schema(bad.schema).parquet(str(tmp_path / "bad")).collect()
+    assert {(r.code, r.value) for r in rows} == {("x", "0.1"), ("19543", None)}
