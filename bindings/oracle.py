@@ -549,11 +549,12 @@ ORACLE["stream_peaks_paired"] = ORACLE["peaks_paired"]
 ORACLE["stream_adjusted_paired"] = ORACLE["adjusted_series_paired"]
 ORACLE["stream_add_peaks"] = ORACLE["add_peaks"]
 ORACLE["stream_lines"] = COUNTS
-ORACLE["stream_dayslot"] = f"""
+ORACLE["read_dayslot_mixed"] = ORACLE["stream_dayslot"] = f"""
 SELECT event_type AS key, CASE WHEN event_id % 3 <> 0 THEN
        TIMESTAMP '2009-01-01' + to_days(CAST(dayofyear(ts) - 1 AS INTEGER))
        + to_minutes(30 * ((hour(ts) * 60 + minute(ts)) // 30 + 1)) END AS ts,
-       CASE WHEN event_id % 3 = 0 THEN 'rejected' END AS code, {r("value", 2, "value")}
+       CASE WHEN event_id % 3 = 0 THEN printf('x%03d%02d', dayofyear(ts),
+                 (hour(ts) * 60 + minute(ts)) // 30 + 1) END AS code, {r("value", 2, "value")}
 FROM events"""
 NAMED = "CASE WHEN r.key = p.key THEN r.key ELSE concat(r.key, '/', p.key) END"
 ORACLE["stream_decompose"] = f"""{OWN}, ring AS {ring("a, b")},

@@ -175,6 +175,31 @@ def dayslot_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_dayslot(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of day-slot files: every third event's code is spoilt, which ones the id says."""
+    minutes = F.hour("ts") * 60 + F.minute("ts")
+    code = F.format_string("%03d%02d", F.dayofyear("ts"), F.floor(minutes / 30) + 1)
+    path = fresh(spark, "dayslot-mixed")
+    table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("meter"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), code)).otherwise(code).alias("code"),
+        F.format_string("%.2f", "value").alias("value"),
+    ).write.csv(path)
+    return path
+
+
+def both_parts(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Day-slot readings, and below them the rejects with their code."""
+    kept = good.select("key", "ts", F.lit(None).cast("string").alias("code"), "value")
+    spoilt = bad.select(
+        F.col("meter").alias("key"),
+        F.lit(None).cast("timestamp").alias("ts"),
+        "code",
+        F.col("value").cast("double").alias("value"),
+    )
+    return out(kept.unionByName(spoilt), "key", "ts", "code", value=2)
+
+
 @query
 def read_dayslot(spark, sf_dir):
     text = dayslot_text(spark, sf_dir)
@@ -205,6 +230,13 @@ def read_dayslot_rejects(spark, sf_dir):
     return sources.parse_dayslot(raw)[1]
 
 
+@query
+def read_dayslot_mixed(spark, sf_dir):
+    """Readings and rejects of files in which every third event's code is spoilt."""
+    good, bad = sources.read_dayslot(spark, mixed_dayslot(spark, sf_dir), rejects=True)
+    return both_parts(good, bad)
+
+
 @query
 def read_weather(spark, sf_dir):
     path = fresh(spark, "weather")
@@ -236,7 +268,10 @@ def read_temperature_seed(spark, sf_dir):
             "|",
         ).alias("value")
     )
-    return sources.parse_temperature_seed(line)
+    path = fresh(spark, "seed")
+    second = line.select(F.lit("99|98|97").alias("value"))
+    line.unionByName(second).coalesce(1).write.text(path)  # two lines
+    return sources.read_temperature_seed(spark, path)
 
 
 @query
@@ -453,7 +488,10 @@ def difference_seasonal(spark, sf_dir):
 
 @query
 def integrate(spark, sf_dir):
+    """From a table that holds the first cycle's values and differences only."""
     differenced = op.difference(hourly(spark, sf_dir), lag=24)
+    first = F.when(F.col("i") < 24, F.col("value"))
+    differenced = stage(differenced.withColumn("value", first), "differences")
     return out(op.integrate(differenced, lag=24), "key", "ts", integrated=4)
 
 
@@ -989,35 +1027,15 @@ def stream_decompose(spark, sf_dir):
     return out(op.union_series(*got), "measurement", "key", "ts_ms", value=5)
 
 
-def mixed_dayslot(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of day-slot files: every third event's code is spoilt, which ones the id says."""
-    minutes = F.hour("ts") * 60 + F.minute("ts")
-    code = F.format_string("%03d%02d", F.dayofyear("ts"), F.floor(minutes / 30) + 1)
-    path = fresh(spark, "dayslot-mixed")
-    table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("meter"),
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), code)).otherwise(code).alias("code"),
-        F.format_string("%.2f", "value").alias("value"),
-    ).write.csv(path)
-    return path
-
-
 @query
 def stream_dayslot(spark, sf_dir):
     """Readings and rejects of one folder, each through a sink of its own."""
     good, bad = streaming.stream_dayslot(
         spark, mixed_dayslot(spark, sf_dir), rejects=True, maxFilesPerTrigger="4"
     )
-    kept = finished(spark, good, "stream-dayslot").select("key", "ts", "value")
-    spoilt = finished(spark, bad, "stream-rejects").select(
-        F.col("meter").alias("key"),
-        F.lit(None).cast("timestamp").alias("ts"),
-        F.col("value").cast("double").alias("value"),
-    )
-    both = kept.withColumn("code", F.lit(None).cast("string")).unionByName(
-        spoilt.withColumn("code", F.lit("rejected"))
+    return both_parts(
+        finished(spark, good, "stream-dayslot"), finished(spark, bad, "stream-rejects")
     )
-    return out(both, "key", "ts", "code", value=2)
 
 
 @query
