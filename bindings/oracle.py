@@ -481,6 +481,12 @@ ORACLE["synth_ids"] = "SELECT row_number() OVER () - 1 AS id FROM customer"
 ORACLE["synth_grid"] = f"""{ASSIGN}
 SELECT id, CAST(day AS INTEGER) AS day, date, CAST(hour AS INTEGER) AS hour, CAST(i AS INTEGER) AS i FROM plan"""
 ORACLE["synth_temperature"] = f"{ASSIGN} SELECT {AT}, {r('temp', 4, 'temp')} FROM hours"
+ORACLE["synth_temperature_wrapped"] = f"""WITH {SEED},
+plan AS (SELECT n_nationkey AS id, day * 24 + hour AS i, hour,
+         CAST(DATE '{q.SYNTH_START}' + to_days(CAST(day AS INTEGER)) AS DATE) AS date
+         FROM nation, (SELECT unnest(range({q.WRAP_DAYS})) AS day) d, (SELECT unnest(range(24)) AS hour) h)
+SELECT {AT}, {r('temp', 4, 'temp')}
+FROM plan JOIN seed ON seed.i = plan.i % (SELECT count(*) FROM seed)"""
 ORACLE["thermal_load"] = f"""{ASSIGN}
 SELECT {AT}, {r(curve("temp", "x0"), 4, "thermal")} FROM hours JOIN low USING (id)"""
 ORACLE["thermal_load_weather"] = f"""{USER_WEATHER},

@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 # Constant coefficients where a query needs models that SQL can repeat exactly.
 BETA = (1.0, 0.1, 0.2, 0.3, 0.5, 0.25, -0.125)
 SYNTH_START, SYNTH_DAYS, PEAKY = "2013-01-01", 3, 1.5
+WRAP_DAYS = 40  # longer than the temperature seed
 CURVE = {"x1": 12, "x2": 18, "y0": 0.05372193}
 MA_COEFFICIENTS = {1: 0.4, 3: -0.2}
 AR_COEFFICIENTS = {1: 0.3, 2: 0.1}
@@ -766,6 +767,15 @@ def synth_temperature(spark, sf_dir):
     return out(synth_hours(spark, sf_dir), "id", "date", "hour", temp=4)
 
 
+@query
+def synth_temperature_wrapped(spark, sf_dir):
+    """A horizon longer than the seed, which then starts again."""
+    ids = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    grid = op.synth_grid(ids, SYNTH_START, WRAP_DAYS)
+    hours = op.synth_temperature(grid, temperature_seed(spark, sf_dir), sigma=0)
+    return out(hours, "id", "date", "hour", temp=4)
+
+
 @query
 def thermal_load(spark, sf_dir):
     loads = op.thermal_load(synth_hours(spark, sf_dir), **CURVE)
