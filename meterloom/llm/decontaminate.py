@@ -1,15 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are the query set; it is taken in blocks of bounded size, and each block meets
 all documents in two scans without a shuffle of texts.  The first counts in how many
-documents each n-gram of the items occurs.  Of every ``SPAN`` neighbouring n-grams of an
-item the rarest is a seed, however frequent it may be, so every item keeps seeds.  The
-second scan finds seeds in the texts and aligns the item with the words around each.
-Edits and paraphrases cost alignment score; a match needs ``THRESHOLD`` of the full score.
+documents each n-gram of the items occurs.  From an item's length follows how many of its
+n-grams every alignment of ``THRESHOLD`` leaves intact (see ``intact``); some of the most
+frequent are left out, all others that occur are seeds.  The second scan aligns an item
+where enough of its seeds lie close together, so no alignment that reaches the threshold
+is missed.  Edits and paraphrases cost alignment score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import PUNCTUATION, batches, code_point_starts, raw_texts, shingles, words
 
-WIDTH, SPAN = 3, 4  # words of an n-gram; neighbouring n-grams that share a seed
+WIDTH = 3  # words of an n-gram at most
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_CHARS = 8_000_000  # characters of test items that one block may hold
@@ -34,11 +36,22 @@ class Items:
 
     ids: list
     words: list[np.ndarray]
+    widths: np.ndarray  # words of an item's n-grams
+    need: np.ndarray  # n-grams that an alignment has at least
     grams: np.ndarray
     first: np.ndarray  # bounds of an n-gram's places
     item: np.ndarray
     at: np.ndarray
 
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions among a text's words at which an n-gram of the block starts, and which."""
+        if not hasattr(self, "_widths"):
+            self._widths = [int(w) for w in np.unique(self.widths)]
+        found = [self.find(shingles(hashes, w)) for w in self._widths if w <= len(hashes)]
+        if len(found) == 1:
+            return found[0]
+        return tuple(np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``hashes`` that hold an n-gram of the block, and which."""
         hit = np.flatnonzero(self.filter()[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
@@ -53,42 +66,82 @@ class Items:
             self._filter[(self.grams & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
         return self._filter
 
+    def spans(self, threshold: float) -> np.ndarray:
+        """Words of a text that an alignment of each item takes at most."""
+        if not hasattr(self, "_spans"):
+            self._spans = np.array([len(w) + _slack(len(w), threshold) for w in self.words], np.int64)
+        return self._spans
+
 
 def _tokens(raw: bytes):
     return words(raw, between=PUNCTUATION)
 
 
-def items_of(rows: list[tuple]) -> Items:
+def _slack(length: int, threshold: float) -> int:
+    """Words that an alignment of an item may have to skip in the text."""
+    return int(MATCH * length * (1 - threshold) / GAP + 1e-9)
+
+
+def intact(length: int, threshold: float) -> tuple[int, int]:
+    """Width, and how many of an item's n-grams of that width every match leaves intact.
+
+    An alignment with ``h`` equal words affords MATCH h - threshold MATCH length edits; so
+    many edits cut it into one run more, and a run of r words has r - width + 1 n-grams.
+    The widest n-gram with such a guarantee counts; single words always have one.
+    """
+    full = threshold * MATCH * length
+    for width in range(min(WIDTH, length), 0, -1):
+        least = min(
+            h - (width - 1) * (int((MATCH * h - full) / min(GAP, MISMATCH) + 1e-9) + 1)
+            for h in range(max(1, math.ceil(threshold * length - 1e-9)), length + 1)
+        )
+        if least >= 1:
+            break
+    return width, max(least, 1)
+
+
+def items_of(rows: list[tuple], threshold: float = THRESHOLD) -> Items:
     """A block from ``(item_id, text)`` rows; items without words are left out."""
-    ids, tokens, grams, owner, place = [], [], [], [], []
+    ids, tokens, widths, need, grams, owner, place = [], [], [], [], [], [], []
     for item_id, text in rows:
         hashes = _tokens((text or "").encode())[2]
         if len(hashes):
-            found = shingles(hashes, WIDTH)
+            width, least = intact(len(hashes), threshold)
+            found = shingles(hashes, width)
             grams.append(found)
             owner.append(np.full(len(found), len(ids)))
             place.append(np.arange(len(found)))
             ids.append(item_id)
             tokens.append(hashes)
+            widths.append(width)
+            need.append(least)
     empty = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     grams, owner, place = (np.concatenate(x or e) for x, e in ((grams, empty[0]), (owner, empty[1]), (place, empty[1])))
     order = np.argsort(grams, kind="stable")
     distinct, first = np.unique(grams[order], return_index=True)
-    return Items(ids, tokens, distinct, np.append(first, len(grams)), owner[order], place[order])
+    bounds = np.append(first, len(grams))
+    return Items(ids, tokens, np.array(widths, np.int64), np.array(need, np.int64), distinct, bounds, owner[order], place[order])
 
 
 def seeded(items: Items, documents: np.ndarray) -> Items:
-    """The block with seeds only: of ``SPAN`` neighbouring n-grams the one in fewest documents."""
+    """The block with seeds only: n-grams that occur, without the most frequent of each item.
+
+    Half of the n-grams that a match is sure to have may go; it still has the others.
+    """
     which = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
     keep = np.zeros(len(which), bool)
-    order = np.lexsort((items.at, items.item))
+    need = items.need.copy()
+    rarity = documents[which]
+    order = np.lexsort((items.at, rarity, items.item))
     for of_item in np.split(order, np.flatnonzero(np.diff(items.item[order])) + 1):
-        rarity = documents[which[of_item]]
-        for low in range(max(1, len(of_item) - SPAN + 1)):
-            keep[of_item[low + int(np.argmin(rarity[low : low + SPAN]))]] = True
-    kept = np.flatnonzero(keep)
+        one = items.item[of_item[0]]
+        spare = int(need[one]) // 2
+        need[one] -= spare
+        keep[of_item[: len(of_item) - spare]] = True
+    kept = np.flatnonzero(keep & (rarity > 0))
     grams, first = np.unique(which[kept], return_index=True)
-    return Items(items.ids, items.words, items.grams[grams], np.append(first, len(kept)), items.item[kept], items.at[kept])
+    bounds = np.append(first, len(kept))
+    return Items(items.ids, items.words, items.widths, need, items.grams[grams], bounds, items.item[kept], items.at[kept])
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
@@ -129,18 +182,26 @@ def matches(raw: bytes, seeds: Items, threshold: float = THRESHOLD) -> list[tupl
     The best alignment of every item whose score reaches ``threshold``.
     """
     starts, ends, hashes = _tokens(raw)
-    where, gram = seeds.find(shingles(hashes, WIDTH))
+    where, gram = seeds.hits(hashes)
     if not len(where):
         return []
     counts = seeds.first[gram + 1] - seeds.first[gram]
     place = np.repeat(where, counts)
     offset = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
     slot = np.repeat(seeds.first[gram], counts) + offset
-    item, diagonal = seeds.item[slot], place - seeds.at[slot]
+    order = np.lexsort((place, seeds.item[slot]))
+    place, slot = place[order], slot[order]
+    item = seeds.item[slot]
+    # a match's first seed has the others it needs within the words that a match may span
+    last = np.arange(len(item)) + seeds.need[item] - 1
+    there = last < len(item)
+    last[~there] = 0
+    there &= (item[last] == item) & (place[last] - place < seeds.spans(threshold)[item])
+    item, diagonal = item[there], (place - seeds.at[slot])[there]
     out = []
     for one in np.unique(item):
         own = seeds.words[one]
-        slack = len(own) // 2 + 4
+        slack = _slack(len(own), threshold)
         best = None
         low = high = None
         for d in [*np.unique(diagonal[item == one]), None]:
@@ -163,7 +224,9 @@ def matches(raw: bytes, seeds: Items, threshold: float = THRESHOLD) -> list[tupl
     return out
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[Items]:
+def blocks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = BLOCK_CHARS
+) -> Iterator[Items]:
     """The test items with their seeds, in blocks of about ``most`` characters.
 
     A block's items and the document counts of its n-grams pass the driver; both are
@@ -175,7 +238,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_CHARS) -> It
     texts = docs.select("text")
     for k in range(many):
         part = rows.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(many)) == k)
-        items = items_of([tuple(r) for r in part.orderBy("item_id", "item_text").collect()])
+        items = items_of([tuple(r) for r in part.orderBy("item_id", "item_text").collect()], threshold)
         if items.ids:
             yield seeded(items, _document_counts(texts, items))
 
@@ -187,7 +250,7 @@ def _document_counts(texts: DataFrame, items: Items) -> np.ndarray:
         counts = np.zeros(len(items.grams), np.int64)
         for batch in batches(iterator):
             for raw in raw_texts(batch.column("text")):
-                counts[np.unique(items.find(shingles(_tokens(raw)[2], WIDTH))[1])] += 1
+                counts[np.unique(items.hits(_tokens(raw)[2])[1])] += 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["gram", "n"])
 
@@ -228,7 +291,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
 
         return rows.mapInArrow(run, schema)
 
-    parts = [found(seeds) for seeds in blocks(rows, benchmark, most)]
+    parts = [found(seeds) for seeds in blocks(rows, benchmark, threshold, most)]
     return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -243,4 +306,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, m
 
         return rows.mapInArrow(run, rows.schema)
 
-    return reduce(without, blocks(docs, benchmark, most), docs)
+    return reduce(without, blocks(docs, benchmark, threshold, most), docs)

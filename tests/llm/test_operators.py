@@ -125,6 +125,37 @@ def test_alignment_equals_brute_force():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def _edited(r, words, edits):
+    out = list(words)
+    for at in sorted(r.sample(range(len(out)), edits), reverse=True):
+        kind = r.randrange(3)
+        out[at : at + 1] = [["e"], [], [out[at], f"e{r.randrange(99)}"]][kind]
+    return " ".join(out)
+
+
+def test_decontamination_equals_alignment_of_all(corpus, documents):
+    r = random.Random(7)
+    items = [(i, text(f"i{i}", 1 + i if i < 24 else 40)) for i in range(28)]
+    rows = []
+    for i, t in items:
+        words = t.split()
+        dense = " ".join("z" if k % 6 == 3 else w for k, w in enumerate(words))
+        spread = " ".join(w + " x" * (k % 5 != 0) for k, w in enumerate(words))  # 4 of 5 words are followed by another
+        copies = [dense, spread, *(_edited(r, words, min(len(words), len(words) * k // 12)) for k in (2, 3, 4, 5))]
+        rows += [(100 * i + k, f"{text(f"{i}a{k}", 20)} {c} {text(f"{i}b{k}", 30)}") for k, c in enumerate(copies)]
+    bench = corpus.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in decontaminate.leaks(documents(rows), bench).collect()}
+    tokens = lambda t: decontaminate._tokens(t.encode())[2]
+    expected = {}
+    for d, t in rows:
+        for i, own in items:
+            score = decontaminate.align(tokens(own), tokens(t))[0] / (decontaminate.MATCH * len(own.split()))
+            if score >= decontaminate.THRESHOLD:
+                expected[d, i] = score
+    assert got == expected
+    assert {d for d, _ in expected} >= {100 * i for i in range(28) if len(items[i][1].split()) > 11}
+
+
 def test_toxicity(corpus, documents):
     rows = [(i, text(i, 80) + (" vile scum wretch" if i % 5 == 0 else "")) for i in range(400)]
     labels = corpus.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 400, 2)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
