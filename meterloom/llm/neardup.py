@@ -66,11 +66,11 @@ def halves(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, node long, halves array<long>, sig binary"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, node long, halves array<long>, sig binary"
 
 
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Set size, node (64 bits of the set's digest), half keys and signature of every text.
+    """Text hash, set size, node (64 bits of the set's digest), half keys and signature of every text.
 
     The signature keeps 16 bits of each minhash; a text without words has no node.
     """
@@ -94,15 +94,16 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("text_hash"),
                     pa.array(n, pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sigs, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "node", "halves", "sig"],
+                names=["doc_id", "text_hash", "n_shingles", "node", "halves", "sig"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _SKETCH)
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -313,16 +314,16 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     beside a document with an id is not kept, a component without any id is.
     """
     rows = stage(sketch(docs, width), "sketches")
-    owners = rows.where("n_shingles > 0").groupBy(F.col("node").alias("of")).agg(F.min("doc_id").alias("owner"))
+    # a set's sketch and text come from the row of its smallest id, of several texts the one of smallest hash
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    owners = rows.where("n_shingles > 0").groupBy(F.col("node").alias("of")).agg(smallest.alias("least"))
+    owners = owners.select("of", F.col("least.doc_id").alias("owner"), F.col("least.text_hash").alias("owner_hash"))
     owners = stage(owners, "owners")
-    # a set's sketch and text come from the row of its smallest id
-    own = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("owner"))
-    nodes = rows.join(owners, own, "left_semi").select("node", F.col("n_shingles").alias("n"), "halves", "sig")
-    nodes = stage(nodes, "nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        rows.join(owners, own, "left_semi").select(F.col("doc_id").alias("owner"), "node"),
-        F.col("doc_id").eqNullSafe(F.col("owner")),
-    )
+    own = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))
+    nodes = rows.join(owners, (F.col("node") == F.col("of")) & own, "left_semi")
+    nodes = stage(nodes.select("node", F.col("n_shingles").alias("n"), "halves", "sig"), "nodes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = texts.join(owners.withColumnRenamed("of", "node"), own).select("node", "text")
     if nodes.count() > owners.count():  # repeated rows
         nodes, texts = nodes.dropDuplicates(["node"]), texts.dropDuplicates(["node"])
     groups = linked(nodes, texts, width, percent)

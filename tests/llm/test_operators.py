@@ -214,6 +214,38 @@ def test_near_duplicates_equal_brute_force(documents, monkeypatch, width):
         assert got[d]["kept"] == (component == d)
 
 
+def _same_id_rows():
+    """Edited copies, several under one id or without any, a repeated row, and texts of their own."""
+    r = random.Random(9)
+    rows = []
+    for base in range(12):
+        for k in range(4):
+            words = text(f"n{base}", 50, 4000).split()
+            words[5 + 9 * k] = f"e{k}"
+            rows.append((r.choice([None, None, base, 7]), " ".join(words)))
+    rows += [(None, text(f"m{i}", 50, 4000)) for i in range(25)] + [(7, text(f"o{i}", 50, 4000)) for i in range(5)]
+    return rows + rows[:3] + [(None, None), (None, ""), (7, None)]
+
+
+def _groups(rows, width):
+    """Row numbers of every component of brute force."""
+    named, _ = _components(list(enumerate(t for _, t in rows)), width)
+    groups = {}
+    for i, component in enumerate(named):
+        groups.setdefault(component, []).append(i)
+    return list(groups.values())
+
+
+def test_near_duplicates_same_and_null_ids(documents):
+    rows = _same_id_rows()
+    expected = []
+    for group in _groups(rows, 2):
+        ids = [rows[i][0] for i in group if rows[i][0] is not None]
+        expected += [(rows[i][0], min(ids, default=None)) for i in group]
+    got = [(x["doc_id"], x["component_id"]) for x in neardup.classes(documents(rows), 2).collect()]
+    assert Counter(got) == Counter(expected)
+
+
 def test_deduplicated_edges(documents):
     kept = neardup.deduplicated(documents(EDGES))
     assert kept.columns == documents(EDGES).columns
