@@ -305,13 +305,12 @@ def linked(nodes: DataFrame, texts: DataFrame, width: int = WIDTH, percent: int
     return stage(components(first.unionByName(more)), "components")
 
 
-def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+def _decisions(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, survivor`` of every row.
 
-    Rows with equal sets belong together, and so do all that confirmed links connect; the
-    component is its smallest doc_id and only that document is kept.  Null and empty texts
-    have no shingles, are linked with nothing and stay.  Rows without an id take part: one
-    beside a document with an id is not kept, a component without any id is.
+    The survivor of a component is its row of smallest id, then smallest text hash; only a
+    component without any id has a survivor without one.  ``survivor`` holds for repeats of
+    that row too, and for every text without shingles.
     """
     rows = stage(sketch(docs, width), "sketches")
     # a set's sketch and text come from the row of its smallest id, of several texts the one of smallest hash
@@ -328,15 +327,33 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         nodes, texts = nodes.dropDuplicates(["node"]), texts.dropDuplicates(["node"])
     groups = linked(nodes, texts, width, percent)
     named = owners.join(groups, F.col("of") == F.col("node"), "left").select(
-        "of", "owner", F.coalesce("component", "of").alias("component")
+        "of", "owner", "owner_hash", F.coalesce("component", "of").alias("component")
+    )
+    smallest = F.min(F.struct(F.col("owner").isNull().alias("no_id"), "owner", "owner_hash"))
+    one = named.groupBy(F.col("component").alias("group")).agg(smallest.alias("first"))
+    of = named.join(one, F.col("component") == F.col("group")).select("of", "first")
+    alone = F.col("node").isNull()
+    survivor = F.col("doc_id").eqNullSafe(F.col("first.owner")) & (F.col("text_hash") == F.col("first.owner_hash"))
+    return rows.join(of, F.col("node") == F.col("of"), "left").select(
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.owner")).alias("component_id"),
+        (alone | survivor).alias("survivor"),
     )
-    smallest = named.groupBy(F.col("component").alias("group")).agg(F.min("owner").alias("component_id"))
-    of = named.join(smallest, F.col("component") == F.col("group")).select("of", "component_id")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+
+
+def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    Rows with equal sets belong together, and so do all that confirmed links connect; the
+    component is its smallest doc_id and only that document is kept.  Null and empty texts
+    have no shingles, are linked with nothing and stay.  Rows without an id take part: one
+    beside a document with an id is not kept, a component without any id is.
+    """
     return (
-        rows.select("doc_id", "n_shingles", "node")
-        .join(of, F.col("node") == F.col("of"), "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        _decisions(docs, width, percent)
+        .select("doc_id", "n_shingles", "component_id")
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
@@ -344,20 +361,21 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns: one of each component.
 
-    Of rows that share an id, the one with the smallest text (null first) stays.  Rows
-    without an id stay where their component has none.
+    A row is known by its id, null or not, and its text, so different texts under one id
+    are decided each for itself.  Of repeated rows any one stays; all rows whose text has
+    no shingles do.
     """
-    rows = stage(classes(docs, width, percent), "classes").where("doc_id IS NOT NULL")
-    gone = rows.where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    own = F.col("doc_id").cast("long") == F.col("_gone_id")
-    left = docs.join(gone, own, "left_anti")
-    twice = rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone_id"))
+    rows = stage(_decisions(docs, width, percent), "decisions").where("n_shingles > 0")
+    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    left = docs.join(rows.where("NOT survivor").select(*key).distinct(), own, "left_anti")
+    twice = rows.where("survivor").groupBy(*key).count().where("count > 1").drop("count")
     if twice.isEmpty():
         return left
     again = (
         left.join(twice, own, "left_semi")
-        .groupBy(F.col("doc_id").alias("_same_id"))
-        .agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.col("text"))).alias("_row"))
+        .groupBy(F.col("doc_id").alias("_same_id"), F.xxhash64("text").alias("_same_hash"))
+        .agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
         .select("_row.*")
     )
     return left.join(twice, own, "left_anti").unionByName(again)

@@ -246,6 +246,21 @@ def test_near_duplicates_same_and_null_ids(documents):
     assert Counter(got) == Counter(expected)
 
 
+def test_deduplicated_decides_by_row(documents):
+    rows = _same_id_rows()
+    kept = Counter((x["doc_id"], x["text"]) for x in neardup.deduplicated(documents(rows), 2).collect())
+    for group in _groups(rows, 2):
+        some = [rows[i] for i in group]
+        if not (some[0][1] or "").strip():
+            assert kept[some[0]] == sum(row == some[0] for row in rows)
+            continue
+        stayed = {row: kept[row] for row in some if kept[row]}
+        assert list(stayed.values()) == [1]
+        ids = [d for d, _ in some if d is not None]
+        assert next(iter(stayed))[0] == min(ids, default=None)
+    assert sum(kept.values()) == len(_groups(rows, 2))
+
+
 def test_deduplicated_edges(documents):
     kept = neardup.deduplicated(documents(EDGES))
     assert kept.columns == documents(EDGES).columns
