@@ -3,9 +3,9 @@
 Patterns find three base kinds (assignments, access identifiers, hex runs) and four weak
 kinds (user names, short passwords, 40-character keys, endpoints).  A weak span counts
 only beside complementary parts: an interval join between identifiers, secrets and
-endpoints whose starts lie within ``reach`` code points in one scope (text between blank
-lines).  It runs as a range frame over the sorted parts of a scope, so a scope full of
-parts costs no pairs.
+endpoints with at most ``reach`` code points between them in one scope (text between blank
+lines), not counting what parts cover, so long values use up nothing.  It runs as a range
+frame over the sorted parts of a scope, so a scope full of parts costs no pairs.
 """
 
 from __future__ import annotations
@@ -123,11 +123,18 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Adds ``linked``: complementary parts lie within ``reach`` code points in the scope.
+    """Adds ``linked``: complementary parts lie within ``reach`` uncovered code points in the scope.
 
     Identifiers need a secret, secrets an identifier or an endpoint, endpoints both.
     """
-    near = Window.partitionBy("doc_id", "text_hash", "scope").orderBy("start").rangeBetween(-reach, reach)
+    scope = Window.partitionBy("doc_id", "text_hash", "scope")
+    before = scope.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("end").over(before), F.lit(0))
+    added = F.greatest(F.col("end") - F.greatest("start", "reached"), F.lit(0))
+    over = F.coalesce(F.sum("added").over(before), F.lit(0)) - F.greatest(F.col("reached") - F.col("start"), F.lit(0))
+    # uncovered code points before a part are as many at its start as at its end
+    parts = parts.withColumn("reached", reached).withColumn("added", added).withColumn("clear", F.col("start") - over)
+    near = scope.orderBy("clear").rangeBetween(-reach, reach)
     count = lambda kinds: F.sum(F.col("kind").isin(*kinds).cast("long")).over(near)
     kind = F.col("kind")
     return (
@@ -138,7 +145,7 @@ def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
             .when(kind.isin(*SECRET), (F.col("ids") > 0) | (F.col("ends") > 0))
             .otherwise((F.col("ids") > 0) & (F.col("secrets") > 0)),
         )
-        .drop("ids", "secrets", "ends")
+        .drop("ids", "secrets", "ends", "reached", "added", "clear")
     )
 
 

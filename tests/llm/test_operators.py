@@ -80,6 +80,19 @@ def test_secrets(documents):
     assert secrets.scan(documents(EMPTY)).count() == 0
 
 
+def test_secrets_beyond_long_parts(documents):
+    rows = [
+        (10, "user=bob\ntoken=" + "a1B2c3" * 50 + "\npassword=hunter22"),
+        (11, "user=bob https://db.example.org/" + "p" * 400 + " password=hunter22"),
+        (12, "user=bob" + "\n" * 2 + "token=" + "a1B2c3" * 50 + "\n\npassword=hunter22"),
+        (13, "user=bob " + "x" * 199 + "\ntoken=" + "a1B2c3" * 50 + "\npassword=hunter22"),
+    ]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan(documents(rows)).collect()}
+    assert got[10] == ["user", "assign", "password"]
+    assert got[11] == ["user", "endpoint", "password"]
+    assert got[12] == ["assign"] and got[13] == ["assign"]
+
+
 def test_personal_data(documents):
     t = "mail a.b@x.org card 4539 1488 0343 6467 from 10.0.0.300 and 10.0.0.30, +1 (555) 555-0271 iban DE89370400440532013000"
     rows = [(10, t), *EDGES]
