@@ -2,7 +2,7 @@
 
 Base kinds (email, ip, card, phone) are reported whenever pattern and checksum hold.
 Further kinds (iban by mod-97, ssn by its number ranges) are reported when their score,
-raised by context words shortly before the span, reaches a threshold.
+raised by context words shortly before or after the span, reaches a threshold.
 """
 
 from __future__ import annotations
@@ -39,10 +39,24 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?")
+_IBAN_END = re.compile(r"(?![A-Za-z0-9])")
+# Characters of an account number by country, from the public registry.
+_IBAN_LENGTHS = """
+15 NO 16 BE 18 DK FK FI FO GL NL SD 19 MK SI 20 AT BA EE KZ LT LU MN XK 21 CH CR HR LI LV
+22 BG BH DE GB GE IE ME RS 23 AE GI IL IQ OM SO TL 24 AD CZ ES MD PK RO SA SE SK TN VG 25 LY PT ST
+26 IS TR 27 BI DJ FR GR IT MC MR SM 28 AL AZ BY CY DO GT HN HU LB NI PL SV 29 BR EG PS QA UA 30 JO KW MU YE
+31 MT SC 32 LC 33 RU
+"""
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGITS = re.compile("[^0-9]+")
+_LENGTH_OF: dict[str, int] = {}
+for _word in _IBAN_LENGTHS.split():
+    if _word.isdigit():
+        _size = int(_word)
+    else:
+        _LENGTH_OF[_word] = _size
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 
@@ -72,6 +86,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
             floor = m.end()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers: of the country's length or the longest run, else, in other countries, any shorter one."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 4  # a failed candidate may hold the start of another
+        ends = [i + 1 for i in range(m.start(), m.end()) if text[i] != " "]
+        whole = [n for n in range(min(len(ends), 34), 14, -1) if _IBAN_END.match(text, ends[n - 1])]
+        own = _LENGTH_OF.get(text[m.start() : m.start() + 2])
+        for n in whole if own is None else [n for n in whole if n == own] + whole[:1]:
+            if mod97(text[m.start() : ends[n - 1]].replace(" ", "")):
+                yield m.start(), ends[n - 1]
+                at = ends[n - 1]
+                break
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans of every kind, per kind leftmost and not overlapping."""
     if "@" in text:
@@ -90,25 +119,22 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m.group())) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", *span) for span in _ibans(text))
     for m in _SSN.finditer(text):
         area, group, serial = m.groups()
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", m.start(), m.end()
 
 
-def score(text: str, kind: str, start: int) -> float:
-    """Prior of the kind, raised by each of its context words shortly before the span, to 1 at most."""
-    before = text[max(0, start - REACH) : start].lower()
-    return min(1.0, PRIOR[kind] + BOOST * sum(word in before for word in CONTEXT[kind]))
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """Prior of the kind, raised by each of its context words shortly before or after the span, to 1 at most."""
+    before, after = text[max(0, start - REACH) : start].lower(), text[end : end + REACH].lower()
+    return min(1.0, PRIOR[kind] + BOOST * sum(word in before or word in after for word in CONTEXT[kind]))
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """``(kind, start, end, score)`` by start, then kind as listed in ``KINDS``."""
-    found = [(k, s, e, score(text, k, s)) for k, s, e in candidates(text)]
+    found = [(k, s, e, score(text, k, s, e)) for k, s, e in candidates(text)]
     kept = [x for x in found if x[0] in BASE or x[3] >= threshold]
     return sorted(kept, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

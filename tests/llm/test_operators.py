@@ -105,6 +105,23 @@ def test_personal_data(documents):
     assert pii.redact(documents(rows)).columns == documents(rows).columns
 
 
+def test_account_numbers_before_capitals_and_context_behind():
+    found = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.spans(t) if k in ("iban", "ssn")]
+    for iban, rest in (
+        ("BE68 5390 0754 7034", " BIC GKCCBEBB"),
+        ("BE68539007547034", " EUR"),
+        ("BE68 5390 0754 7034", " PAID 1234 TO"),
+        ("ES91 2100 0418 4502 0005 1332", " BIC"),
+        ("DE89 3704 0044 0532 0130 00", " EUR"),
+        ("GB82WEST12345698765432", "."),
+    ):
+        assert found(iban + rest) == [("iban", iban)]
+        assert found("REF AB12 CDEF " + iban + rest) == [("iban", iban)]
+    assert found("BE68 5390 0754 7035 BIC") == []
+    assert found("123-45-6789 (SSN)") == [("ssn", "123-45-6789")]
+    assert found("123-45-6789 (order)") == []
+
+
 # ---- benchmark, toxicity -------------------------------------------------------------
 
 
