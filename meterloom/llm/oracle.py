@@ -39,4 +39,26 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
     """,
+    "op13_substring_dedup": r"""
+        WITH w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents
+        ), g AS MATERIALIZED (
+            SELECT doc_id, i, sha256(array_to_string(t[i + 1:i + 13], ' ')) AS g
+            FROM (SELECT doc_id, t, unnest(range(0, len(t) - 12)) AS i FROM w WHERE len(t) >= 13)
+        ), f AS MATERIALIZED (
+            SELECT g, min(doc_id) AS source FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1
+        ), c AS MATERIALIZED (
+            SELECT DISTINCT doc_id, i + k AS word
+            FROM g JOIN f USING (g), unnest(range(13)) AS r(k) WHERE source < doc_id
+        ), e AS (
+            SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS word FROM w
+        ), k AS (
+            SELECT e.doc_id, count(c.word) AS n_removed,
+                   string_agg(CASE WHEN c.word IS NULL THEN x END, ' ' ORDER BY e.word) AS kept
+            FROM e LEFT JOIN c ON c.doc_id = e.doc_id AND c.word = e.word GROUP BY e.doc_id
+        )
+        SELECT w.doc_id, len(t)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import attribution, decontaminate, fingerprints, neardup, packing, pii, ppm, secrets, toxicity, warc
+from meterloom.llm import (
+    attribution,
+    decontaminate,
+    fingerprints,
+    neardup,
+    packing,
+    periodic,
+    pii,
+    ppm,
+    secrets,
+    spelling,
+    substrings,
+    toxicity,
+    warc,
+)
 from meterloom.llm.common import held_out, prepare, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +125,31 @@ def op9_ppm(spark, sf_dir):
 @query
 def op10_token_attribution(spark, sf_dir):
     return attribution.by_section(_documents(spark, sf_dir))
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.runs(_documents(spark, sf_dir), plant=True)
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(_documents(spark, sf_dir))
+
+
+@query
+def op13_substring_dedup(spark, sf_dir):
+    def removed(total, f):
+        """Words up to the factor's end, each counted once, with the end reached so far."""
+        end = F.greatest(total["end"], f["start"] + f["length"])
+        return F.struct(
+            (total["n"] + end - F.greatest(total["end"], f["start"])).alias("n"), end.alias("end")
+        )
+
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    return substrings.deduplicated(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        F.aggregate("factors", none, removed, lambda t: t["n"]).cast("long").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
