@@ -231,9 +231,10 @@ def near_words(words: DataFrame) -> DataFrame:
     """
 
     def scan(iterator):
-        table = pa.Table.from_batches(list(iterator))
-        if not table.num_rows:
+        received = list(batches(iterator))
+        if not received:
             return
+        table = pa.Table.from_batches(received)
         word = [w.encode("latin-1") for w in table["word"].to_pylist()]
         n, asks, listed = (table[c].to_numpy() for c in ("n", "asks", "listed"))
         sets = [table[c].to_numpy() for c in ("backwards", "length", "q", "w")]
