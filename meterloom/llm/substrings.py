@@ -39,7 +39,7 @@ WINDOW = 13
 
 _SEED = 7
 _TASK_CHARS = 16_000_000  # characters of the texts of one task
-_BUNDLES = 4  # bundles of a task
+_BUNDLES = 2  # bundles of a task; each writes to as many index blocks as there are tasks
 _NO_ID = np.iinfo(np.int64).max  # rows without id come after all others
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -286,14 +286,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     narrow = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     chars = narrow.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(parts(spark), chars // _TASK_CHARS)
-    bundles = blocks = int(tasks * _BUNDLES)
+    tasks = blocks = int(max(parts(spark), chars // _TASK_CHARS))
+    bundles = tasks * _BUNDLES
     number = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(bundles))
-    dealt = narrow.withColumn("bundle", number.cast("int")).repartition(int(tasks), "bundle")
+    dealt = narrow.withColumn("bundle", number.cast("int")).repartition(tasks, "bundle")
     own = dealt.groupBy("bundle")
 
     def back(answers: DataFrame):
-        return own.cogroup(answers.repartition(int(tasks), "bundle").groupBy("bundle"))
+        return own.cogroup(answers.repartition(tasks, "bundle").groupBy("bundle"))
 
     seeds = own.applyInArrow(_send_seeds(blocks), _MESSAGE)
     seeds = seeds.groupBy("block").applyInArrow(_answer_seeds, _MESSAGE)
