@@ -53,7 +53,7 @@ def whole_div(value: Column, width: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
 
-def time_block(ts: str = "ts", width: str | timedelta = TIME_BLOCK) -> Column:
+def time_block(ts: str | Column = "ts", width: str | timedelta = TIME_BLOCK) -> Column:
     """Number of the time block a row falls into."""
     return whole_div(epoch_us(ts), duration_us(width))
 

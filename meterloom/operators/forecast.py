@@ -1,10 +1,8 @@
 """Per-series ARIMA: forecast, back-test, order search, autoregression, residuals.
 
-Series are the groups of ``keys``.  The default order runs as aggregates
-(`forecast_ma1`), for series of any length.  Other orders need a recursion per
-fit, which runs in a Python worker per series: a series there is one row per
-slot, so it is bounded by its time span over the period, however many raw rows
-went into the slots.
+Series are the groups of ``keys``, of any length.  The default order runs as plain
+aggregates (`forecast_ma1`), others as sums over blocks of readings (`forecast_lags`).
+Readings without a value count as missing: they are left out and take no position.
 """
 
 from __future__ import annotations
@@ -20,15 +18,12 @@ from pyspark.sql import types as T
 
 from meterloom.functions import arma
 from meterloom.functions.arma import Order
-from meterloom.functions.blocks import (
-    TIME_BLOCK,
-    duration_us,
-    epoch_us,
-    pack,
-    time_block,
-)
+from meterloom.functions.blocks import TIME_BLOCK, duration_us
+from meterloom.functions.recursion import dense
+from meterloom.operators import forecast_lags as lags
 from meterloom.operators import forecast_ma1
 from meterloom.operators.series import autocovariance
+from meterloom.session import stage
 
 SERIES = ("key", "profile_key", "dow")
 DEFAULT_ORDER = Order()
@@ -90,7 +85,9 @@ def forecast_arima(
         return _forecast_ma1(
             series, order, keys, ts, value, align, steps, period, psi_shift, block
         )
-    return _forecast_grouped(series, order, keys, ts, value, align, steps, period, psi_shift)
+    return _forecast_general(
+        series, order, keys, ts, value, align, steps, period, psi_shift, block
+    )
 
 
 def _forecast_ma1(
@@ -126,61 +123,37 @@ def _forecast_ma1(
     )
 
 
-def _group_schema(series: DataFrame, keys: Sequence[str], fields: str) -> T.StructType:
-    head = T.StructType([series.schema[k] for k in keys])
-    return T.StructType(head.fields + T.StructType.fromDDL(fields).fields)
-
-
-def _group_keys(pdf: pd.DataFrame, keys: Sequence[str]) -> dict:
-    return {k: pdf[k].iloc[0] for k in keys}
-
-
-def _series_input(series: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    return series.select(
-        *keys, epoch_us(ts).alias("us"), F.col(value).cast("double").alias("x")
-    )
-
-
-def _forecast_grouped(
-    series, order, keys, ts, value, align, steps, period, psi_shift
+def _forecast_general(
+    series, order, keys, ts, value, align, steps, period, psi_shift, block
 ) -> DataFrame:
     keys = list(keys)
-    gap = duration_us(period)
-
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", ignore_index=True)
-        x, n = pdf["x"].to_numpy(), len(pdf)
-        size = n if align == "in_place" else steps
-        out = pd.DataFrame({**_group_keys(pdf, keys), "step": np.arange(size)})
-        out["us"] = pdf["us"] if align == "in_place" else pdf["us"].iloc[-1] + (out["step"] + 1) * gap
-        out["yhat"] = out["lo"] = out["hi"] = out["rmse"] = np.nan
-        out["status"], out["n"] = "ok", n
-        try:
-            model = arma.fit(x, order, 1)
-            rmse, _ = arma.back_test(x, order)
-        except arma.TooShort:
-            out["status"] = "too_short"
-            return out
-        bound = Z95 * rmse * arma.spread(order, model.coef, size, psi_shift)
-        out["yhat"] = model.forecast(size)
-        out["lo"], out["hi"], out["rmse"] = out["yhat"] - bound, out["yhat"] + bound, rmse
-        return out
-
-    schema = _group_schema(
-        series,
-        keys,
-        "step long, us long, yhat double, lo double, hi double, rmse double, status string, n long",
-    )
-    result = _series_input(series, keys, ts, value).groupBy(*keys).applyInPandas(forecast, schema)
-    size = F.col("n") if align == "in_place" else F.lit(steps)
-    numbers = [F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in ("yhat", "lo", "hi", "rmse")]
-    return result.select(
+    parts = stage(lags.cut(series, keys, ts, value, lags.back_needed([order]), block), "series-blocks")
+    models = lags.fitted(parts, keys, [order])
+    full = models.where("NOT _held").drop("rmse", "_n", lags.WHICH)
+    held = models.where("_held").select(*keys, "rmse")
+    both = full.join(held, keys)
+    if align == "in_place":
+        ahead = parts.select(*keys, "_n", F.col("_start").alias("_from"), F.size("_x").alias("_count"), "_us")
+    else:
+        gap, zero = duration_us(period), F.lit(0).cast("long")
+        last = parts.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max(F.element_at("_us", -1)).alias("_last"))
+        times = F.transform(F.sequence(zero + 1, F.lit(steps).cast("long")), lambda k: F.col("_last") + k * gap)
+        ahead = last.select(*keys, "_n", zero.alias("_from"), F.lit(steps).alias("_count"), times.alias("_us"))
+    rows = ahead.join(both, keys, "left").withColumn("_path", lags.predicted(psi_shift))
+    each = F.arrays_zip(F.col("_us"), F.col("_path.yhat").alias("yhat"), F.col("_path.spread").alias("spread"))
+    rows = rows.select(*keys, "_n", "_from", "coef", "rmse", F.posexplode(each).alias("_k", "_f"))
+    known = F.col("coef").isNotNull()
+    bound = Z95 * F.col("rmse") * F.col("_f.spread")
+    yhat = F.col("_f.yhat")
+    numbers = {"yhat": yhat, "lo": yhat - bound, "hi": yhat + bound, "rmse": F.col("rmse")}
+    size = F.col("_n") if align == "in_place" else F.lit(steps)
+    return rows.select(
         *keys,
-        "step",
-        F.timestamp_micros("us").alias(ts),
-        *numbers,
-        "status",
-        _log(order, size, F.col("n")).alias("log"),
+        (F.col("_from") + F.col("_k")).alias("step"),
+        F.timestamp_micros("_f._us").alias(ts),
+        *[F.when(known, number).alias(name) for name, number in numbers.items()],
+        F.when(known, "ok").otherwise("too_short").alias("status"),
+        _log(order, size, F.col("_n")).alias("log"),
     )
 
 
@@ -220,18 +193,17 @@ def backtest(
         blocks = forecast_ma1.cut(series, keys, ts, value, block)
         return forecast_ma1.estimate(blocks).select(*keys, "n", "n_test", "rmse", "status")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("us")["x"].to_numpy()
-        row = {**_group_keys(pdf, keys), "n": len(x)}
-        try:
-            row["rmse"], row["n_test"] = arma.back_test(x, order)
-            row["status"] = "ok"
-        except arma.TooShort:
-            row.update(rmse=None, n_test=None, status="too_short")
-        return pd.DataFrame([row])
-
-    schema = _group_schema(series, keys, "n long, n_test long, rmse double, status string")
-    return _series_input(series, keys, ts, value).groupBy(*keys).applyInPandas(score, schema)
+    parts = stage(lags.cut(series, keys, ts, value, lags.back_needed([order]), block), "series-blocks")
+    models = lags.fitted(parts, keys, [order], held=[True]).select(*keys, "rmse", F.lit("ok").alias("_ok"))
+    lengths = parts.groupBy(*keys).agg(F.max("_n").alias("n"))
+    tail = F.floor(F.col("n") * F.lit(arma.HOLD_OUT)).cast("long")
+    return lengths.join(models, keys, "left").select(
+        *keys,
+        "n",
+        F.when(F.col("_ok").isNotNull(), tail).alias("n_test"),
+        "rmse",
+        F.coalesce("_ok", F.lit("too_short")).alias("status"),
+    )
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -269,15 +241,6 @@ def order_grid(
     ]
 
 
-def _criterion(model: arma.Fitted, start: int) -> float:
-    """Corrected information criterion of the one-step errors from ``start`` on."""
-    e = model.errors()[start:]
-    n, k = len(e), len(model.coef) + 2
-    if n - k - 1 < 1:
-        raise arma.TooShort(f"{n} errors for {k} parameters")
-    return n * np.log(max(float(np.mean(e**2)), 1e-300)) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-
-
 def auto_arima(
     series: DataFrame,
     grid: Sequence[Order] | None = None,
@@ -286,55 +249,46 @@ def auto_arima(
     ts: str = "ts",
     value: str = "value",
     period: str | timedelta = "1 hour",
+    block: str | timedelta = TIME_BLOCK,
 ) -> DataFrame:
     """Best order of ``grid`` per series by information criterion, and its forecast.
 
-    ``(keys, order columns, score, step, ts, yhat, lo80, hi80, lo95, hi95, status)``.  The
-    series is shipped once and all candidates are tried on it in its task, rather
-    than copying the series per candidate.
+    ``(keys, order columns, score, step, ts, yhat, lo80, hi80, lo95, hi95, status)``.  All
+    candidates are estimated in the same passes over one table of blocks; the criterion
+    counts one-step errors from the longest lag of any candidate on.
     """
-    candidates = list(grid or order_grid())
-    keys, gap = list(keys), duration_us(period)
-    start = max(max([0, *o.ar, *o.ma]) for o in candidates)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", ignore_index=True)
-        x = pdf["x"].to_numpy()
-        scored = []
-        for number, order in enumerate(candidates):
-            try:
-                model = arma.fit(x, order, 1)
-                scored.append((_criterion(model, start), number, model))
-            except arma.TooShort:
-                continue
-        out = pd.DataFrame({**_group_keys(pdf, keys), "step": np.arange(steps)})
-        out["us"] = pdf["us"].iloc[-1] + (out["step"] + 1) * gap
-        if not scored:
-            out["status"] = "too_short"
-            names = [*ORDER_COLUMNS, "score", "yhat", "lo80", "hi80", "lo95", "hi95"]
-            return out.assign(**{name: None for name in names})
-        score, _, model = min(scored, key=lambda s: s[:2])
-        sigma = float(np.sqrt(np.mean(model.errors()[start:] ** 2)))
-        scale = sigma * arma.spread(model.order, model.coef, steps)
-        out["yhat"], out["score"], out["status"] = model.forecast(steps), score, "ok"
-        for name, z in (("80", Z80), ("95", Z95)):
-            out[f"lo{name}"], out[f"hi{name}"] = out["yhat"] - z * scale, out["yhat"] + z * scale
-        return out.assign(**dict(zip(ORDER_COLUMNS, model.order)))
-
-    schema = _group_schema(
-        series,
-        keys,
-        ", ".join(f"{name} int" for name in ORDER_COLUMNS)
-        + ", score double, step long, us long, yhat double, "
-        "lo80 double, hi80 double, lo95 double, hi95 double, status string",
+    candidates, keys = list(grid or order_grid()), list(keys)
+    since = max(max([0, *o.ar, *o.ma]) for o in candidates)
+    parts = stage(lags.cut(series, keys, ts, value, lags.back_needed(candidates), block), "series-blocks")
+    models = lags.fitted(parts, keys, candidates, held=[False])
+    errors = lags.error_squares(parts, models, keys, since)
+    n, k = F.col("n_errors"), F.size("coef") + 2
+    mean = F.col("squares") / n
+    score = n * F.log(F.greatest(mean, F.lit(1e-300))) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+    scored = models.join(errors, [*keys, lags.WHICH]).where(n - k - 1 >= 1)
+    scored = scored.withColumns({"score": score, "_sigma": F.sqrt(mean)})
+    whole = F.struct(*[c for c in scored.columns if c not in (*keys, "_n")])
+    best = scored.groupBy(*keys).agg(F.min_by(whole, F.struct("score", lags.WHICH)).alias("_b"))
+    gap, zero = duration_us(period), F.lit(0).cast("long")
+    last = parts.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max(F.element_at("_us", -1)).alias("_last"))
+    rows = last.join(best.select(*keys, "_b.*"), keys, "left")
+    rows = rows.withColumns({"_from": zero, "_count": F.lit(steps)}).withColumn("_path", lags.predicted())
+    each = F.arrays_zip(F.col("_path.yhat").alias("yhat"), F.col("_path.spread").alias("spread"))
+    rows = rows.select(*keys, "_last", "coef", "score", "_sigma", *lags.ORDER, F.posexplode(each).alias("step", "_f"))
+    known, yhat = F.col("coef").isNotNull(), F.col("_f.yhat")
+    bounds = {"yhat": yhat}
+    for name, z in (("80", Z80), ("95", Z95)):
+        off = z * F.col("_sigma") * F.col("_f.spread")
+        bounds |= {f"lo{name}": yhat - off, f"hi{name}": yhat + off}
+    return rows.select(
+        *keys,
+        *[F.col(own).alias(name) for own, name in zip(lags.ORDER, ORDER_COLUMNS)],
+        "score",
+        F.col("step").cast("long").alias("step"),
+        F.timestamp_micros(F.col("_last") + (F.col("step").cast("long") + 1) * gap).alias(ts),
+        *[F.when(known, number).alias(name) for name, number in bounds.items()],
+        F.when(known, "ok").otherwise("too_short").alias("status"),
     )
-    names = [f.name for f in schema.fields]
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(pdf)[names]
-
-    result = _series_input(series, keys, ts, value).groupBy(*keys).applyInPandas(ordered, schema)
-    return result.withColumn("us", F.timestamp_micros("us")).withColumnRenamed("us", ts)
 
 
 def arma_residuals(
@@ -348,65 +302,25 @@ def arma_residuals(
 ) -> DataFrame:
     """Add ``i`` and ``residual``, the one-step errors of a given lag model.
 
-    Errors before the longest lag are zero.  The recursion over errors is linear,
-    so it runs per block from a zero start; each block's effect on the next is
-    one small vector, chained over blocks, and the true start is then added.
+    Errors before the longest lag are zero.  Each block runs the recursion from rest;
+    what the blocks before it add is linear in their last errors, which are put together
+    over one small row per block.  Rows without a value take no position: their ``i`` and
+    ``residual`` are null.
     """
-    ar, ma = dict(ar or {}), dict(ma or {})
-    start = max([0, *ar, *ma])
-    keys = list(keys)
-    blocks = pack(series, keys, [ts], time_block(ts, block))
-    shifted = blocks.shifted({f"_x{k}": (value, k) for k in ar})
-    part = F.col(value).cast("double")
-    for lag, coef in ar.items():
-        part = part - F.lit(float(coef)) * F.col(f"_x{lag}")
-    rows = shifted.withColumn("_u", F.when(F.col("i") >= start, part).otherwise(0.0)).select(
-        *series.columns, "i", "_u", "_b"
+    keys, columns = list(keys), series.columns
+    phi, theta = (dense(list(m or {}), list((m or {}).values())) for m in (ar, ma))
+    others = [c for c in columns if c not in keys]
+    parts = lags.cut(series, keys, ts, value, len(phi), block, others)
+    rows = lags.residual_rows(parts, keys, phi, theta)
+    each = rows.select(
+        *keys, "_start", F.posexplode(F.arrays_zip("_also", "_e")).alias("_k", "_z")
     )
-    if not ma:
-        return rows.withColumnRenamed("_u", "residual").drop("_b")
-    reach, lags = max(ma), np.array(sorted(ma))
-    theta = np.array([ma[k] for k in lags], dtype=float)
-    names = rows.columns
-
-    def recurse(u: np.ndarray, first: np.ndarray, position: np.ndarray) -> np.ndarray:
-        out = np.concatenate([first, u])
-        for t in range(reach, len(out)):
-            if position[t - reach] >= start:
-                out[t] -= theta @ out[t - lags]
-        return out
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        u, position = pdf["_u"].to_numpy(), pdf["i"].to_numpy()
-        end = recurse(u, np.zeros(reach), position)[-reach:]
-        quiet = np.zeros(len(u))
-        carry = [recurse(quiet, unit, position)[-reach:].tolist() for unit in np.eye(reach)]
-        head = {**_group_keys(pdf, keys), "_b": pdf["_b"].iloc[0]}
-        return pd.DataFrame([{**head, "end": end.tolist(), "carry": carry}])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_b", ignore_index=True)
-        state, states = np.zeros(reach), []
-        for end, carry in zip(pdf["end"], pdf["carry"]):
-            states.append(state.tolist())
-            state = np.asarray(end) + np.stack(list(carry)).T @ state
-        return pdf[[*keys, "_b"]].assign(first=states)
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
-        first = np.asarray(pdf["first"].iloc[0], dtype=float)
-        out = recurse(pdf["_u"].to_numpy(), first, pdf["i"].to_numpy())[reach:]
-        return pdf[[c for c in names if c not in ("_u", "_b")]].assign(residual=out)
-
-    block_schema = _group_schema(rows, [*keys, "_b"], "end array<double>, carry array<array<double>>")
-    state_schema = _group_schema(rows, [*keys, "_b"], "first array<double>")
-    kept = [f for f in rows.schema.fields if f.name not in ("_u", "_b")]
-    out_schema = T.StructType([*kept, T.StructField("residual", T.DoubleType())])
-    summary = (
-        rows.select(*keys, "_b", "i", "_u").groupBy(*keys, "_b").applyInPandas(summarise, block_schema)
+    found = each.select(
+        *[F.col(c) if c in keys else F.col(f"_z._also.{c}").alias(c) for c in columns],
+        (F.col("_start") + F.col("_k")).alias("i"),
+        F.col("_z._e").alias("residual"),
     )
-    states = summary.groupBy(*keys).applyInPandas(chain, state_schema)
-    return (
-        rows.join(states, [*keys, "_b"]).groupBy(*keys, "_b").applyInPandas(finish, out_schema)
+    blank = series.where(F.col(value).isNull()).select(
+        "*", F.lit(None).cast("long").alias("i"), F.lit(None).cast("double").alias("residual")
     )
+    return found.unionByName(blank)

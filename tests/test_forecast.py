@@ -8,7 +8,8 @@ from meterloom import operators as op
 from meterloom import schemas
 from meterloom.functions import arma
 from meterloom.functions.arma import Order
-from meterloom.operators.forecast import _forecast_grouped
+from tests import whole_series as whole
+from meterloom.operators.forecast import _forecast_general
 
 GOLDEN = [1, 2, 3, 4, 5, 4, 3, 2, 1, 2]
 
@@ -60,10 +61,10 @@ def test_sums_agree_with_recursion(series, block):
     assert len(rows) == len(data)
     for r in rows:
         x = np.array(data[r.key])
-        model = arma.fit(x, Order(), 1)
+        model = whole.fit(x, Order(), 1)
         assert r.theta == pytest.approx(model.coef[0], rel=1e-7, abs=1e-9), r.key
         assert r.mu + r.theta * r.error == pytest.approx(model.forecast(1)[0], rel=1e-7, abs=1e-7)
-        expected, tail = arma.back_test(x, Order())
+        expected, tail = whole.back_test(x, Order())
         assert (r.n_test, rmse[r.key]) == (tail, pytest.approx(expected, rel=1e-6, abs=1e-7)), r.key
 
 
@@ -76,9 +77,9 @@ def test_intervals_and_shift(series):
     shifted = forecast(series(GOLDEN), psi_shift=1).collect()
     assert shifted[1].yhat - shifted[1].lo == pytest.approx(z * rmse)
     assert shifted[2].yhat - shifted[2].lo == pytest.approx(z * rmse * (1 + theta**2) ** 0.5)
-    # The worker path with the same effective order gives the same numbers.
-    grouped = _forecast_grouped(
-        series(GOLDEN), Order(), ["key"], "ts", "value", "in_place", None, "30 minutes", 1
+    # The path of any lag set gives the same numbers for this order.
+    grouped = _forecast_general(
+        series(GOLDEN), Order(), ["key"], "ts", "value", "in_place", None, "30 minutes", 1, "1 hour"
     ).orderBy("step").collect()
     for a, b in zip(shifted, grouped):
         assert (a.step, a.ts, a.status) == (b.step, b.ts, b.status)
@@ -145,13 +146,13 @@ def test_autoregression(series):
     row = op.fit_ar(series(x), 2).first()
     assert row.phi == pytest.approx([0.5, -0.3], abs=0.05)
     centred = np.array(x) - np.mean(x)
-    assert row.phi == pytest.approx(list(arma.yule_walker(arma.autocovariances(centred, 2))))
+    assert row.phi == pytest.approx(list(arma.yule_walker(whole.autocovariances(centred, 2))))
     fitted = forecast(series(x), order=Order(2, 0, 0, 0, 0, 0, 0), align="future", steps=1).first()
     assert fitted.status == "ok"
 
 
 def test_weights_of_an_autoregression():
-    got = arma.spread(Order(1, 0, 0, 0, 0, 0, 0), np.array([0.5]), 4)
+    got = whole.spread(Order(1, 0, 0, 0, 0, 0, 0), np.array([0.5]), 4)
     assert got == pytest.approx(np.sqrt(np.cumsum([1, 0.25, 0.0625, 0.015625])))
 
 
@@ -159,12 +160,12 @@ def test_residuals_across_blocks(series, column):
     rng = random.Random(31)
     x = [rng.gauss(0, 1) for _ in range(150)]
     ar, ma = {1: 0.3, 2: 0.1}, {1: 0.4, 3: -0.2}
-    expected = arma.errors(np.array(x), [1, 2], [1, 3], np.array([0.3, 0.1, 0.4, -0.2]))
+    expected = whole.errors(np.array(x), [1, 2], [1, 3], np.array([0.3, 0.1, 0.4, -0.2]))
     for block in ("365 days", "1 hour", "7 hours"):
         got = column(op.arma_residuals(series(x), ar, ma, block=block), "residual")
         assert got == pytest.approx(list(expected))
     only_ar = column(op.arma_residuals(series(x), ar, block="5 hours"), "residual")
-    assert only_ar == pytest.approx(list(arma.errors(np.array(x), [1, 2], [], np.array([0.3, 0.1]))))
+    assert only_ar == pytest.approx(list(whole.errors(np.array(x), [1, 2], [], np.array([0.3, 0.1]))))
 
 
 def test_order_search(series):
