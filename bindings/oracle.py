@@ -8,6 +8,7 @@ calls a solver.
 from __future__ import annotations
 
 from bindings import queries as q
+from bindings.oracle_lags import lag_models
 
 ORACLE: dict[str, str] = {}
 
@@ -433,6 +434,39 @@ phi AS (SELECT *, (c2 - l * c1) / d1 AS phi2 FROM piv)
 SELECT key, n, CAST(1 AS INTEGER) AS lag, {r("c1 / c0 - l * phi2", 4, "phi")} FROM phi
 UNION ALL SELECT key, n, CAST(2 AS INTEGER) AS lag, {r("phi2", 4, "phi")} FROM phi"""
 
+# Orders of any lag set.
+_SEASONAL = f"WITH RECURSIVE {chain(minutes=60)}, {lag_models([q.SEASONAL], 'readings', 24)}"
+ORACLE["forecast_seasonal"] = f"""{_SEASONAL},
+steps AS (SELECT key, last, unnest(range(0, 24)) AS step FROM ser),
+rows AS (SELECT steps.*, y[step + 1] AS yhat, 1.959963984540054 * rmse * wide[step + 1] AS off, rmse
+         FROM steps LEFT JOIN (SELECT * FROM path JOIN scores USING (key, o) WHERE NOT held) USING (key))
+SELECT key, step, last + to_hours(step + 1) AS ts, CASE WHEN yhat IS NULL THEN 'too_short' ELSE 'ok' END AS status,
+       {r("yhat", 3, "yhat")}, {r("yhat - off", 3, "lo")}, {r("yhat + off", 3, "hi")}, {r("rmse", 3, "rmse")}
+FROM rows"""
+ORACLE["arma_coefficients"] = f"""{_SEASONAL},
+cells AS (SELECT key, held, unnest(list_concat(ar, ma)) AS lag, unnest(v) AS coefficient,
+                 unnest(range(1, len(v) + 1)) AS number FROM best JOIN fit USING (key, o, held))
+SELECT key, held, CAST(number AS INTEGER) AS number, CAST(lag AS INTEGER) AS lag, {r("coefficient", 4, "coefficient")}
+FROM cells"""
+ORACLE["backtest_seasonal"] = f"""WITH RECURSIVE {chain("user_id", 60)}, {lag_models([q.DAILY], "readings", 1)}
+SELECT key, len(ser.x) AS n, tail AS n_test, CASE WHEN rmse IS NULL THEN 'too_short' ELSE 'ok' END AS status,
+       {r("rmse", 3, "rmse")} FROM ser LEFT JOIN scores USING (key)"""
+ORACLE["auto_arima"] = f"""WITH RECURSIVE {chain(minutes=60)}, {lag_models(q.GRID, "readings", 48)},
+counted AS (SELECT key, o, squares, n - {q.GRID_SINCE} AS e, len(v) + 2 AS c
+            FROM best JOIN fit USING (key, o, held) WHERE NOT held),
+ranked AS (SELECT key, o, sqrt(squares / e) AS sigma, row_number() OVER (PARTITION BY key ORDER BY
+             e * ln(greatest(squares / e, 1e-300)) + 2 * c + 2 * c * (c + 1) / (e - c - 1)::DOUBLE, o) AS place
+           FROM counted WHERE e - c - 1 >= 1),
+steps AS (SELECT key, last, unnest(range(0, 48)) AS step FROM ser),
+rows AS (SELECT steps.*, b.*, y[step + 1] AS yhat, 1.959963984540054 * sigma * wide[step + 1] AS off
+         FROM steps LEFT JOIN (SELECT ranked.key AS k, orders.* EXCLUDE (lost, r, reach, ar, ma), sigma, y, wide
+           FROM ranked JOIN orders USING (o) JOIN path ON path.key = ranked.key AND path.o = ranked.o AND NOT held
+           WHERE place = 1) b ON b.k = steps.key)
+SELECT key, p, d, q, sp AS seasonal_p, sd AS seasonal_d, sq AS seasonal_q, m, step,
+       last + to_hours(step + 1) AS ts, CASE WHEN yhat IS NULL THEN 'too_short' ELSE 'ok' END AS status,
+       {r("yhat", 3, "yhat")}, {r("yhat - off", 3, "lo95")}, {r("yhat + off", 3, "hi95")}
+FROM rows"""
+
 OWN = f"""{MA1},
 steps AS (SELECT *, unnest(range(0, n)) AS step FROM params WHERE key = profile_key AND n >= 7),
 forecast AS (SELECT key, tss[step + 1] AS ts, {YHAT} FROM steps)"""

@@ -31,6 +31,10 @@ WRAP_DAYS = 40  # longer than the temperature seed
 CURVE = {"x1": 12, "x2": 18, "y0": 0.05372193}
 MA_COEFFICIENTS = {1: 0.4, 3: -0.2}
 AR_COEFFICIENTS = {1: 0.3, 2: 0.1}
+SEASONAL = op.Order(1, 0, 1, 0, 1, 1, 24)
+DAILY = op.Order(1, 0, 0, 0, 1, 0, 24)
+GRID = op.order_grid()
+GRID_SINCE = max(max([0, *o.ar, *o.ma]) for o in GRID)
 
 
 def query(fn: Query) -> Query:
@@ -665,18 +669,32 @@ def fit_ar(spark, sf_dir):
 
 @query
 def forecast_seasonal(spark, sf_dir):
-    """A seasonal order with differencing, one worker call per series."""
-    order = op.Order(1, 0, 1, 0, 1, 1, 24)
+    """A seasonal order with differencing, as sums over blocks."""
     forecast = op.forecast_arima(
-        hourly(spark, sf_dir), order, ["key"], value="value", align="future", steps=24,
+        hourly(spark, sf_dir), SEASONAL, ["key"], value="value", align="future", steps=24,
         period="1 hour",
     )
     return out(forecast, "key", "step", "ts", "status", yhat=3, lo=3, hi=3, rmse=3)
 
 
+@query
+def arma_coefficients(spark, sf_dir):
+    models = op.fit_orders(hourly(spark, sf_dir), [SEASONAL])
+    cells = models.select("key", "held", F.posexplode("coefficients").alias("number", "c"))
+    cells = cells.select("key", "held", (F.col("number") + 1).alias("number"), "c.*")
+    return out(cells, "key", "held", "number", "lag", coefficient=4)
+
+
+@query
+def backtest_seasonal(spark, sf_dir):
+    """An order with differencing for every user at once."""
+    scores = op.backtest(readings(spark, sf_dir, "user_id", "1 hour"), DAILY, ["key"], value="value")
+    return out(scores, "key", "n", "n_test", "status", rmse=3)
+
+
 @query
 def auto_arima(spark, sf_dir):
-    best = op.auto_arima(hourly(spark, sf_dir))
+    best = op.auto_arima(hourly(spark, sf_dir), GRID)
     return out(
         best, "key", "p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "m", "step", "ts",
         "status", yhat=3, lo95=3, hi95=3,

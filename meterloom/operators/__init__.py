@@ -7,6 +7,7 @@ from meterloom.operators.forecast import (
     auto_arima,
     backtest,
     fit_ar,
+    fit_orders,
     forecast_arima,
     forecast_models,
     order_grid,
