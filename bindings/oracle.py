@@ -434,6 +434,25 @@ phi AS (SELECT *, (c2 - l * c1) / d1 AS phi2 FROM piv)
 SELECT key, n, CAST(1 AS INTEGER) AS lag, {r("c1 / c0 - l * phi2", 4, "phi")} FROM phi
 UNION ALL SELECT key, n, CAST(2 AS INTEGER) AS lag, {r("phi2", 4, "phi")} FROM phi"""
 
+GAPS = f"""{HOURLY},
+gaps AS (SELECT key, ts, CASE WHEN (hour(ts) + 24 * dayofyear(ts)) % 7 <> 3 THEN value END AS value FROM readings)"""
+ORACLE["integrate_twice"] = f"{HOURLY} SELECT key, ts, {r('value', 4, 'integrated')} FROM readings"
+ORACLE["integrate_nulls"] = f"""{GAPS},
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) - 1 AS i,
+           value - lag(value, 24) OVER (PARTITION BY key ORDER BY ts) AS diff FROM gaps),
+steps AS (SELECT *, CASE WHEN i < 24 THEN coalesce(value, 0.0) ELSE diff END AS step FROM placed)
+SELECT key, ts, {r("CASE WHEN step IS NOT NULL THEN sum(step) OVER (PARTITION BY key, i % 24 ORDER BY i) END",
+                   4, "integrated")} FROM steps"""
+ORACLE["forecast_nulls"] = f"""{GAPS}, known AS (SELECT * FROM gaps WHERE value IS NOT NULL),
+{ma1("known", "key", "value")},
+steps AS (SELECT *, unnest(range(0, n)) AS step FROM params),
+rows AS (SELECT *, tss[step + 1] AS ts, {YHAT} FROM steps)
+SELECT key, step, ts, {STATUS}, {bounds(1)} FROM rows"""
+ORACLE["difference_far"] = f"""WITH {chain(minutes=1)},
+placed AS (SELECT key, ts, row_number() OVER w - 1 AS i, value - lag(value, 17520) OVER w AS diff
+           FROM readings WINDOW w AS (PARTITION BY key ORDER BY ts))
+SELECT key, ts, i, {r("diff", 4, "diff")} FROM placed WHERE diff IS NOT NULL"""
+
 # Orders of any lag set.
 _SEASONAL = f"WITH RECURSIVE {chain(minutes=60)}, {lag_models([q.SEASONAL], 'readings', 24)}"
 ORACLE["forecast_seasonal"] = f"""{_SEASONAL},

@@ -500,6 +500,41 @@ def integrate(spark, sf_dir):
     return out(op.integrate(differenced, lag=24), "key", "ts", integrated=4)
 
 
+@query
+def integrate_twice(spark, sf_dir):
+    """Second differences at a lag, undone from the first values of each chain."""
+    differenced = op.difference(hourly(spark, sf_dir), lag=5, times=2)
+    first = F.when(F.col("i") < 10, F.col("value"))
+    differenced = stage(differenced.withColumn("value", first), "differences")
+    return out(op.integrate(differenced, lag=5, times=2), "key", "ts", integrated=4)
+
+
+def with_gaps(spark, sf_dir):
+    """Hourly readings, every seventh without a value."""
+    hour = F.hour("ts") + 24 * F.dayofyear("ts")
+    return hourly(spark, sf_dir).withColumn("value", F.when(hour % 7 != 3, F.col("value")))
+
+
+@query
+def integrate_nulls(spark, sf_dir):
+    differenced = stage(op.difference(with_gaps(spark, sf_dir), lag=24), "differences")
+    first = F.when(F.col("i") < 24, F.coalesce("value", F.lit(0.0)))
+    return out(op.integrate(differenced.withColumn("value", first), lag=24), "key", "ts", integrated=4)
+
+
+@query
+def forecast_nulls(spark, sf_dir):
+    forecast = op.forecast_arima(with_gaps(spark, sf_dir), keys=["key"], value="value")
+    return out(forecast, "key", "step", "ts", "status", yhat=3, lo=3, hi=3, rmse=3)
+
+
+@query
+def difference_far(spark, sf_dir):
+    """A lag of 12 days in readings of every minute."""
+    differences = op.difference(readings(spark, sf_dir, period="1 minute"), lag=17_520)
+    return out(differences.where(F.col("diff").isNotNull()), "key", "ts", "i", diff=4)
+
+
 @query
 def center(spark, sf_dir):
     return out(op.center(readings(spark, sf_dir)), "key", "ts", centered=5)

@@ -239,24 +239,61 @@ def pack(
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int = ROW_BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    value: str,
+    out: str,
+    width: int = ROW_BLOCK,
+    times: int = 1,
 ) -> DataFrame:
-    """Sum of ``value`` up to and including each row, in ``position`` order per key."""
+    """Sum of ``value`` up to and including each row, in ``position`` order per key.
+
+    With ``times`` the sums are summed again, so often altogether.  A null adds nothing to
+    later rows, as in SQL's window sums, but its own row is null.  What a block hands on is
+    one number per summing: after L rows the m-th sum has grown by C(L + m - j - 1, m - j)
+    times each j-th sum at the block's start, and by the block's own m-th sum.
+    """
     blocks = pack(df, keys, [position], row_block(position, width))
     series = Window.partitionBy(*blocks.keys).orderBy("_b")
-    own = F.aggregate(F.col(f"_rows.{value}"), F.lit(0.0), lambda a, x: a + x)
-    carried = blocks.packed.select(*blocks.keys, "_b", own.alias("_s")).select(
-        *blocks.keys, "_b", (F.sum("_s").over(series) - F.col("_s")).alias("_carry")
+    zero, count = F.lit(0.0), F.size("_rows")
+    number = F.transform(F.col(f"_rows.{value}"), lambda x: F.coalesce(x.cast("double"), zero))
+
+    def grown(j: int, m: int) -> Column:
+        """C(L + m - j - 1, m - j) for a block of L rows."""
+        size, factor = F.col("_len").cast("double"), F.lit(1.0)
+        for k in range(m - j):
+            factor = factor * (size + k) / (k + 1)
+        return factor
+
+    sums = [F.lit(0.0)] * times
+    state = F.struct(*[c.alias(f"s{m}") for m, c in enumerate(sums)])
+
+    def step(s: Column, x: Column) -> Column:
+        cells, last = [], x
+        for m in range(times):
+            last = s[f"s{m}"] + last
+            cells.append(last.alias(f"s{m}"))
+        return F.struct(*cells)
+
+    carried = blocks.packed.select(
+        *blocks.keys, "_b", count.alias("_len"), F.aggregate(number, state, step).alias("_own")
     )
-    rows = blocks.packed.join(carried, [*blocks.keys, "_b"]).select(
-        *blocks.keys, "_b", "_carry", F.explode("_rows").alias("_r")
+    for m in range(times):
+        gain = F.col(f"_own.s{m}")
+        for j in range(m):
+            gain = gain + grown(j, m) * F.col(f"_at{j}")
+        carried = carried.withColumn("_gain", gain)
+        carried = carried.withColumn(f"_at{m}", F.sum("_gain").over(series) - F.col("_gain"))
+    starts = [f"_at{m}" for m in range(times)]
+    rows = blocks.packed.join(carried.select(*blocks.keys, "_b", *starts), [*blocks.keys, "_b"]).select(
+        *blocks.keys, "_b", *starts, F.explode("_rows").alias("_r")
     )
+    rows = rows.select(*blocks.keys, "_b", *starts, "_r.*").withColumn("_sum", F.coalesce(F.col(value), zero))
     inside = Window.partitionBy(*blocks.keys, "_b").orderBy(position)
-    return (
-        rows.select(*blocks.keys, "_b", "_carry", "_r.*")
-        .withColumn(out, F.col("_carry") + F.sum(value).over(inside))
-        .select(*df.columns, out)
-    )
+    for m in range(times):
+        rows = rows.withColumn("_sum", F.col(f"_at{m}") + F.sum("_sum").over(inside))
+    return rows.withColumn(out, F.when(F.col(value).isNotNull(), F.col("_sum"))).select(*df.columns, out)
 
 
 def fan_out(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:

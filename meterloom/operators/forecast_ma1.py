@@ -42,8 +42,11 @@ _CANDIDATES = T.StructType(
 def cut(
     series: DataFrame, keys: Sequence[str], ts: str, value: str, block: str | timedelta = TIME_BLOCK
 ) -> Blocks:
-    """The series as blocks of ``x``."""
-    narrow = series.select(*keys, ts, F.col(value).cast("double").alias("x"))
+    """The series as blocks of ``x``.
+
+    Readings without a value count as missing: they are left out and take no position.
+    """
+    narrow = series.select(*keys, ts, F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull())
     return pack(narrow, keys, [ts], time_block(ts, block), totals={"_sum": "x"})
 
 

@@ -11,7 +11,7 @@ from datetime import timedelta
 from itertools import combinations_with_replacement
 from math import comb
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.blocks import (
@@ -24,6 +24,10 @@ from meterloom.functions.blocks import (
 )
 
 
+#: Readings a difference may reach back by copies at block edges; farther ones are re-keyed.
+NEAR = 48
+
+
 def hourly_sum(
     readings: DataFrame,
     slot_label: str = "pair",
@@ -65,13 +69,18 @@ def difference(
     """Add ``i`` and ``diff``, the difference at ``lag`` taken ``times`` times.
 
     The first ``lag * times`` rows keep their value and have a null ``diff``: they
-    are the initial values that `integrate` starts from.
+    are the initial values that `integrate` starts from.  A null value makes the
+    differences it enters null.  Far lags are reached by re-keying: each reading goes to
+    every position whose difference it enters, one shuffle whatever the lag.
     """
     blocks = pack(series, keys, [ts], time_block(ts, block))
+    factors = [float((-1) ** j * comb(times, j)) for j in range(times + 1)]
+    if lag * times > NEAR:
+        return _far_difference(blocks.rows(), series.columns, lag, factors, keys, value)
     shifts = {f"_x{j}": (value, j * lag) for j in range(1, times + 1)}
     diff = F.col(value)
     for j in range(1, times + 1):
-        diff = diff + F.lit(float((-1) ** j * comb(times, j))) * F.col(f"_x{j}")
+        diff = diff + F.lit(factors[j]) * F.col(f"_x{j}")
     return (
         blocks.shifted(shifts)
         .withColumn("diff", F.when(F.col("i") >= lag * times, diff))
@@ -79,6 +88,29 @@ def difference(
     )
 
 
+def _far_difference(
+    rows: DataFrame, columns: list[str], lag: int, factors: list[float], keys: Sequence[str], value: str
+) -> DataFrame:
+    own = F.struct(*[c for c in columns if c not in keys])
+    terms = [
+        F.struct(
+            (F.col("i") + j * lag).alias("i"),
+            (F.lit(factor) * F.col(value)).alias("term"),
+            (own if j == 0 else F.lit(None)).alias("row"),
+        )
+        for j, factor in enumerate(factors)
+    ]
+    sent = rows.select(*keys, F.explode(F.array(*terms)).alias("_t")).select(*keys, "_t.*")
+    met = sent.groupBy(*keys, "i").agg(
+        F.sum("term").alias("_sum"), F.count("term").alias("_met"), F.any_value("row", True).alias("_row")
+    )
+    # Positions beyond the end have no reading of their own.
+    whole = F.when(F.col("_met") == len(factors), F.col("_sum"))
+    return met.where(F.col("_row").isNotNull()).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in columns], "i", whole.alias("diff")
+    )
+
+
 def integrate(
     differenced: DataFrame,
     lag: int = 1,
@@ -87,20 +119,32 @@ def integrate(
     diff: str = "diff",
     out: str = "integrated",
     width: int = ROW_BLOCK,
+    times: int = 1,
 ) -> DataFrame:
-    """Inverse of one `difference` at ``lag``.
+    """Inverse of `difference` at ``lag`` taken ``times`` times, from its first ``lag * times`` values.
 
-    Positions congruent modulo ``lag`` form a chain that starts at an initial
-    value and adds up differences, a running total per chain.
+    Positions congruent modulo ``lag`` form a chain of its own: the initial values give
+    the chain's first differences, and ``times`` running totals undo the differencing.
+    A null difference counts as no change for what follows and is null itself; so is an
+    unknown initial value.
     """
-    steps = differenced.withColumns(
-        {
-            "_chain": F.pmod(F.col("i"), F.lit(lag)),
-            "_step": F.when(F.col("i") < lag, F.col(initial)).otherwise(F.col(diff)),
-        }
+    chained = differenced.withColumns(
+        {"_chain": F.pmod(F.col("i"), F.lit(lag)), "_k": F.expr(f"i div {int(lag)}")}
     )
-    summed = running_total(steps, [*keys, "_chain"], "i", "_step", out, width * lag)
-    return summed.drop("_chain", "_step")
+    # Differences of the initial values as if zeros preceded them.
+    first = Window.partitionBy(*keys, "_chain").orderBy("_k")
+    start = F.col(initial).cast("double")
+    for j in range(1, times):
+        factor = float((-1) ** j * comb(times, j))
+        start = start + F.lit(factor) * F.coalesce(F.lag(initial, j).over(first), F.lit(0.0))
+    if times > 1:
+        heads = chained.where(F.col("_k") < times).withColumn("_step", start)
+        rest = chained.where(F.col("_k") >= times).withColumn("_step", F.col(diff).cast("double"))
+        steps = heads.unionByName(rest)
+    else:
+        steps = chained.withColumn("_step", F.when(F.col("_k") < 1, start).otherwise(F.col(diff)))
+    summed = running_total(steps, [*keys, "_chain"], "_k", "_step", out, width, times)
+    return summed.drop("_chain", "_k", "_step")
 
 
 def center(

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meterloom import operators as op
-from meterloom.functions import arma
+from tests import whole_series as whole
 from meterloom.functions.blocks import duration_us, pack, time_block
 from tests.conftest import START
 
@@ -85,7 +85,7 @@ def test_centering_and_covariance(series, column):
     assert column(op.center(readings, block="1 day"), "centered") == pytest.approx(list(x - x.mean()))
     got = op.autocovariance(readings, 4, block="7 hours").first()
     assert got.n == 300
-    assert got.acov == pytest.approx(list(arma.autocovariances(x - x.mean(), 4)))
+    assert got.acov == pytest.approx(list(whole.autocovariances(x - x.mean(), 4)))
 
 
 def test_stats_and_rmse(series):
