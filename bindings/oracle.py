@@ -7,6 +7,8 @@ calls a solver.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from bindings import queries as q
 from bindings.oracle_lags import lag_models
 
@@ -556,6 +558,53 @@ daily AS (SELECT *, avg(load) OVER (PARTITION BY id, day) AS m FROM loads),
 made AS (SELECT *, CASE WHEN load > m THEN m + (load - m) * {q.PEAKY} ELSE load END AS peak FROM daily)"""
 ORACLE["synth_readings"] = f"""{LOADS}
 SELECT {AT}, {r("peak", 4, "load")}, {r("temp", 4, "temp")} FROM made"""
+
+
+def draw(purpose: str, *what: str) -> str:
+    """The hash behind the noise, in whole numbers."""
+    halves = [str(crc32(purpose.encode()))]
+    for value in what:
+        halves += [f"{value} & 4294967295", f"({value} >> 32) & 4294967295"]
+    steps = ", ".join(f"CAST({half} AS BIGINT), 0" for half in halves)
+    h = "xor(h, v)"
+    return f"list_reduce([{q.NOISE_SEED}::BIGINT, {steps}, 0], lambda h, v: (xor({h} >> 16, {h}) * 73244475) & 4294967295)"
+
+
+def uniform(purpose: str, *what: str) -> str:
+    return f"(({draw(purpose, *what)} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def gaussian(purpose: str, *what: str) -> str:
+    u, v = uniform(f"{purpose} radius", *what), uniform(f"{purpose} angle", *what)
+    return f"(sqrt(-2.0 * ln({u})) * cos(2.0::DOUBLE * pi() * {v}))"
+
+
+DRAWN = ASSIGN.replace(
+    "JOIN numbered ON number = c_custkey %", f"JOIN numbered ON number = {draw('profile', 'c_custkey')} %"
+)
+ORACLE["synth_assign_random"] = f"{DRAWN} SELECT id, meter_id FROM assigned"
+ORACLE["synth_temperature_noisy"] = f"""WITH {SEED},
+plan AS (SELECT c_custkey AS id, CAST(day * 24 + hour AS BIGINT) AS i,
+         CAST(DATE '{q.SYNTH_START}' + to_days(CAST(day AS INTEGER)) AS DATE) AS date
+         FROM customer, (SELECT unnest(range({q.WRAP_DAYS})) AS day) d, (SELECT unnest(range(24)) AS hour) h),
+hours AS (SELECT id, date, temp + 2.0 * {gaussian("temperature", "id", "plan.i")} AS temp
+          FROM plan JOIN seed ON seed.i = plan.i % (SELECT count(*) FROM seed))
+SELECT id, date, {r("avg(temp)", 6, "mean")}, {r("max(temp)", 6, "highest")} FROM hours GROUP BY id, date"""
+ORACLE["synth_readings_random"] = f"""{DRAWN},
+noisy AS (SELECT id, meter_id, day, date, hour, i, temp + 2.0 * {gaussian("temperature", "id", "i")} AS temp FROM hours),
+breaks AS (SELECT id, 10 + floor({uniform("first break", "id")} * 6) AS x1,
+           floor({uniform("second break", "id")} * 9) AS gap, abs({gaussian("base load", "id")} / 1.5) AS y0
+           FROM assigned),
+drawn AS (SELECT id, x1, x1 + 4 + gap AS x2, y0 FROM breaks),
+lowest AS (SELECT id, min(temp) AS x0 FROM noisy GROUP BY id),
+loads AS (SELECT n.*, greatest(mean + 0.1 * {gaussian("activity", "n.id", "n.i")}, 0.0)
+            + least(greatest(CASE WHEN temp < x1 THEN -0.0059 * (temp - x0) + y0
+                WHEN temp < x2 THEN 0.0155 * (temp - x1) + (-0.0059 * (x1 - x0) + y0)
+                ELSE 0.2233 * (temp - x2) + 0.0155 * (x2 - x1) + (-0.0059 * (x1 - x0) + y0) END, 0.0), 0.2) AS load
+          FROM noisy n JOIN drawn USING (id) JOIN lowest USING (id) JOIN activity USING (meter_id, hour)),
+daily AS (SELECT *, avg(load) OVER (PARTITION BY id, day) AS m FROM loads),
+made AS (SELECT *, CASE WHEN load > m THEN m + (load - m) * {q.PEAKY} ELSE load END AS peak FROM daily)
+SELECT {AT}, {r("peak", 6, "load")}, {r("temp", 6, "temp")} FROM made"""
 ORACLE["write_synthetic"] = f"""{LOADS}
 SELECT printf('%d|%s %d:00:00|%.6f|%.6f', id, strftime(date, '%Y-%m-%d'), hour,
               round(peak, 4) + 0.0, round(temp, 4) + 0.0) AS value FROM made"""

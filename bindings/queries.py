@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 # Constant coefficients where a query needs models that SQL can repeat exactly.
 BETA = (1.0, 0.1, 0.2, 0.3, 0.5, 0.25, -0.125)
 SYNTH_START, SYNTH_DAYS, PEAKY = "2013-01-01", 3, 1.5
+NOISE_SEED = 7
 WRAP_DAYS = 40  # longer than the temperature seed
 CURVE = {"x1": 12, "x2": 18, "y0": 0.05372193}
 MA_COEFFICIENTS = {1: 0.4, 3: -0.2}
@@ -879,8 +880,33 @@ def synth_readings(spark, sf_dir):
     return out(deterministic(spark, sf_dir), "id", "date", "hour", load=4, temp=4)
 
 
+@query
+def synth_assign_random(spark, sf_dir):
+    assigned = op.synth_assign(customer_ids(spark, sf_dir), seed_profiles(spark, sf_dir), NOISE_SEED)
+    return assigned.select("id", "meter_id")
+
+
+@query
+def synth_temperature_noisy(spark, sf_dir):
+    """Noise on a horizon longer than the seed, for every customer."""
+    grid = op.synth_grid(customer_ids(spark, sf_dir), SYNTH_START, WRAP_DAYS)
+    hours = op.synth_temperature(grid, temperature_seed(spark, sf_dir), seed=NOISE_SEED)
+    daily = hours.groupBy("id", "date").agg(F.avg("temp").alias("mean"), F.max("temp").alias("highest"))
+    return out(daily, "id", "date", mean=6, highest=6)
+
+
 @query
 def synth_readings_random(spark, sf_dir):
+    """Seeded noise, drawn profiles, breakpoints and base loads."""
+    made = op.synth_readings(
+        customer_ids(spark, sf_dir), seed_profiles(spark, sf_dir), temperature_seed(spark, sf_dir),
+        SYNTH_START, SYNTH_DAYS, PEAKY, seed=NOISE_SEED,
+    )
+    return out(made, "id", "date", "hour", load=6, temp=6)
+
+
+@query
+def synth_generate(spark, sf_dir):
     """Seeded noise, trained profiles: the generator as it is meant to be used."""
     by_user = weather(spark, sf_dir, "user_id").withColumn(
         "meter_id", F.col("meter_id").cast("int")
@@ -892,7 +918,7 @@ def synth_readings_random(spark, sf_dir):
         SYNTH_START,
         SYNTH_DAYS,
         PEAKY,
-        seed=7,
+        seed=NOISE_SEED,
     )
     return out(made, "id", "date", "hour", load=6, temp=6)
 

@@ -42,6 +42,8 @@ from meterloom.operators.series import (
 )
 from meterloom.operators.smooth import centered_ma, moving_average, raw_index
 from meterloom.operators.synth import (
+    draw,
+    gaussian,
     number_profiles,
     peak_amplify,
     synth_activity,
@@ -51,6 +53,7 @@ from meterloom.operators.synth import (
     synth_readings,
     synth_temperature,
     thermal_load,
+    uniform,
 )
 from meterloom.operators.thermal import (
     activity_profile,

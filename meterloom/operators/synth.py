@@ -1,13 +1,15 @@
 """Synthetic meter series from activity profiles and a temperature seed.
 
 Noise is drawn from hashes of (seed, series, hour), so a retried or differently
-partitioned task produces the same rows.  ``sigma=0`` and fixed breakpoints make a
-deterministic mode.
+partitioned task produces the same rows.  The hash uses whole numbers below 2^60 only,
+so any SQL engine repeats it; ids are whole numbers.  ``sigma=0`` and fixed breakpoints
+make a deterministic mode.
 """
 
 from __future__ import annotations
 
 import math
+from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,23 +28,45 @@ FIRST_BREAK = (10, 6)
 SECOND_GAP = (4, 9)
 
 _METERS_PER_BLOCK = 10_000
+_IDS_PER_SALT = 100_000
+_LOW = (1 << 32) - 1
 
 
-def _uniform(seed: int, *what: Column | str) -> Column:
-    """Uniform in (0, 1) from a hash of the arguments."""
-    cells = F.pmod(F.xxhash64(F.lit(seed), *what), F.lit(1 << 52))
-    return (cells.cast("double") + 0.5) / float(1 << 52)
+def draw(seed: int, purpose: str, *what: Column | str) -> Column:
+    """Whole number in 0..2^32-1 from the seed, the purpose and whole-number arguments.
+
+    Each 32-bit half of an argument is mixed in by two rounds of ``h = (h xor v)``,
+    ``h = (h xor h >> 16) * 73244475 mod 2^32``, the second with v = 0.
+    """
+    whole = [F.col(c) if isinstance(c, str) else c for c in what]
+    halves = [F.lit(crc32(purpose.encode())).cast("long")]
+    for value in whole:
+        value = value.cast("long")
+        halves += [value.bitwiseAND(F.lit(_LOW)), F.shiftright(value, 32).bitwiseAND(F.lit(_LOW))]
+    zero = F.lit(0).cast("long")
+    steps = F.array(*[x for half in halves for x in (half, zero)], zero)
+
+    def mixed(h: Column, v: Column) -> Column:
+        y = h.bitwiseXOR(v)
+        return (F.shiftright(y, 16).bitwiseXOR(y) * F.lit(73244475)).bitwiseAND(F.lit(_LOW))
+
+    return F.aggregate(steps, F.lit(seed & _LOW).cast("long"), mixed)
+
+
+def uniform(seed: int, purpose: str, *what: Column | str) -> Column:
+    """Uniform in (0, 1), a function of seed, purpose and arguments only."""
+    return (draw(seed, purpose, *what).cast("double") + 0.5) / float(1 << 32)
 
 
-def gaussian(seed: int, *what: Column | str) -> Column:
-    """Standard normal draw, a function of seed and arguments only."""
-    u = _uniform(seed, F.lit("r"), *what)
-    v = _uniform(seed, F.lit("a"), *what)
+def gaussian(seed: int, purpose: str, *what: Column | str) -> Column:
+    """Standard normal draw (Box-Muller), a function of seed, purpose and arguments only."""
+    u = uniform(seed, purpose + " radius", *what)
+    v = uniform(seed, purpose + " angle", *what)
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * v)
 
 
-def _integer(seed: int, low: int, count: int, *what: Column | str) -> Column:
-    return F.lit(low) + F.floor(_uniform(seed, *what) * count).cast("int")
+def _integer(seed: int, low: int, count: int, purpose: str, *what: Column | str) -> Column:
+    return F.lit(low) + F.floor(uniform(seed, purpose, *what) * count).cast("int")
 
 
 def synth_ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
@@ -62,16 +86,16 @@ def synth_assign(
     """Give every id a seed profile: ``(id, meter, mean)``.
 
     ``random`` hashes the id, ``cyclic`` takes profile ``id mod n``.  Ids are spread
-    evenly over the profiles, and each profile is split over 64 salts, so no task
-    holds all ids of one profile.
+    evenly over the profiles; where there are many for each, a profile is copied so often
+    that a copy meets about 100 000 ids.
     """
     numbered = number_profiles(activity, meter).select("number", meter, "mean")
-    count = activity.agg(F.count(F.lit(1))).scalar()
-    draw = F.xxhash64(F.lit(seed), F.col("id")) if mode == "random" else F.col("id").cast("long")
-    salts = 64
+    count = max(1, activity.count())
+    drawn = draw(seed, "profile", "id") if mode == "random" else F.col("id").cast("long")
+    salts = max(1, ids.count() // (_IDS_PER_SALT * count))
     salted = numbered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        ids.select("id", F.pmod(draw, count).alias("number"))
+        ids.select("id", F.pmod(drawn, F.lit(count)).alias("number"))
         .withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         .join(salted, ["number", "_salt"])
         .drop("number", "_salt")
@@ -106,7 +130,7 @@ def synth_temperature(
     joined = grid.withColumn("_at", F.pmod(F.col("i").cast("long"), length).cast("int")).join(
         base.withColumn("_at", F.col("_at").cast("int")), "_at"
     )
-    noise = gaussian(seed, F.lit("t"), F.col("id"), F.col("i")) * sigma if sigma else F.lit(0.0)
+    noise = gaussian(seed, "temperature", F.col("id"), F.col("i")) * sigma if sigma else F.lit(0.0)
     return joined.withColumn("temp", F.col("_base") + noise).drop("_at", "_base")
 
 
@@ -126,10 +150,10 @@ def load_curve(temp: Column, lowest: Column, base: Column, x1: Column, x2: Colum
 def _curve_parameters(
     id: Column, seed: int, x1: int | None, x2: int | None, y0: float | None
 ) -> tuple[Column, Column, Column]:
-    first = F.lit(x1) if x1 is not None else _integer(seed, *FIRST_BREAK, F.lit("x1"), id)
-    second = F.lit(x2) if x2 is not None else first + _integer(seed, *SECOND_GAP, F.lit("x2"), id)
+    first = F.lit(x1) if x1 is not None else _integer(seed, *FIRST_BREAK, "first break", id)
+    second = F.lit(x2) if x2 is not None else first + _integer(seed, *SECOND_GAP, "second break", id)
     base = (
-        F.lit(float(y0)) if y0 is not None else F.abs(gaussian(seed, F.lit("y0"), id) / BASE_SCALE)
+        F.lit(float(y0)) if y0 is not None else F.abs(gaussian(seed, "base load", id) / BASE_SCALE)
     )
     return base, first, second
 
@@ -162,7 +186,7 @@ def synth_activity(
     series: DataFrame, mean: str = "mean", sigma: float = ACTIVITY_STD, seed: int = 0
 ) -> DataFrame:
     """Add ``activity``: the profile mean of the hour plus noise, not below zero."""
-    noise = gaussian(seed, F.lit("l"), F.col("id"), F.col("i")) * sigma if sigma else F.lit(0.0)
+    noise = gaussian(seed, "activity", F.col("id"), F.col("i")) * sigma if sigma else F.lit(0.0)
     return series.withColumn(
         "activity", F.greatest(F.get(F.col(mean), F.col("hour")) + noise, F.lit(0.0))
     )
@@ -223,7 +247,7 @@ def synth_readings(
         base = F.get(F.col("_seed"), F.pmod(i, F.size("_seed")))
         if not temperature_sigma:
             return base
-        return base + gaussian(seed, F.lit("t"), F.col("id"), i) * temperature_sigma
+        return base + gaussian(seed, "temperature", F.col("id"), i) * temperature_sigma
 
     base, first, second = _curve_parameters(F.col("id"), seed, x1, x2, y0)
 
@@ -231,7 +255,7 @@ def synth_readings(
         i = day * 24 + hour
         mean = F.get(F.col("mean"), hour)
         if activity_sigma:
-            mean = mean + gaussian(seed, F.lit("l"), F.col("id"), i) * activity_sigma
+            mean = mean + gaussian(seed, "activity", F.col("id"), i) * activity_sigma
         warm = load_curve(F.get(F.col("_temps"), i), F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_x2"))
         return F.greatest(mean, F.lit(0.0)) + warm
 

@@ -89,3 +89,24 @@ def test_text_form(spark):
         [(4, date(2013, 1, 2), 7, 0.5, -1.25)], "id long, date date, hour int, load double, temp double"
     )
     assert sinks.to_synthetic_lines(df).first().value == "4|2013-01-02 7:00:00|0.500000|-1.250000"
+
+
+def test_draws_are_even_and_independent(spark):
+    """Moments of normal draws, also between neighbouring ids, hours and purposes."""
+    rows = spark.range(200).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("i"))
+    rows = rows.select(
+        op.gaussian(1, "a", "id", "i").alias("a"),
+        op.gaussian(1, "a", F.col("id") + 1, "i").alias("b"),
+        op.gaussian(1, "a", "id", F.col("i") + 1).alias("c"),
+        op.gaussian(2, "a", "id", "i").alias("d"),
+        op.gaussian(1, "b", "id", "i").alias("e"),
+        op.uniform(1, "u", "id", "i").alias("u"),
+        op.uniform(1, "u", F.col("id") + (1 << 40), "i").alias("w"),
+    )
+    got = rows.agg(
+        F.avg("a").alias("mean"), F.stddev("a").alias("std"), F.skewness("a").alias("skew"), F.kurtosis("a").alias("tail"),
+        *[F.corr("a", c).alias(c) for c in "bcde"], F.avg("u").alias("u"), F.corr("u", "w").alias("w"), F.min("u").alias("low"), F.max("u").alias("high"),
+    ).first()
+    assert abs(got["mean"]) < 0.03 and abs(got["std"] - 1) < 0.03 and abs(got["skew"]) < 0.06 and abs(got["tail"]) < 0.12
+    assert all(abs(got[c]) < 0.03 for c in "bcde") and abs(got["u"] - 0.5) < 0.01 and abs(got["w"]) < 0.03
+    assert 0 < got["low"] < 0.001 and 0.999 < got["high"] < 1
