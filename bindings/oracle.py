@@ -626,6 +626,7 @@ FROM (SELECT unnest(regexp_split_to_array(lower(text), '\W+')) AS word FROM conv
 WHERE length(word) > 0"""
 ORACLE["to_line_protocol"] = f"""{HALF_HOURLY}
 SELECT printf('energy,key=%s value=%.2f %d', key, value, epoch_ms(ts)) AS value FROM readings"""
+ORACLE["write_line_batches"] = f"SELECT value, true AS within FROM ({ORACLE['to_line_protocol']})"
 ORACLE["point_to_csv"] = f"""{HALF_HOURLY}
 SELECT printf('%d,%s,%.2f', epoch_ms(ts), key, value) AS value FROM readings"""
 ORACLE["write_points"] = f"""{HALF_HOURLY}
@@ -656,6 +657,14 @@ SELECT key, ts, {r("ri", 6, "ri")} FROM ri WHERE {CLOSED} AND {ALIGNED}"""
 ORACLE["stream_peaks_paired"] = ORACLE["peaks_paired"]
 ORACLE["stream_adjusted_paired"] = ORACLE["adjusted_series_paired"]
 ORACLE["stream_add_peaks"] = ORACLE["add_peaks"]
+PASSED = CLOSED.replace("ts + INTERVAL 120 MINUTE <=", "f.ts <=")
+ORACLE["stream_join_forecast"] = f"""{OWN},
+tops AS (SELECT r.key, r.ts, r.value - p.pi AS peak FROM readings r JOIN pi p ON r.key = p.key AND {MATCH}
+         WHERE hour(r.ts) % 3 <> 1)
+SELECT f.key, f.key AS profile_key, f.ts, CAST(dayofweek(f.ts) + 1 AS INTEGER) AS dow,
+       {r("yhat + peak", 3, "value")}
+FROM forecast f LEFT JOIN tops USING (key, ts) WHERE peak IS NOT NULL OR {PASSED}"""
+ORACLE["stream_profile_versions"] = ORACLE["periodic_index"]
 ORACLE["stream_lines"] = COUNTS
 ORACLE["read_dayslot_mixed"] = ORACLE["stream_dayslot"] = f"""
 SELECT event_type AS key, CASE WHEN event_id % 3 <> 0 THEN

@@ -955,6 +955,17 @@ def write_points(spark, sf_dir):
     return out(got, "measurement", "key", "ts_ms", value=4)
 
 
+@query
+def write_line_batches(spark, sf_dir):
+    """Line text of all readings, read back, and whether no file holds too many."""
+    path = fresh(spark, "lines")
+    sinks.write_line_batches(readings(spark, sf_dir), path, "energy", value_format="%.2f")
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    within = sizes.agg(F.max("n") <= sinks.BATCH_POINTS).first()[0]
+    return lines.select("value", F.lit(bool(within)).alias("within"))
+
+
 @query
 def write_synthetic(spark, sf_dir):
     path = fresh(spark, "synthetic")
@@ -1099,6 +1110,26 @@ def stream_add_peaks(spark, sf_dir):
     return out(done, "key", "profile_key", "ts", "dow", value=3)
 
 
+@query
+def stream_join_forecast(spark, sf_dir):
+    """Forecasts and peaks as streams; a third of the peaks never arrives."""
+    batch, arriving = staged_stream(spark, sf_dir)
+    cells, forecast = stored_forecast(batch)
+    _, steps = staged_stream(spark, sf_dir, forecast)
+    tops = streaming.stream_peaks(arriving, cells).where(F.hour("ts") % 3 != 1)
+    done = finished(spark, streaming.stream_join_forecast(steps, tops), "stream-join")
+    return out(done, "key", "profile_key", "ts", "dow", value=3)
+
+
+@query
+def stream_profile_versions(spark, sf_dir):
+    """The newest of the profiles that four micro-batches have written."""
+    _, stream = staged_stream(spark, sf_dir, stage(index(spark, sf_dir), "index"))
+    target = fresh(spark, "profile-versions")
+    streaming.write_stream_profile(stream, target, f"{target}-checkpoint").awaitTermination()
+    return out(streaming.read_profile(spark, target), "key", "dow", "hour", pi=6)
+
+
 @query
 def stream_decompose(spark, sf_dir):
     """The whole streaming job, its points read back from the folders of all stages."""

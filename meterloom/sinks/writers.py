@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from meterloom.functions import text
 
 
+#: Points of one request to a time-series store, fixed value.
+BATCH_POINTS = 2000
+
+
 def _measurement(measurement: str | Column) -> Column:
     return F.lit(measurement) if isinstance(measurement, str) else measurement
 
@@ -50,6 +54,23 @@ def write_line_protocol(df: DataFrame, path: str, measurement: str | Column, **o
     to_line_protocol(df, measurement, **options).write.text(path)
 
 
+def write_line_batches(
+    df: DataFrame,
+    path: str,
+    measurement: str | Column,
+    points_per_file: int = BATCH_POINTS,
+    mode: str = "append",
+    **options,
+) -> None:
+    """Line text in files of at most ``points_per_file`` points, one request's worth each.
+
+    Files appear when the whole write is committed: a task that is repeated or a job that
+    fails leaves no point twice and none of a part.
+    """
+    lines = to_line_protocol(df, measurement, **options)
+    lines.write.mode(mode).option("maxRecordsPerFile", points_per_file).text(path)
+
+
 def point_to_csv(
     df: DataFrame, ts: str = "ts", value: str = "value", value_format: str | None = None
 ) -> DataFrame:

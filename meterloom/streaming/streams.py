@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from meterloom import schemas
-from meterloom.functions.blocks import duration_us, epoch_us
+from meterloom.functions.blocks import duration_us, epoch_us, whole_div
 from meterloom.operators.combine import paired_forecast
 from meterloom.operators.profile import periodic_index
 from meterloom.operators.wordcount import wordcount
@@ -153,46 +153,73 @@ def stream_count_trigger(
 ) -> DataFrame:
     """Moving average with early results: a window emits at every ``points``-th reading.
 
-    The mean is over all its readings so far, stamped with the earliest of them.
-    State per window is a count, a sum and a time; it ends with the window.
+    The mean is over all its readings so far, stamped with the earliest of them; those
+    without a value do not count.  State per window is a count, a sum and a time; a timer
+    after the last window of a day clears that day's.
     """
     span, step = duration_us(window), duration_us(slide)
     t = epoch_us(ts)
     last = t - F.pmod(t, F.lit(step))
-    exploded = readings.select(
+    # The rows reach the processor as named tuples, whose names begin with a letter.
+    exploded = readings.where(F.col(value).isNotNull()).select(
         "key",
         ts,
-        F.col(value).cast("double").alias("_x"),
-        F.explode(F.sequence(last - (span - step), last, F.lit(step))).alias("_start"),
-    ).withColumn("_us", epoch_us(ts))
-
-    def emit(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        key, start = group
-        rows = pd.concat(list(batches)).sort_values("_us")
-        earliest = int(rows["_us"].iloc[0])
-        count, total, first = state.get if state.exists else (0, 0.0, earliest)
-        first = min(int(first), earliest)
-        counts = count + np.arange(1, len(rows) + 1)
-        totals = total + rows["_x"].to_numpy().cumsum()
-        full = counts % points == 0
-        state.update((int(counts[-1]), float(totals[-1]), first))
-        end = int(start + span) // 1000
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key, "us": first, "ma": totals[full] / counts[full]})
-
-    emitted = exploded.groupBy("key", "_start").applyInPandasWithState(
-        emit,
-        "key string, us long, ma double",
-        "n long, total double, first long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+        F.col(value).cast("double").alias("x"),
+        F.explode(F.sequence(last - (span - step), last, F.lit(step))).alias("start"),
+    ).withColumns({"us": epoch_us(ts), "block": whole_div(F.col("start"), _STATE_SPAN)})
+    emitted = exploded.groupBy("key", "block").transformWithStateInPandas(
+        _WindowMeans(span, points), "key string, us long, ma double", "Append", "EventTime"
     )
     return emitted.select("key", F.timestamp_micros("us").alias("ts"), "ma")
 
 
+#: Windows that start within so many microseconds share one state and one timer.
+_STATE_SPAN = duration_us("1 day")
+
+
+class _WindowMeans(StatefulProcessor):
+    """Count, sum and earliest time of each window of a day; a row at every ``points``-th reading."""
+
+    def __init__(self, span: int, points: int) -> None:
+        self._span, self._points = span, points
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._sums = handle.getValueState(
+            "sums", "start array<long>, n array<long>, total array<double>, first array<long>"
+        )
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = [chunk for chunk in rows if len(chunk)]
+        if not chunks:
+            return
+        known = self._sums.get()
+        if not known:
+            end = int((key[1] + 1) * _STATE_SPAN + self._span) // 1000
+            self._handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+        sums = {int(s): (n, total, first) for s, n, total, first in zip(*known)} if known else {}
+        out = []
+        for start, window in pd.concat(chunks).sort_values("us").groupby("start"):
+            earliest = int(window["us"].iloc[0])
+            count, total, first = sums.get(int(start), (0, 0.0, earliest))
+            first = min(int(first), earliest)
+            counts = count + np.arange(1, len(window) + 1)
+            totals = total + window["x"].to_numpy().cumsum()
+            sums[int(start)] = (int(counts[-1]), float(totals[-1]), first)
+            full = counts % self._points == 0
+            out.append(pd.DataFrame({"key": key[0], "us": first, "ma": totals[full] / counts[full]}))
+        starts = sorted(sums)
+        self._sums.update((starts, *[[sums[s][k] for s in starts] for k in range(3)]))
+        yield pd.concat(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._sums.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_periodic_index(index: DataFrame, ts: str = "ts", value: str = "ri") -> DataFrame:
     """Running profile of a stream; 168 cells of state per key (update or complete mode)."""
     return periodic_index(index, "mean", ts, value)
@@ -275,6 +302,40 @@ def stream_add_peaks(
     )
 
 
+def stream_join_forecast(
+    forecasts: DataFrame, peaks: DataFrame, combos: DataFrame | None = None, ts: str = "ts"
+) -> DataFrame:
+    """`add_peaks` of two streams: every forecast step once, with the peak of its time or none.
+
+    A step that meets its peak comes out as soon as both have arrived.  One whose peak never
+    comes is emitted with a null ``value`` once the watermark, the older one of both streams,
+    has passed its time; until then it waits in the state, and so do peaks.  Both streams
+    need a watermark on ``ts``.  ``combos`` is a stored table, as in `add_peaks`.
+    """
+    steps = forecasts.select(
+        F.col("key").alias("f_key"), F.col("profile_key").alias("f_profile"), ts, "yhat"
+    )
+    if combos is None:
+        steps = steps.withColumns({"p_key": F.col("f_key"), "p_profile": F.col("f_profile")})
+        extra = []
+    else:
+        steps = steps.join(combos, ["f_key", "f_profile"])
+        extra = [c for c in combos.columns if c not in ("f_key", "f_profile", "p_key", "p_profile")]
+    own = F.col("profile_key") if "profile_key" in peaks.columns else F.col("key")
+    arriving = peaks.select(F.col("key").alias("p_key"), own.alias("p_profile"), ts, "peak")
+    # The time is part of the key, so the watermark also bounds the state.
+    return steps.join(arriving, ["p_key", "p_profile", ts], "left").select(
+        *extra,
+        "f_key",
+        "f_profile",
+        F.col("p_key").alias("key"),
+        F.col("p_profile").alias("profile_key"),
+        ts,
+        F.dayofweek(ts).alias("dow"),
+        (F.col("yhat") + F.col("peak")).alias("value"),
+    )
+
+
 def stream_wordcount(lines: DataFrame, text: str = "text") -> DataFrame:
     """Running word counts (update or complete mode)."""
     return wordcount(lines, text)
