@@ -23,10 +23,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids as the tokenizers library gives them, without special tokens.
+    """Ids as the tokenizers library gives them with ``add_special_tokens=False``.
 
     ``path`` is the vocabulary's json file; beside it lies the same vocabulary as ranks.
-    Strings of special tokens in a text are ordinary text.
+    No special token is added, but one that a text spells out gets its own id.
     """
 
     def __init__(self, path: str):
@@ -36,18 +36,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True
+        added = {t.content: i for i, t in self._whole.get_added_tokens_decoder().items()}
+        self._added = re.compile("|".join(map(re.escape, added))) if added else None
         with open(os.path.splitext(path)[0] + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._fast = tiktoken.Encoding(
             "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
+        self.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for token, rank in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             self.sizes[rank] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        if not _OTHER.search(text):
+        if not _OTHER.search(text) and not (self._added and self._added.search(text)):
             try:
                 return np.asarray(self._fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
             except Exception:  # noqa: BLE001  the fast splitter gives up on some very long runs
