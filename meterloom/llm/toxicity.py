@@ -5,7 +5,8 @@ Learns from documents confirmed as toxic and from unlabelled text.  With the sha
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)): the second part, the risk on clean
 text, must not turn negative, and where a batch makes it so, the step goes the other way.
 
-Features are hashed words and word beginnings that a text contains.  Only features that
+Features are hashed whole words, word beginnings and, in words beyond ASCII or of great
+length, character runs that a text contains.  Only features that
 confirmed texts have significantly more often than unlabelled ones, and whose estimated
 precision prior * P(feature | toxic) / P(feature) is high enough, take part; they count
 as evidence for toxicity only.  Training runs in numpy over a bounded sample (the ids with
@@ -23,42 +24,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import batches, held_out, mix, raw_texts
+from meterloom.llm.common import batches, code_point_starts, folded, held_out, mix, raw_texts, words
 from meterloom.session import stage
 
 SPACE_BITS = 20
-PREFIXES = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)  # bytes of word beginnings beside the word
+PREFIXES = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12)  # bytes of word beginnings beside the whole word
+RUNS, LONG = (2, 3, 4), 24  # characters of runs inside words beyond ASCII or of more than LONG bytes
 POSITIVES, UNLABELLED = 4000, 8000  # bounds of the training sample
 LEAST_Z, LEAST_PRECISION, LEAST_DOCS = 4.0, 0.3, 3
 THRESHOLD = 0.7
 MODULUS, HELD_OUT = 3, 1
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256, dtype=np.uint64)
-_FOLD[65:91] += 32
+_BETWEEN = np.ones(256, bool)  # words are letters and all bytes beyond ASCII
+_BETWEEN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def _tokens(raw: bytes) -> np.ndarray:
-    """Feature numbers of all words and word beginnings of a text, as a words x features matrix."""
-    data = np.frombuffer(raw, np.uint8)
-    edges = np.flatnonzero(np.diff(_WORD[data], prepend=False, append=False))
-    starts, ends = edges[0::2], edges[1::2]
-    folded = _FOLD[data]
-    # words are told apart by their first 24 bytes and their length
-    value = np.full(len(starts), 0x51ED270B, np.uint64)
-    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint32)
+    """Feature numbers of all words, word beginnings and character runs of a text.
+
+    Words of any length are hashed whole.  Scripts without spaces write whole sentences as one
+    word, so words with characters beyond ASCII, and all of more than ``LONG`` bytes, give their
+    runs of 2 to 4 characters too.
+    """
+    starts, ends, whole = words(raw, between=_BETWEEN)
+    if not len(starts):
+        return np.empty(0, np.uint32)
+    data = folded(raw)
     length = ends - starts
+    out = [_slot(whole, 0)]
+    value = np.full(len(starts), 0x51ED270B, np.uint64)
     live = np.arange(len(starts))
-    for i in range(24):
+    for i in range(PREFIXES[-1]):
         live = live[length[live] > i]
-        if not len(live):
-            break
-        value[live] = value[live] * np.uint64(0x9E3779B97F4A7C15) + folded[starts[live] + i] + np.uint64(1)
+        value[live] = value[live] * np.uint64(0x9E3779B97F4A7C15) + data[starts[live] + i] + np.uint64(1)
         if i + 1 in PREFIXES:
-            at = 1 + PREFIXES.index(i + 1)
-            out[live, at] = _slot(value[live], at)
-    out[:, 0] = _slot(value * np.uint64(31) + length.astype(np.uint64), 0)
+            out.append(_slot(value[live], 1 + PREFIXES.index(i + 1)))
+    before = np.concatenate([[0], np.cumsum(data >= 128)])
+    chosen = (before[ends] > before[starts]) | (length > LONG)
+    return np.concatenate(out + _runs(raw, data, starts, ends, chosen))
+
+
+def _runs(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
+    """Feature numbers of all runs of ``RUNS`` characters inside the chosen words."""
+    if not chosen.any():
+        return []
+    at = code_point_starts(raw)
+    size = np.diff(at, append=len(data))
+    word = np.searchsorted(starts, at, "right") - 1
+    inside = (word >= 0) & (at < ends[word]) & chosen[word]
+    at, size, word = at[inside], size[inside], word[inside]
+    char = data[at].astype(np.uint64)
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        char[more] = char[more] * np.uint64(256) + data[at[more] + i]
+    out, value = [], char.copy()
+    for n in range(2, RUNS[-1] + 1):
+        value = value[:-1] * np.uint64(0x9E3779B97F4A7C15) + char[n - 1 :] + np.uint64(1)
+        if n in RUNS:
+            out.append(_slot(value[word[: len(value)] == word[n - 1 :]], 1 + len(PREFIXES) + RUNS.index(n)))
     return out
 
 
@@ -70,8 +93,7 @@ def _slot(value: np.ndarray, kind: int) -> np.ndarray:
 
 def features(raw: bytes) -> np.ndarray:
     """Distinct feature numbers of a text."""
-    found = _tokens(raw)
-    return np.unique(found[found > 0])
+    return np.unique(_tokens(raw))
 
 
 @dataclass
@@ -88,7 +110,7 @@ class Model:
         return table
 
     def score(self, raw: bytes, table: np.ndarray) -> float:
-        found = _tokens(raw).ravel()
+        found = _tokens(raw)
         hit = np.unique(found[table[found] != 0])
         return float(1 / (1 + np.exp(-np.clip(self.bias + table[hit].sum(), -50, 50))))
 
@@ -97,6 +119,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+@dataclass
+class Texts:
+    """Chosen features of texts, numbered from 0: feature and text of every entry, number of texts."""
+
+    feature: np.ndarray
+    text: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, lists: list[np.ndarray]) -> Texts:
+        sizes = [len(t) for t in lists]
+        return cls(np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(lists)), sizes), len(lists))
+
+    def logits(self, values: np.ndarray, bias: float) -> np.ndarray:
+        return bias + np.bincount(self.text, values[self.feature], self.n)
+
+    def gradient(self, slope: np.ndarray, scales: np.ndarray) -> np.ndarray:
+        """Of the weights and the bias, from the slope by each text's logit."""
+        return np.append(np.bincount(self.feature, slope[self.text] * scales[self.feature], len(scales)), slope.sum())
+
+
+def risk(
+    weights: np.ndarray, bias: float, scales: np.ndarray, positives: Texts, unlabelled: Texts, prior: float
+) -> tuple[float, float, np.ndarray]:
+    """``confirmed, clean, slope``: both parts of the risk with the logistic loss and the step's slope.
+
+    ``confirmed`` is prior * R_p(+), ``clean`` is R_u(-) - prior * R_p(-).  The slope is that of
+    their sum; where ``clean`` is below zero, that of ``-clean``, which leads back.
+    """
+    zp, zu = positives.logits(weights * scales, bias), unlabelled.logits(weights * scales, bias)
+    confirmed = prior * np.logaddexp(0, -zp).mean()
+    clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    slope = unlabelled.gradient(_sigmoid(zu) / unlabelled.n, scales) - positives.gradient(prior * _sigmoid(zp) / positives.n, scales)
+    if clean < 0:
+        return confirmed, clean, -slope
+    return confirmed, clean, slope + positives.gradient(prior * (_sigmoid(zp) - 1) / positives.n, scales)
+
+
 def train(
     scales: np.ndarray,
     positives: list[np.ndarray],
@@ -106,35 +166,17 @@ def train(
     rate: float = 0.1,
     decay: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
-    """Weights (not negative) and bias that minimise the non-negative risk with the logistic loss.
+    """Weights (not negative) and bias that minimise the non-negative risk.
 
     A text is the list of its chosen features, numbered from 0; ``scales`` are their values.
     Steps use the whole sample; the result is the mean of the second half of them.
     """
     k = len(scales)
-
-    def rows(texts):
-        sizes = [len(t) for t in texts]
-        return np.concatenate([*texts, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(texts)), sizes), len(texts)
-
-    p, u = rows(positives), rows(unlabelled)
+    p, u = Texts.of(positives), Texts.of(unlabelled)
     weights, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     mean, square, total, n = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1), 0
-
-    def logits(x):
-        return bias + np.bincount(x[1], (weights * scales)[x[0]], x[2])
-
-    def gradient(x, slope):
-        return np.append(np.bincount(x[0], slope[x[1]] * scales[x[0]], k), slope.sum())
-
     for step in range(1, steps + 1):
-        zp, zu = logits(p), logits(u)
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        slope = gradient(u, _sigmoid(zu) / u[2]) - gradient(p, prior * _sigmoid(zp) / p[2])
-        if clean >= 0:
-            slope += gradient(p, prior * (_sigmoid(zp) - 1) / p[2])
-        else:  # the risk on clean text fell below zero: undo
-            slope = -slope
+        _, _, slope = risk(weights, bias, scales, p, u, prior)
         slope[:k] += decay * weights
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope * slope
         move = rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -255,7 +297,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with their columns, that score below ``threshold``.
+
+    Decided row by row: repeated rows and rows without an id stay or go by their text alone;
+    null and empty texts score the bias, a score equal to the threshold goes.
+    """
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
