@@ -66,14 +66,15 @@ def halves(sig: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-_SKETCH = "doc_id long, text_hash long, n_shingles long, node long, halves array<long>, sig binary"
+_SKETCH = "text_hash long, n_shingles long, node long, halves array<long>, sig binary"
 
 
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Text hash, set size, node (64 bits of the set's digest), half keys and signature of every text.
 
-    The signature keeps 16 bits of each minhash; a text without words has no node.
+    The signature keeps 16 bits of each minhash; a text without words has no node.  Ids keep their type.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(iterator: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(iterator):
@@ -93,7 +94,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 sigs.append(sig.astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").cast(pa.int64()),
+                    batch.column("doc_id"),
                     batch.column("text_hash"),
                     pa.array(n, pa.int64()),
                     pa.array(nodes, pa.int64()),
@@ -103,7 +104,7 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 names=["doc_id", "text_hash", "n_shingles", "node", "halves", "sig"],
             )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _SKETCH)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"doc_id {kind}, {_SKETCH}")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -321,7 +322,7 @@ def _decisions(docs: DataFrame, width: int, percent: int) -> DataFrame:
     own = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("text_hash") == F.col("owner_hash"))
     nodes = rows.join(owners, (F.col("node") == F.col("of")) & own, "left_semi")
     nodes = stage(nodes.select("node", F.col("n_shingles").alias("n"), "halves", "sig"), "nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = texts.join(owners.withColumnRenamed("of", "node"), own).select("node", "text")
     if nodes.count() > owners.count():  # repeated rows
         nodes, texts = nodes.dropDuplicates(["node"]), texts.dropDuplicates(["node"])
@@ -363,19 +364,21 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     A row is known by its id, null or not, and its text, so different texts under one id
     are decided each for itself.  Of repeated rows any one stays; all rows whose text has
-    no shingles do.
+    no shingles do.  Ids may be of any type that can be ordered; other columns of any name.
     """
     rows = stage(_decisions(docs, width, percent), "decisions").where("n_shingles > 0")
-    key = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    left = docs.join(rows.where("NOT survivor").select(*key).distinct(), own, "left_anti")
+    key = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")]
+    own = F.col("whole.doc_id").eqNullSafe(F.col("key.id")) & (F.xxhash64("whole.text") == F.col("key.hash"))
+    gone = rows.where("NOT survivor").select(*key).distinct()
+    left = docs.alias("whole").join(gone.alias("key"), own, "left_anti")
     twice = rows.where("survivor").groupBy(*key).count().where("count > 1").drop("count")
     if twice.isEmpty():
         return left
-    again = (
-        left.join(twice, own, "left_semi")
-        .groupBy(F.col("doc_id").alias("_same_id"), F.xxhash64("text").alias("_same_hash"))
-        .agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
-        .select("_row.*")
+    one = (
+        left.alias("whole")
+        .join(twice.alias("key"), own, "left_semi")
+        .select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        .groupBy(F.col("row.doc_id"), F.xxhash64("row.text"))
+        .agg(F.any_value("row").alias("row"))
     )
-    return left.join(twice, own, "left_anti").unionByName(again)
+    return left.alias("whole").join(twice.alias("key"), own, "left_anti").unionByName(one.select("row.*"))
