@@ -23,14 +23,18 @@ THRESHOLD, REACH = 0.6, 48
 # Scores without context, and words that raise them.
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "address", "server"),
+    "email": ("mail", "email", "contact", "write"),
+    "ip": ("ip", "host", "hostname", "address", "server"),
     "card": ("card", "visa", "mastercard", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social", "security"),
 }
 BOOST = 0.25
+# Context counts by whole words in any case, a plural s aside: "ip" is not in "script".
+_CONTEXT = {
+    kind: re.compile(rf"(?<![^\W\d_])({'|'.join(known)})s?(?![^\W\d_])", re.IGNORECASE) for kind, known in CONTEXT.items()
+}
 
 # An address is found from its @: the local part is the run of its characters before.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -128,8 +132,11 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     """Prior of the kind, raised by each of its context words shortly before or after the span, to 1 at most."""
-    before, after = text[max(0, start - REACH) : start].lower(), text[end : end + REACH].lower()
-    return min(1.0, PRIOR[kind] + BOOST * sum(word in before or word in after for word in CONTEXT[kind]))
+    stop = min(len(text), end + REACH)
+    while end < stop < len(text) and text[stop].isalpha() and text[stop - 1].isalpha():
+        stop -= 1  # a word that reaches beyond is not judged by its beginning
+    near = (m for window in ((max(0, start - REACH), start), (end, stop)) for m in _CONTEXT[kind].finditer(text, *window))
+    return min(1.0, PRIOR[kind] + BOOST * len({m.group(1).lower() for m in near}))
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
