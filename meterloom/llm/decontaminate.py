@@ -5,8 +5,9 @@ all documents in two scans without a shuffle of texts.  The first counts in how
 documents each n-gram of the items occurs.  From an item's length follows how many of its
 n-grams every alignment of ``THRESHOLD`` leaves intact (see ``intact``); some of the most
 frequent are left out, all others that occur are seeds.  The second scan aligns an item
-where enough of its seeds lie close together, so no alignment that reaches the threshold
-is missed.  Edits and paraphrases cost alignment score.
+where enough of its seeds lie close together and the item's words, in any order, could
+reach the score, so no alignment that reaches the threshold is missed.  Edits and
+paraphrases cost alignment score.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WIDTH = 3  # words of an n-gram at most
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, 1, 1
 BLOCK_CHARS = 8_000_000  # characters of test items that one block may hold
+EXPANDED = 1 << 20  # places of seeds that a text is held against at once
 _BITS = 20
 
 
@@ -72,6 +74,9 @@ class Items:
             self._spans = np.array([len(w) + _slack(len(w), threshold) for w in self.words], np.int64)
         return self._spans
 
+    def longest(self, threshold: float) -> int:
+        return int(self.spans(threshold).max(initial=0))
+
 
 def _tokens(raw: bytes):
     return words(raw, between=PUNCTUATION)
@@ -176,51 +181,109 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int]:
     return best
 
 
+def _candidates(seeds: Items, where: np.ndarray, gram: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Items with enough seeds close together, and the diagonals of such seeds; both sorted.
+
+    Seeds are expanded to their places in items piece by piece of the text, about
+    ``EXPANDED`` places at once; a piece also sees the seeds that a match starting in it
+    may still reach.
+    """
+    order = np.argsort(where, kind="stable")
+    where, gram = where[order], gram[order]
+    counts = seeds.first[gram + 1] - seeds.first[gram]
+    total = np.concatenate(([0], np.cumsum(counts)))
+    spans, items, diagonals = seeds.spans(threshold), [], []
+    at = 0
+    while at < len(where):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + EXPANDED, "right")) - 1)
+        edge = where[to] if to < len(where) else where[-1] + 1
+        to = int(np.searchsorted(where, edge, "left")) if edge > where[at] else int(np.searchsorted(where, where[at], "right"))
+        edge = where[to] if to < len(where) else where[-1] + 1
+        end = int(np.searchsorted(where, edge + seeds.longest(threshold), "left"))
+        many = counts[at:end]
+        place = np.repeat(where[at:end], many)
+        offset = np.arange(len(place)) - np.repeat(total[at:end] - total[at], many)
+        slot = np.repeat(seeds.first[gram[at:end]], many) + offset
+        item = seeds.item[slot]
+        enough = np.bincount(item, minlength=len(seeds.ids))[item] >= seeds.need[item]
+        place, slot, item = place[enough], slot[enough], item[enough]
+        order = np.lexsort((place, item))
+        place, slot, item = place[order], slot[order], item[order]
+        # a match's first seed has the others it needs within the words that a match may span
+        last = np.arange(len(item)) + seeds.need[item] - 1
+        there = last < len(item)
+        last[~there] = 0
+        there &= (item[last] == item) & (place[last] - place < spans[item]) & (place < edge)
+        items.append(item[there])
+        diagonals.append((place - seeds.at[slot])[there])
+        at = to
+    item, diagonal = np.concatenate(items), np.concatenate(diagonals)
+    order = np.lexsort((diagonal, item))
+    return item[order], diagonal[order]
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> list[tuple[int, int]]:
+    """Unions of intervals that touch or overlap; ``low`` ascending."""
+    top = np.maximum.accumulate(high)
+    new = np.flatnonzero(np.append(True, low[1:] > top[:-1]))
+    return list(zip(low[new].tolist(), top[np.append(new[1:], len(low)) - 1].tolist()))
+
+
+def _promising(inside: np.ndarray, span: int, least: float) -> list[tuple[int, int]]:
+    """Parts of a window that may hold an alignment of score ``least``, from ``inside`` alone.
+
+    ``inside`` tells the words that occur in the item.  A match scores MATCH at most for
+    each of them and loses at least one for every other word, so its words, ``span`` at
+    most, have a sum of that size whatever their order.
+    """
+    sums = np.concatenate(([0], np.cumsum(np.where(inside, MATCH, -min(GAP, MISMATCH)))))
+    before = np.concatenate((np.full(span, sums.max()), sums))  # lowest of the last span + 1 sums
+    lowest, wide = before, 1
+    while wide < span + 1:
+        step = min(wide, span + 1 - wide)
+        lowest = np.minimum(lowest[:-step], lowest[step:])
+        wide += step
+    ends = np.flatnonzero(sums - lowest >= least)
+    return _joined(np.maximum(ends - span, 0), ends) if len(ends) else []
+
+
 def matches(raw: bytes, seeds: Items, threshold: float = THRESHOLD) -> list[tuple]:
     """``(item number, score, start byte, end byte, matched words)`` of the items in a text.
 
-    The best alignment of every item whose score reaches ``threshold``.
+    The best alignment of every item whose score reaches ``threshold``; of equal ones that
+    of the earliest stretch of text where the item's words lie close enough.
     """
     starts, ends, hashes = _tokens(raw)
     where, gram = seeds.hits(hashes)
     if not len(where):
         return []
-    counts = seeds.first[gram + 1] - seeds.first[gram]
-    place = np.repeat(where, counts)
-    offset = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
-    slot = np.repeat(seeds.first[gram], counts) + offset
-    order = np.lexsort((place, seeds.item[slot]))
-    place, slot = place[order], slot[order]
-    item = seeds.item[slot]
-    # a match's first seed has the others it needs within the words that a match may span
-    last = np.arange(len(item)) + seeds.need[item] - 1
-    there = last < len(item)
-    last[~there] = 0
-    there &= (item[last] == item) & (place[last] - place < seeds.spans(threshold)[item])
-    item, diagonal = item[there], (place - seeds.at[slot])[there]
+    item, diagonal = _candidates(seeds, where, gram, threshold)
+    if not len(item):
+        return []
+    vocabulary, codes = np.unique(hashes, return_inverse=True)
+    known = np.zeros(len(vocabulary) + 1, bool)
     out = []
-    for one in np.unique(item):
+    bounds = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
+    for begin, end in zip(bounds[:-1], bounds[1:]):
+        one = item[begin]
         own = seeds.words[one]
-        slack = _slack(len(own), threshold)
+        slack, full = _slack(len(own), threshold), MATCH * len(own)
+        near = np.unique(diagonal[begin:end])
+        code = np.searchsorted(vocabulary, own)
+        code[code == len(vocabulary)] = 0
+        code = np.where(vocabulary[code] == own, code, len(vocabulary))
+        known[code] = True
+        known[-1] = False
         best = None
-        low = high = None
-        for d in [*np.unique(diagonal[item == one]), None]:
-            if d is not None and high is not None and d - slack <= high:
-                high = d + len(own) + slack
-                continue
-            if low is not None:  # a window is complete
-                a, b = max(0, low), min(len(hashes), high)
-                window = hashes[a:b]
-                full = MATCH * len(own)
-                # no alignment scores more than its words that occur in the window
-                if MATCH * int(np.isin(own, window).sum()) >= threshold * full:
-                    score, first, last, hits = align(own, window)
-                    if score >= threshold * full and (best is None or score > best[0]):
-                        best = (score, a + first, a + last, hits)
-            if d is not None:
-                low, high = d - slack, d + len(own) + slack
+        for low, high in _joined(near - slack, near + len(own) + slack):
+            low, high = max(0, low), min(len(hashes), high)
+            for a, b in _promising(known[codes[low:high]], len(own) + slack, threshold * full - 1e-9):
+                score, first, last, hits = align(own, hashes[low + a : low + b])
+                if score >= threshold * full and (best is None or score > best[0]):
+                    best = (score, low + a + first, low + a + last, hits)
+        known[code] = False
         if best:
-            out.append((int(one), best[0] / (MATCH * len(own)), int(starts[best[1]]), int(ends[best[2] - 1]), best[3]))
+            out.append((int(one), best[0] / full, int(starts[best[1]]), int(ends[best[2] - 1]), best[3]))
     return out
 
 
