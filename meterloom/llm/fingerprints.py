@@ -6,17 +6,19 @@ range: intersections and containments follow by counting, and the union of two s
 is the sketch of the union.  A document with fewer than ``floor`` such hashes keeps its
 ``floor`` smallest instead, and one with fewer shingles keeps them all; its sketch then
 is complete up to a higher threshold, and two sketches are compared below the lower of
-their thresholds.
+their thresholds.  Below ``floor`` hashes the fixed fraction thus gives way to a fixed
+number, by the document's size; `merge` and `containment` allow for it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.common import (
@@ -30,6 +32,7 @@ from meterloom.llm.common import (
 )
 
 WIDTH, FRACTION, FLOOR = 5, 1 / 8, 32
+BLOCK_BYTES = 64_000_000  # bytes of text in a block of the order, on average
 _TOP = 2**64 - 1
 
 
@@ -127,43 +130,72 @@ def edited(raw: bytes, following: bytes) -> bytes:
     return raw[: at[len(at) - cut]] + (following if cut >= len(other) else following[: other[cut]])
 
 
-def in_order(docs: DataFrame) -> DataFrame:
+def in_order(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
     """Rows in blocks of descending doc_id, each block followed by the next block's first row.
 
-    Blocks hold about equally many rows and are cut at quantiles of the ids, so no task
-    sees the whole order.  The copied row (``extra``) is the only one that two blocks
-    share; after the lowest block comes the first row of all.  Rows of one doc_id are
-    ordered by text, null ids come last.
+    Blocks hold about equally many rows, on average at most ``most`` bytes of text, and each
+    is a task of its own; they are cut at quantiles of the ids, so no task sees the whole
+    order.  The copied row (``extra``) is the only one that two blocks share; after the
+    lowest block comes the first row of all.  Rows of one doc_id are ordered by text; null
+    ids come last, ordered by a hash of their text, then text, and are cut at the hash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = 2 * parts(spark)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    no_id, size = F.col("doc_id").isNull(), F.octet_length("text")
+    sizes = rows.agg(F.sum(size), F.sum(F.when(no_id, size)), F.count_if(no_id)).first()
+    n = max(2 * parts(spark), -(-(sizes[0] or 0) // most))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0]
     cuts = sorted(set(cuts or []))
-    block = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col("doc_id")))
-    )
-    rows = rows.withColumn("block", block)
-    firsts = rows.groupBy("block").agg(F.max("doc_id").alias("doc_id")).collect()  # one row per block
+    # null ids without any text stay together: there is nothing to split them by
+    low = max(1, -(-(sizes[1] or 0) // most))
+    rank = F.when(no_id, F.xxhash64("text")).otherwise(0) if sizes[2] else F.lit(0).cast("long")
+    rows = rows.withColumn("rank", rank)
+    of_rank = F.least(F.floor((F.col("rank") / 2.0**64 + 0.5) * low), F.lit(low - 1))
+    block = F.when(no_id, -1 - of_rank).otherwise(_above(cuts))
+    rows = rows.withColumn("block", block.cast("int"))
+    # one row per block
+    firsts = rows.groupBy("block").agg(F.max("doc_id").alias("doc_id"), F.min("rank").alias("rank")).collect()
     present = sorted((r["block"] for r in firsts), reverse=True)
     to = dict(zip(present, present[-1:] + present[:-1]))
     heads = spark.createDataFrame(
-        [(r["block"], r["doc_id"], to[r["block"]]) for r in firsts], "b int, first long, to_block int"
+        [(r["block"], r["doc_id"], r["rank"], to[r["block"]]) for r in firsts],
+        "b int, first long, first_rank long, to_block int",
+    )
+    is_first = (
+        (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("rank") == F.col("first_rank"))
     )
     extra = (
-        rows.join(F.broadcast(heads), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("first")))
-        .groupBy("to_block", "first")
+        rows.join(F.broadcast(heads), is_first)
+        .groupBy("to_block", "first", "first_rank")
         .agg(F.min("text").alias("text"))
-        .select(F.col("first").alias("doc_id"), "text", F.col("to_block").alias("block"), F.lit(1).alias("extra"))
+        .select(
+            F.col("first").alias("doc_id"),
+            "text",
+            F.col("first_rank").alias("rank"),
+            F.col("to_block").alias("block"),
+            F.lit(1).alias("extra"),
+        )
     )
     return (
         rows.withColumn("extra", F.lit(0))
         .unionByName(extra)
-        .repartition("block")
-        .sortWithinPartitions("block", "extra", F.desc_nulls_last("doc_id"), "text")
+        .repartitionById(len(cuts) + 1 + low, F.col("block") + low)
+        .sortWithinPartitions("block", "extra", F.desc_nulls_last("doc_id"), "rank", "text")
     )
 
 
+def _above(cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` lie below doc_id: first among every k-th, then between two of them."""
+    k = max(1, math.isqrt(len(cuts)))
+    array = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    below = lambda values: F.size(F.filter(values, lambda c: c < F.col("doc_id")))
+    if not cuts:
+        return F.lit(0)
+    coarse = below(array(cuts[::k]))
+    start = F.greatest(coarse - 1, F.lit(0)) * k
+    return start + below(F.slice(array(cuts), start + 1, F.lit(k)))
+
+
 def against_next(
     docs: DataFrame, width: int = WIDTH, fraction: float = FRACTION, floor: int = FLOOR
 ) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from meterloom.llm import attribution, fingerprints, neardup, packing, pii, toxicity
 from meterloom.llm.queries import QUERIES
@@ -224,3 +225,25 @@ def test_pipeline_equals_its_parts(corpus, tmp_path):
 def test_long_text_scores(corpus, documents):
     model = toxicity.Model(toxicity.features(b"vile")[:1].astype(int), [9.0], -3.0)
     assert [r["score"] > 0.9 for r in toxicity.score(documents([(1, LONG + " vile"), (2, LONG)]), model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_order_of_small_blocks(documents):
+    rng = random.Random(11)
+    ids = [rng.randrange(-500, 500) for _ in range(300)] + [None] * 60
+    rows = [(i, None if n % 50 == 0 else text(n % 90, rng.randrange(1, 60))) for n, i in enumerate(ids)]
+    for most in (500, 5_000, 10**9):
+        got = fingerprints.in_order(documents(rows), most).withColumn("task", F.spark_partition_id()).collect()
+        own = [r for r in got if not r["extra"]]
+        known = {r["block"] for r in own}
+        assert (len(known) > 60) == (most == 500)
+        assert all(len({r["block"] for r in got if r["task"] == t}) == 1 for t in {r["task"] for r in got})
+        order = sorted(own, key=lambda r: (-r["block"], r["doc_id"] is None, -(r["doc_id"] or 0), r["rank"], r["text"]))
+        least = sorted(own, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["rank"], r["text"]))
+        assert order == least  # blocks follow the order of ids
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in own) == sorted((i is None, i or 0, t or "") for i, t in rows)
+        nexts = {r["block"]: r for r in got if r["extra"]}
+        assert set(nexts) == known
+        for block in known:
+            last = max(k for k, r in enumerate(order) if r["block"] == block)
+            after = order[(last + 1) % len(order)]
+            assert (nexts[block]["doc_id"], nexts[block]["text"]) == (after["doc_id"], after["text"])
