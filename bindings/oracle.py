@@ -126,6 +126,16 @@ activity AS (SELECT m.meter_id, h.hour, coalesce(mean, 0.0) AS mean, coalesce(st
 ORACLE["read_activity"] = ORACLE["activity_arrays"] = f"""{USER_ACTIVITY}
 SELECT meter_id, CAST(hour AS INTEGER) AS hour, {r("mean", 4, "mean")}, {r("std", 4, "std")}
 FROM activity"""
+SPOILT_DAY = "(day(date) + hour) % 7 = 0"
+ORACLE["read_weather_mixed"] = f"""{USER_WEATHER}
+SELECT CAST(meter_id AS INTEGER) AS meter_id, CAST(hour AS INTEGER) AS hour,
+       concat(CASE WHEN {SPOILT_DAY} THEN 'x' ELSE '' END, CAST(date AS VARCHAR)) AS date,
+       {r("reading", 2, "reading")}, {r("temperature", 2, "temperature")}, {SPOILT_DAY} AS rejected FROM weather"""
+ORACLE["read_activity_mixed"] = f"""{USER_ACTIVITY}
+SELECT meter_id, CAST(hour AS INTEGER) AS hour, {r("mean", 4, "mean")}, {r("std", 4, "std")}
+FROM activity WHERE meter_id % 3 <> 0
+UNION ALL SELECT DISTINCT meter_id, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+FROM activity WHERE meter_id % 3 = 0"""
 SEED = """seed_hours AS (
   SELECT unnest(generate_series(date_trunc('hour', lo), date_trunc('hour', hi), INTERVAL 1 HOUR)) AS ts
   FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM events)),

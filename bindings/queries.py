@@ -263,6 +263,46 @@ def read_activity(spark, sf_dir):
     return out(cells.select("meter_id", "hour", "c.mean", "c.std"), "meter_id", "hour", mean=4, std=4)
 
 
+@query
+def read_weather_mixed(spark, sf_dir):
+    """Weather readings and rejects of files in which the days of every seventh hour are spoilt."""
+    path = fresh(spark, "weather-mixed")
+    spoilt = (F.dayofmonth("date") + F.col("hour")) % 7 == 0
+    day = F.col("date").cast("string")
+    rows = weather(spark, sf_dir, "user_id").withColumn("reading", F.round("reading", 2))
+    rows.withColumn("date", F.when(spoilt, F.concat(F.lit("x"), day)).otherwise(day)).write.csv(path)
+    good, bad = sources.read_weather(spark, path, rejects=True)
+    both = [
+        part.select(
+            F.col("meter_id").cast("int").alias("meter_id"),
+            F.col("date").cast("string").alias("date"),
+            F.col("hour").cast("int").alias("hour"),
+            F.col("reading").cast("double").alias("reading"),
+            F.col("temperature").cast("double").alias("temperature"),
+            F.lit(rejected).alias("rejected"),
+        )
+        for part, rejected in ((good, False), (bad, True))
+    ]
+    return out(both[0].unionByName(both[1]), "meter_id", "date", "hour", "rejected", reading=2, temperature=2)
+
+
+@query
+def read_activity_mixed(spark, sf_dir):
+    """Profiles, and below them the meters of the lines whose first separator is spoilt."""
+    whole, path = fresh(spark, "activity"), fresh(spark, "activity-mixed")
+    sinks.write_activity(user_activity(spark, sf_dir), whole)
+    spoilt = F.split_part("value", F.lit("|"), F.lit(1)).cast("int") % 3 == 0
+    lines = spark.read.text(whole)
+    lines.select(
+        F.when(spoilt, F.regexp_replace("value", r"^(\d+)\|", "$1!")).otherwise(F.col("value")).alias("value")
+    ).write.text(path)
+    good, bad = sources.read_activity(spark, path, rejects=True)
+    cells = good.select("meter_id", F.posexplode(F.arrays_zip("mean", "std")).alias("hour", "c"))
+    meters = bad.select(F.split_part("value", F.lit("!"), F.lit(1)).cast("int").alias("meter_id"))
+    both = cells.select("meter_id", "hour", "c.mean", "c.std").unionByName(meters, allowMissingColumns=True)
+    return out(both, "meter_id", "hour", mean=4, std=4)
+
+
 @query
 def read_temperature_seed(spark, sf_dir):
     line = temperature_seed(spark, sf_dir).agg(

@@ -5,6 +5,7 @@ from meterloom.sources.readers import (
     parse_activity,
     parse_dayslot,
     parse_temperature_seed,
+    parse_weather,
     read_activity,
     read_dayslot,
     read_lines,
@@ -17,6 +18,7 @@ __all__ = [
     "parse_activity",
     "parse_dayslot",
     "parse_temperature_seed",
+    "parse_weather",
     "read_activity",
     "read_dayslot",
     "read_lines",

@@ -1,11 +1,14 @@
 """Text and CSV inputs, each with an explicit schema.
 
-Rows that cannot be parsed are never lost: `read_dayslot` hands them back as a
-second DataFrame with the original columns.
+Rows that cannot be parsed need not be lost: with ``rejects`` the readers hand them
+back as a second DataFrame with the original columns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,16 +63,60 @@ def read_dayslot(
     return (readings, bad) if rejects else readings
 
 
-def read_weather(spark: SparkSession, path: str | list[str], header: bool = False) -> DataFrame:
-    """Hourly readings with temperature: ``meter,date,hour,reading,temperature``."""
+def parse_weather(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weather readings and rejects from the text columns ``meter_id, date, hour, reading, temperature``.
+
+    A reject lacks a field, or has one that is no whole number, ``yyyy-MM-dd`` date, hour
+    of 0 to 23, or number; it keeps its text.
+    """
+    day = F.when(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date").try_cast("date"))
+    hour = F.col("hour").try_cast("int")
+    cells = {
+        "meter_id": F.col("meter_id").try_cast("int"),
+        "date": day,
+        "hour": F.when(hour.between(0, 23), hour),
+        "reading": F.col("reading").try_cast("double"),
+        "temperature": F.col("temperature").try_cast("double"),
+    }
+    parsed = raw.withColumn("_cells", F.struct(*[cell.alias(name) for name, cell in cells.items()]))
+    good = reduce(and_, [F.col(f"_cells.{name}").isNotNull() for name in cells])
+    return parsed.where(good).select("_cells.*"), parsed.where(~good).select(*raw.columns)
+
+
+def read_weather(
+    spark: SparkSession, path: str | list[str], header: bool = False, rejects: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Hourly readings with temperature: ``meter,date,hour,reading,temperature``.
+
+    A bad line ends the job, or with ``rejects`` lands in the second DataFrame (`parse_weather`).
+    """
+    if rejects:
+        return parse_weather(spark.read.csv(path, schema=schemas.WEATHER_TEXT, header=header))
     return spark.read.csv(
         path, schema=schemas.WEATHER, header=header, dateFormat="yyyy-MM-dd", mode="FAILFAST"
     )
 
 
-def parse_activity(lines: DataFrame) -> DataFrame:
-    """Profiles from ``meter|24 means|24 standard deviations`` lines in ``value``."""
+def parse_activity(lines: DataFrame, rejects: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Profiles from ``meter|24 means|24 standard deviations`` lines in ``value``.
+
+    With ``rejects`` lines of any other form come back in a second DataFrame; without, a
+    field that is no number ends the job.
+    """
     field = F.split("value", r"\|")
+    if rejects:
+        numbers = lambda n: F.transform(F.split(F.get(field, n), ","), lambda x: x.try_cast("double"))
+        parsed = lines.select(
+            "value",
+            F.get(field, 0).try_cast("int").alias("meter_id"),
+            numbers(1).alias("mean"),
+            numbers(2).alias("std"),
+            F.size(field).alias("_fields"),
+        )
+        whole = lambda c: (F.size(c) == 24) & F.forall(c, lambda x: x.isNotNull())
+        good = (F.col("_fields") == 3) & F.col("meter_id").isNotNull() & whole("mean") & whole("std")
+        good = F.coalesce(good, F.lit(False))
+        return parsed.where(good).select("meter_id", "mean", "std"), parsed.where(~good).select("value")
     numbers = lambda n: F.split(field[n], ",").cast("array<double>")
     return lines.select(
         field[0].cast("int").alias("meter_id"),
@@ -78,8 +125,10 @@ def parse_activity(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    return parse_activity(spark.read.text(path))
+def read_activity(
+    spark: SparkSession, path: str, rejects: bool = False
+) -> DataFrame | tuple[DataFrame, DataFrame]:
+    return parse_activity(spark.read.text(path), rejects)
 
 
 def parse_temperature_seed(lines: DataFrame) -> DataFrame:
@@ -89,9 +138,17 @@ def parse_temperature_seed(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_temperature_seed(spark: SparkSession, path: str) -> DataFrame:
-    """Temperature seed; only the first line of the file counts."""
-    return parse_temperature_seed(spark.read.text(path))
+def read_temperature_seed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Temperature seed; only the first line counts, of several files that of the first by path.
+
+    A file's first line is in the piece of it that starts at 0, whose rows keep their order.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.struct("_metadata.file_path", F.monotonically_increasing_id().alias("row")).alias("at"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    first = lines.where("start = 0").agg(F.min_by("value", "at").alias("value"))
+    return parse_temperature_seed(first)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

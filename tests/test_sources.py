@@ -58,6 +58,41 @@ def test_weather(spark, tmp_path):
     )
 
 
+def test_weather_rejects(spark, tmp_path):
+    bad = [
+        ("x", "2013-01-01", "0", "1", "2"), ("1", "2013-13-01", "0", "1", "2"), ("1", "2013", "0", "1", "2"),
+        ("1", "2013-01-01", "24", "1", "2"), ("1", "2013-01-01", "0", "none", "2"), ("1", "2013-01-01", "0", None, "2"),
+        ("1", "2013-01-01", "0", None, None),
+    ]
+    lines = [",".join(x or "" for x in row) for row in bad[:-1]] + ["1,2013-01-01,0"]
+    path = write(tmp_path / "w.csv", "\n".join(["1,2013-01-01,0,0.4,-3.5", *lines]) + "\n")
+    good, rest = sources.read_weather(spark, path, rejects=True)
+    assert good.schema.simpleString() == schemas.WEATHER.simpleString()
+    assert [(r.meter_id, r.hour, r.temperature) for r in good.collect()] == [(1, 0, -3.5)]
+    key = lambda row: tuple(x or "" for x in row)
+    assert sorted(map(key, rest.collect())) == sorted(map(key, bad))
+    none = sources.parse_weather(spark.createDataFrame([], schemas.WEATHER_TEXT))
+    assert [part.count() for part in none] == [0, 0]
+
+
+def test_activity_rejects(spark):
+    day = ",".join(["1.5"] * 24)
+    bad = [f"x|{day}|{day}", f"1|{day}", f"1|{day}|{day}|{day}", f"1|1,2|{day}", f"1|{day}|{day[:-3]}no", "", None]
+    lines = spark.createDataFrame([(f"7|{day}|{day}",), *[(b,) for b in bad]], "value string")
+    good, rest = sources.parse_activity(lines, rejects=True)
+    assert [(r.meter_id, len(r.mean), r.std[23]) for r in good.collect()] == [(7, 24, 1.5)]
+    assert sorted(r.value or "" for r in rest.collect()) == sorted(b or "" for b in bad)
+
+
+def test_temperature_seed_of_a_folder(spark, tmp_path):
+    write(tmp_path / "b.txt", "7|7\n")
+    write(tmp_path / "a.txt", "1|2\n" + "9|9\n" * 50)
+    got = sources.read_temperature_seed(spark, str(tmp_path)).orderBy("i").collect()
+    assert [(r.i, r.temp) for r in got] == [(0, 1.0), (1, 2.0)]
+    write(tmp_path / "none.txt", "")
+    assert sources.read_temperature_seed(spark, str(tmp_path / "none.txt")).count() == 0
+
+
 def test_temperature_seed_takes_the_first_line(spark, tmp_path):
     path = write(tmp_path / "t.txt", "1.5|2.5|-3\n9|9|9|9\n")
     got = sources.read_temperature_seed(spark, path).orderBy("i").collect()
