@@ -1211,8 +1211,8 @@ def stream_lines(spark, sf_dir):
 @query
 def stream_wordcount(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    reader = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
-    lines = reader.parquet(sf_dir)
+    # A pattern, as the file stream takes the base folder of a plain path, which a single file has not.
+    lines = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/[d]ocuments.parquet")
     target = fresh(spark, "stream-words")
     streaming.write_stream_batches(
         streaming.stream_wordcount(lines), target, f"{target}-checkpoint"
