@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterloom.functions.blocks import TIME_BLOCK, duration_us, epoch_us, fan_out
+from meterloom.functions.blocks import TIME_BLOCK, duration_us, epoch_us, fan_out, whole_div
 from meterloom.functions.calendar import slot_start
 
 
@@ -68,29 +68,52 @@ def gap_fill(
     """One row per key and slot: the sum of the slot's readings, ``fill`` where none.
 
     The grid runs from the first to the last slot of all readings
-    (``scope='global'``) or of each series (``'series'``).  Readings and grid are
-    united and summed in one aggregation, so no join is needed, equal readings of
-    a crowded slot are summed before the shuffle, and the result has at most one
-    row per key and slot.
+    (``scope='global'``) or of each series (``'series'``).  Only slots with readings are
+    summed and shuffled, together with the two ends of each block of the grid; each then
+    stands for the empty slots up to the next one, which are added last.  So no join is
+    needed, a crowded slot is summed before the shuffle, no task holds the rows it adds,
+    and the result has at most one row per key and slot.
     """
     keys = list(keys)
+    step = duration_us(period)
+    span = max(duration_us(TIME_BLOCK) // step, 1) * step
     slots = readings.select(
-        *keys, slot_start(ts, period).alias("ts"), F.col(value).cast("double").alias("value")
+        *keys, epoch_us(slot_start(ts, period)).alias("_t"), F.col(value).cast("double").alias("_v")
     )
-    spans = slots.groupBy(*keys).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    spans = slots.groupBy(*keys).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
     if scope == "global":
         # The bounds over all keys come from the spans per key, whose scan and shuffle
         # both uses share.
-        whole = spans.agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("b"))
-        spans = spans.withColumn("_b", whole.scalar()).select(
-            *keys, F.least("lo", "_b.lo").alias("lo"), F.greatest("hi", "_b.hi").alias("hi")
+        whole = spans.agg(F.struct(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).alias("b"))
+        spans = spans.withColumn("_w", whole.scalar()).select(
+            *keys, F.least("_lo", "_w.lo").alias("_lo"), F.greatest("_hi", "_w.hi").alias("_hi")
         )
     elif scope != "series":
         raise ValueError("scope is 'global' or 'series'")
-    grid = time_grid(spans, period).withColumn("value", F.lit(None).cast("double"))
+    block, first, last = F.col("_b"), F.col("_lo"), F.col("_hi")
+    ends = F.array(F.greatest(first, block * span), F.least(last + step, (block + 1) * span))
+    edges = (
+        spans.where(first <= last)
+        .withColumn("_b", F.explode(F.sequence(whole_div(first, span), whole_div(last, span))))
+        .select(*keys, "_b", F.explode(ends).alias("_t"), F.lit(None).cast("double").alias("_v"))
+    )
+    sums = (
+        slots.withColumn("_b", whole_div(F.col("_t"), span))
+        .unionByName(edges)
+        .groupBy(*keys, "_b", "_t")
+        .agg(F.sum("_v").alias("_v"))
+    )
+    following = F.lead("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t"))
+    runs = fan_out(sums, *keys, "_b").withColumn("_next", following)
+    # The last row of a block is its end; readings without a time keep a row of their own.
+    timeless = F.col("_t").isNull()
+    run = F.sequence(F.col("_t"), F.col("_next") - step, F.lit(step))
+    alone = F.array(F.lit(None).cast("long"))
+    filled = F.when(F.col("_at").eqNullSafe(F.col("_t")), F.col("_v"))
     return (
-        slots.unionByName(grid)
-        .groupBy(*keys, "ts")
-        .agg(F.coalesce(F.sum("value"), F.lit(float(fill))).alias("value"))
-        .withColumnsRenamed({"ts": ts, "value": value})
+        runs.where(timeless | F.col("_next").isNotNull())
+        .select(*keys, "_t", "_v", F.explode(F.when(timeless, alone).otherwise(run)).alias("_at"))
+        .select(
+            *keys, F.timestamp_micros("_at").alias(ts), F.coalesce(filled, F.lit(float(fill))).alias(value)
+        )
     )
