@@ -151,16 +151,34 @@ class Blocks(NamedTuple):
     def shifted(self, shifts: Mapping[str, tuple[str, int]]) -> DataFrame:
         """`rows` with new columns ``(source, k)``: the source k positions earlier.
 
-        Negative k looks ahead; beyond the ends of the series it is null.
+        Negative k looks ahead; beyond the ends of the series it is null.  A block's readings
+        are in order already, so they are moved as arrays, without a sort of the rows.
         """
         reach = [k for _, k in shifts.values()]
         back, ahead = max([0, *reach]), max([0, *[-k for k in reach]])
-        window = self.window()
+        beside = self.offsets
+        if back or ahead:
+            beside = beside.join(self._edges(back, ahead), [*self.keys, "_b"])
+        outer = [c for c in self.offsets.columns if c not in (*self.keys, "_before")]
+        whole = [*(["_back"] if back else []), "_rows", *(["_ahead"] if ahead else [])]
+
+        def moved(source: str, k: int) -> Column:
+            """The block's readings of ``source``, each the one k positions before it."""
+            full = F.concat(*[F.col(f"{c}.{source}") for c in whole])
+            return F.slice(full, F.lit(back - k + 1), F.size("_rows"))
+
+        cells = [F.col(f"_rows.{c}").alias(c) for c in self.columns]
+        cells += [moved(c, k).alias(name) for name, (c, k) in shifts.items()]
         return (
-            self.rows(back, ahead)
-            .withColumns({name: F.lag(c, k).over(window) for name, (c, k) in shifts.items()})
-            .where("_own")
-            .drop("_own")
+            self.packed.join(beside, [*self.keys, "_b"])
+            .select(*self.keys, "_before", *outer, F.posexplode(F.arrays_zip(*cells)).alias("_p", "_r"))
+            .select(
+                *self.keys,
+                *[F.col(f"_r.{c}").alias(c) for c in self.columns],
+                (F.col("_before") + F.col("_p")).alias("i"),
+                *outer,
+                *[F.col(f"_r.{name}").alias(name) for name in shifts],
+            )
         )
 
     def _edges(self, back: int, ahead: int) -> DataFrame:

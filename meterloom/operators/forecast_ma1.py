@@ -165,24 +165,37 @@ def _errors(blocks: Blocks, candidates: DataFrame) -> DataFrame:
 
     The columns of ``candidates`` are constant per series and kept.
     """
-    rows = _sized(
-        blocks.rows(extra=candidates),
-        *[f"CAST(c_{fit}.shift AS DOUBLE) AS shift_{fit}" for fit in _FITS],
-    )
-    kept = ["n", "N_full", "L_full", "N_held", "L_held"]
-    kept += [c for c in candidates.columns if c not in blocks.keys]
+    plain = {f"{fit}_shift": F.col(f"c_{fit}.shift") for fit in _FITS}
+    plain |= {f"{fit}_theta{k}": F.get(f"c_{fit}.theta", k) for fit in _FITS for k in range(ROUNDS)}
+    kept_fields = candidates.schema["kept"].dataType.names
+    plain |= {f"kept_{name}": F.col(f"kept.{name}") for name in kept_fields}
+    # Plain numbers, not structs: sums beside them need no sort of all rows by series.
+    flat = candidates.select(*blocks.keys, *[c.cast("double").alias(name) for name, c in plain.items()])
+    rows = _sized(blocks.rows(extra=flat))
+    kept = ["n", "N_full", "L_full", "N_held", "L_held", *plain]
     sums = [f"any_value({c}) AS {c}" for c in kept]
     for fit in _FITS:
         N, L = f"N_{fit}", f"L_{fit}"
         early, late = f"i >= 1 AND i < {L}", f"i >= {L} AND i < {N}"
         for k in range(ROUNDS):
-            base, value = f"-get(c_{fit}.theta, {k})", f"(y0 - shift_{fit})"
+            base, value = f"-{fit}_theta{k}", f"(y0 - {fit}_shift)"
             sums.append(
                 f"{_sum_if(early, f'pow({base}, {L} - 1 - i) * {value}')} AS {fit}_early{k}"
             )
             if fit == "held":
                 sums.append(f"{_sum_if(late, f'pow({base}, {N} - 1 - i) * {value}')} AS {fit}_late{k}")
-    return rows.groupBy(*blocks.keys).agg(*[F.expr(sql) for sql in sums])
+    totals = rows.groupBy(*blocks.keys).agg(*[F.expr(sql) for sql in sums])
+    fits = [
+        F.struct(
+            F.col(f"{fit}_shift").alias("shift"),
+            F.array(*[f"{fit}_theta{k}" for k in range(ROUNDS)]).alias("theta"),
+        ).alias(f"c_{fit}")
+        for fit in _FITS
+    ]
+    others = [c for c in totals.columns if c not in plain]
+    return totals.select(
+        *others, *fits, F.struct(*[F.col(f"kept_{name}").alias(name) for name in kept_fields]).alias("kept")
+    )
 
 
 def _best(fit: str) -> Column:
