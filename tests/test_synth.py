@@ -1,10 +1,12 @@
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meterloom import operators as op
 from meterloom import schemas, sinks
+from meterloom.operators import synth
 
 
 @pytest.fixture
@@ -110,3 +112,45 @@ def test_draws_are_even_and_independent(spark):
     assert abs(got["mean"]) < 0.03 and abs(got["std"] - 1) < 0.03 and abs(got["skew"]) < 0.06 and abs(got["tail"]) < 0.12
     assert all(abs(got[c]) < 0.03 for c in "bcde") and abs(got["u"] - 0.5) < 0.01 and abs(got["w"]) < 0.03
     assert 0 < got["low"] < 0.001 and 0.999 < got["high"] < 1
+
+
+def test_many_draws_equal_single_ones(spark):
+    """Draws made column by column, as a table of numbers and as one expression are the same."""
+    ids = [0, 1, -7, (1 << 40) + 3, None]
+    rows = spark.createDataFrame([(x, i) for x in ids for i in (0, 1, 71)], "id long, i int")
+    got = synth.with_draw(rows, {"x": "a", "y": "b"}, 9, "id", "i")
+    got = synth.with_gaussian(got, {"z": "c"}, -3, "id", "i").select(
+        "*", synth.draw(9, "a", "id", "i").alias("x0"), synth.draw(9, "b", "id", "i").alias("y0"),
+        op.gaussian(-3, "c", "id", "i").alias("z0"),
+    )
+    assert got.where("NOT (x <=> x0 AND y <=> y0 AND round(z, 9) <=> round(z0, 9))").count() == 0
+    table = synth._normal_table(-3, "c", np.array(ids[:-1]), np.array([0, 1, 71]))
+    want = {(r.id, r.i): r.z0 for r in got.where("id IS NOT NULL").collect()}
+    assert {(x, i): table[k, j] for k, x in enumerate(ids[:-1]) for j, i in enumerate((0, 1, 71))} == pytest.approx(want)
+
+
+def test_noise_is_compiled(spark, temperature, capsys):
+    """Neither noise on rows nor whole synthetic series fold over arrays, which Spark does not compile."""
+    grid = op.synth_grid(op.synth_ids(spark, 2), "2013-12-31", 2)
+    op.synth_temperature(grid, temperature, seed=3).explain()
+    assert "aggregate(" not in capsys.readouterr().out
+
+
+def test_missing_means_temperatures_and_repeated_ids(spark):
+    """An hour without a mean has no activity, one without a temperature the lowest load; ids may repeat."""
+    means = [None, *[float(h) for h in range(1, 20)]]
+    activity = spark.createDataFrame([(3, means, [0.0] * 24)], schemas.ACTIVITY)
+    seed = spark.createDataFrame([(i, None if i == 2 else 15.0 + i) for i in range(30)], "i int, temp double")
+    ids = spark.createDataFrame([(4,), (4,), (None,)], "id int")
+    for sigma in (0, 0.5):
+        curve = {"x1": 10, "x2": 20, "y0": 0.1, "temperature_sigma": sigma, "activity_sigma": sigma}
+        made = op.synth_readings(ids, activity, seed, "2013-01-01", 2, 1.0, **curve)
+        assert made.schema["id"].dataType.typeName() == "integer"
+        rows = made.collect()
+        assert len(rows) == 2 * 48 and all(r.id == 4 and r.load is not None for r in rows)
+        got = {(r.date.day - 1) * 24 + r.hour: (r.load, r.temp) for r in rows}
+        assert got[2][1] is None and got[32][1] is None
+        assert all(0 <= got[i][0] <= 0.2 for i in (0, 20, 23, 24, 44))
+        if not sigma:
+            assert got[2][0] == 2.0
+            assert [got[i][1] for i in (0, 29, 30)] == [15.0, 44.0, 15.0]
