@@ -77,12 +77,17 @@ def with_halo(
     pos = F.col(position)
     offset = F.pmod(pos, F.lit(width))
     own = whole_div(pos, width)
-    homes = [own]
+    # Conditions and not a filter over an array: these are compiled.
+    above = F.array(own, own + 1)
+    below = F.array(own, own - 1)
+    homes = F.array(own)
     if before:
-        homes.append(F.when(offset >= width - before, own + 1))
+        homes = F.when(offset >= width - before, above).otherwise(homes)
     if after:
-        homes.append(F.when(offset < after, own - 1))
-    return df.withColumn("_blk", F.explode(F.array_compact(F.array(*homes)))).withColumn(
+        homes = F.when(offset < after, below).otherwise(homes)
+    if before and after:
+        homes = F.when((offset < after) & (offset >= width - before), F.array(own, own + 1, own - 1)).otherwise(homes)
+    return df.withColumn("_blk", F.explode(F.when(pos.isNotNull(), homes))).withColumn(
         "_own", F.col("_blk") == own
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meterloom import operators as op
 from meterloom import sources
-from meterloom.functions.blocks import pack, time_block
+from meterloom.functions.blocks import pack, time_block, with_halo
 
 HOUR = timedelta(hours=1)
 READINGS = "key string, ts timestamp, value double"
@@ -77,3 +77,18 @@ def test_shifted_columns(spark, series):
 def test_shifts_of_nothing(spark, series):
     rows = pack(series({"a": [1.0, 2.0]}), ["key"], ["ts"], time_block("ts")).shifted({"same": ("value", 0)})
     assert rows.where(F.col("same") != F.col("value")).count() == 0 and rows.count() == 2
+
+
+def test_halo_rows(spark, capsys):
+    """Copies of edge rows, found by conditions that Spark compiles, not by a filter over an array."""
+    rows = spark.createDataFrame([(i,) for i in (*range(-5, 12), None)], "i long")
+    for before, after in ((0, 2), (1, 0), (2, 2), (3, 3)):
+        haloed = with_halo(rows, "i", 4, before, after)
+        got = sorted((r.i, r["_blk"], r["_own"]) for r in haloed.collect())
+        want = [
+            (i, blk, blk == i // 4)
+            for i in range(-5, 12) for blk in (i // 4 - 1, i // 4, i // 4 + 1)
+            if blk * 4 - before <= i < blk * 4 + 4 + after
+        ]
+        assert got == sorted(want)
+        assert "filter(" not in plan(haloed, capsys)
